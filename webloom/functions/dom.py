@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from webloom.functions.sql import any_of, bind, text, texts
-from webloom.functions.text import CHARS_PER_TOKEN
+from webloom.functions.text import CHARS_PER_TOKEN, contains_any_of
 from webloom.schemas import VOID_TAGS
 
 Predicate = Callable[[str], str]
@@ -74,10 +74,9 @@ def text_matches(pattern: str) -> Predicate:
     return lambda n: f"({_is_string(n)} AND {n}.text RLIKE {text(pattern)})"
 
 
-def text_contains(words: Sequence[str]) -> Predicate:
-    """Text, comment and doctype nodes that contain one of the lower-case words."""
-    return lambda n: (f"({_is_string(n)} AND "
-                      f"{bind(f'lower({n}.text)', 'low', any_of(f'contains(low, {text(w)})' for w in words))})")
+def text_contains(words: str) -> Predicate:
+    """Text, comment and doctype nodes that contain one word of an array of lower-case words."""
+    return lambda n: f"({_is_string(n)} AND {contains_any_of(f'{n}.text', words)})"
 
 
 def select_elements(nodes: str, predicate: Predicate) -> str:
@@ -216,16 +215,15 @@ REMOVAL_GROUPS = (
 )
 
 
-def removal_candidates(nodes: str, keywords: Sequence[str]) -> str:
+def removal_candidates(nodes: str, keywords: str) -> str:
     """Intervals that may be removed, in removal order; elements whose text holds a keyword are left out."""
-    guarded = bind(f"lower({text_of(subtree(nodes, 'c'))})", "low",
-                   any_of(f"contains(low, {text(w)})" for w in keywords))
+    guarded = contains_any_of(text_of(subtree(nodes, "c")), keywords)
     lists = [f"filter({nodes}, c -> {p('c')})" for group in REMOVAL_GROUPS for p in group]
     return (f"transform(filter(concat({', '.join(lists)}), c -> NOT {guarded}), c -> named_struct("
             f"'id', c.id, 'last_id', c.last_id, 'chars', {rendered_length(subtree(nodes, 'c'))}))")
 
 
-def budget_removal(nodes: str, keywords: Sequence[str], max_tokens: int) -> str:
+def budget_removal(nodes: str, keywords: str, max_tokens: int) -> str:
     """Nodes after removing candidates one by one until the page fits its token budget.
 
     What an earlier removal took is not counted again when an element around it goes.
