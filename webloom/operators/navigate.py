@@ -17,7 +17,7 @@ from webloom.functions.urls import url_host, url_path
 from webloom.operators.chunks import SKIPPED_TAGS, TEXT_FILE_TAGS
 from webloom.operators.links import page_links, sorted_urls
 from webloom.operators.nodes import parse_nodes
-from webloom.operators.ranking import first_per_key
+from webloom.operators.ranking import ranked_per_key
 from webloom.schemas import NAVIGATION
 from webloom.sources.sitemap import read_sitemap
 
@@ -29,13 +29,26 @@ MIN_RULE_COUNT = 2
 PROMPT_CHARS = 3000
 
 
+def _words(interests: Sequence[str]) -> str:
+    return field_keywords(text_array(interests))
+
+
 def score_urls(urls: DataFrame, interests: Sequence[str] = INTERESTS) -> DataFrame:
     """``urls`` plus ``hits``, the interest words a URL contains, and ``score``, how many."""
-    words = field_keywords(text_array(interests))
-    return urls.withColumn("hits", F.expr(f"filter({words}, w -> contains(lower(url), w))")) \
+    return urls.withColumn("hits", F.expr(f"filter({_words(interests)}, w -> contains(lower(url), w))")) \
         .withColumn("score", F.expr("size(hits)"))
 
 
+def relevant_urls(urls: DataFrame, interests: Sequence[str] = INTERESTS) -> DataFrame:
+    """Distinct (site, url) with a direct hit, plus ``hits`` and ``score``.
+
+    Only the two plain columns are shuffled, and words are looked up again behind the shuffle; so ranking and rules
+    share one exchange however often this is used.
+    """
+    direct = urls.select("site", "url").filter(f"exists({_words(interests)}, w -> contains(lower(url), w))")
+    return score_urls(direct.distinct(), interests)
+
+
 def page_features(pages: DataFrame) -> DataFrame:
     """(page_id, url, structural_score, content_density): main or article elements, and reader text per HTML length."""
     sized = pages.selectExpr("page_id", "url", "html", "length(html) AS html_chars")
@@ -45,49 +58,31 @@ def page_features(pages: DataFrame) -> DataFrame:
         f"try_divide(length({dom.html_to_text('nodes', TEXT_FILE_TAGS, SKIPPED_TAGS)}), html_chars) AS content_density")
 
 
-def top_urls(scored: DataFrame, features: DataFrame | None = None, n: int = MAX_URLS) -> DataFrame:
-    """The first ``n`` URLs of each site with a direct hit: (site, rank, url, score, hits).
+def top_urls(relevant: DataFrame, features: DataFrame | None = None, n: int = MAX_URLS) -> DataFrame:
+    """The first ``n`` relevant URLs of each site: (site, rank, url, score, hits).
 
     Ties go to pages with main or article elements, then to denser ones where ``features`` knows the page, then to
     the smaller URL.
     """
-    direct = scored.filter("score > 0").groupBy("site", "url").agg(
-        F.first("score").alias("score"), F.first("hits").alias("hits"))
     order = [F.desc("score"), F.asc("url")]
     if features is not None:
         known = features.groupBy("url").agg(F.max("structural_score").alias("structural_score"),
                                             F.max("content_density").alias("content_density"))
-        direct = direct.join(known, "url", "left")
+        relevant = relevant.join(known, "url", "left")
         order[1:1] = [F.desc_nulls_last("structural_score"), F.desc_nulls_last("content_density")]
-    best = first_per_key(direct, ["site"], order, n)
-    listed = best.groupBy("site").agg(F.sort_array(F.collect_list(F.struct(
-        *_sort_keys(features is not None), "url", "score", "hits"))).alias("ranked"))
-    return listed.selectExpr("site", "posexplode(ranked) AS (i, r)").selectExpr(
-        "site", "i + 1 AS rank", "r.url AS url", "r.score AS score", "r.hits AS hits")
-
-
-def _sort_keys(with_features: bool) -> list:
-    keys = [(-F.col("score")).alias("k1")]
-    if with_features:
-        keys += [F.coalesce(-F.col("structural_score"), F.lit(1)).alias("k2"),
-                 F.coalesce(-F.col("content_density"), F.lit(1.0)).alias("k3")]
-    return keys
+    return ranked_per_key(relevant, ["site"], order, n).select("site", "rank", "url", "score", "hits")
 
 
-def derive_rules(scored: DataFrame, n: int = MAX_RULES, min_count: int = MIN_RULE_COUNT) -> DataFrame:
+def derive_rules(relevant: DataFrame, n: int = MAX_RULES, min_count: int = MIN_RULE_COUNT) -> DataFrame:
     """(site, rank, rule, n_urls): the commonest first path segments among the relevant URLs of a site."""
     segment = f"regexp_extract({url_path('url')}, '^(/[^/]+)', 1)"
     counts = (
-        scored.filter("score > 0").select("site", "url").distinct()
-        .selectExpr("site", f"{segment} AS rule").filter("rule <> ''")
+        relevant.selectExpr("site", f"{segment} AS rule").filter("rule <> ''")
         .groupBy("site", "rule").agg(F.count("*").alias("n_urls"))
         .filter(F.col("n_urls") >= min_count)
     )
-    best = first_per_key(counts, ["site"], [F.desc("n_urls"), F.asc("rule")], n)
-    ranked = best.groupBy("site").agg(
-        F.sort_array(F.collect_list(F.struct((-F.col("n_urls")).alias("k"), "rule", "n_urls"))).alias("ranked"))
-    return ranked.selectExpr("site", "posexplode(ranked) AS (i, r)").selectExpr(
-        "site", "i + 1 AS rank", "r.rule AS rule", "r.n_urls AS n_urls")
+    return ranked_per_key(counts, ["site"], [F.desc("n_urls"), F.asc("rule")], n) \
+        .select("site", "rank", "rule", "n_urls")
 
 
 def explain_choice(hits: str = "hits") -> str:
@@ -97,10 +92,10 @@ def explain_choice(hits: str = "hits") -> str:
 
 def next_urls(urls: DataFrame, interests: Sequence[str] = INTERESTS, features: DataFrame | None = None) -> DataFrame:
     """(site, urls, rules, reasoning): the answer for every site with a relevant URL."""
-    scored = score_urls(urls, interests)
-    chosen = top_urls(scored, features).selectExpr("site", "rank", "url", f"{explain_choice()} AS reason")
+    relevant = relevant_urls(urls, interests)
+    chosen = top_urls(relevant, features).selectExpr("site", "rank", "url", f"{explain_choice()} AS reason")
     chosen = chosen.groupBy("site").agg(F.sort_array(F.collect_list(F.struct("rank", "url", "reason"))).alias("c"))
-    rules = derive_rules(scored).groupBy("site").agg(
+    rules = derive_rules(relevant).groupBy("site").agg(
         F.sort_array(F.collect_list(F.struct("rank", "rule"))).alias("r"))
     return chosen.join(rules, "site", "left").selectExpr(
         "site", "transform(c, x -> x.url) AS urls",

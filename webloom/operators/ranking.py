@@ -10,21 +10,27 @@ from pyspark.sql import functions as F
 _SALTS = 256
 
 
-def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
-    """The first ``n`` rows of each key; ``order`` must be total within a key.
+def ranked_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
+    """The first ``n`` rows of each key with their ``rank``; ``order`` must be total within a key.
 
     Up to the window group limit, Spark cuts each key to ``n`` rows before the shuffle, so a key of any size costs at
     most ``n`` rows per task. A larger ``n`` is ranked in two rounds, first within slices of a key.
     """
     if n <= 0:
-        return df.limit(0)
-    if not keys:
-        return df.orderBy(*order).limit(n)
+        return df.limit(0).withColumn("rank", F.lit(0))
     limit = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
     rank = F.row_number()
     if n > limit:
-        salted = df.withColumn("slice", F.pmod(F.xxhash64(*df.columns), F.lit(_SALTS)))
+        plain = [c for c, t in df.dtypes if not t.startswith("map")]
+        salted = df.withColumn("slice", F.pmod(F.xxhash64(*plain), F.lit(_SALTS)))
         inner = Window.partitionBy(*keys, "slice").orderBy(*order)
         df = salted.withColumn("rank", rank.over(inner)).filter(F.col("rank") <= n).drop("slice", "rank")
     window = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("rank", rank.over(window)).filter(F.col("rank") <= n).drop("rank")
+    return df.withColumn("rank", rank.over(window)).filter(F.col("rank") <= n)
+
+
+def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
+    """The first ``n`` rows of each key, or of the whole table without keys."""
+    if not keys:
+        return df.orderBy(*order).limit(n)
+    return ranked_per_key(df, keys, order, n).drop("rank")

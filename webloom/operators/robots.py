@@ -15,6 +15,12 @@ from webloom.functions import robots as R
 from webloom.functions.urls import url_host
 
 
+def robots_lines(files: DataFrame) -> DataFrame:
+    """Every line of every file: (robotstxt_url, line_no, value); lines count from 1."""
+    return files.selectExpr("robotstxt_url", f"posexplode({R.lines('body')}) AS (i, value)").selectExpr(
+        "robotstxt_url", "i + 1 AS line_no", "value")
+
+
 def robots_rows(files: DataFrame, download_date: Column | None = None) -> DataFrame:
     """One row per directive: (directive, content, robotstxt_url, download_date, line_no)."""
     date = F.current_timestamp() if download_date is None else download_date
