@@ -29,10 +29,10 @@ _PRODUCT_TYPE = "struct<name:string,price:string,id:string,image_url:string,desc
 
 
 def first_matching(nodes: str = "nodes", selectors: Sequence[dom.Predicate] = PRODUCT_SELECTORS) -> str:
-    """SQL array of (selector_no, nodes) with the hits of the first selector that has any."""
+    """SQL array of at most one (selector_no, found): the hits of the first selector that has any."""
     tried = ", ".join(f"named_struct('selector_no', {i}, 'found', {dom.select_elements(nodes, s)})"
                       for i, s in enumerate(selectors))
-    return f"get(filter(array({tried}), c -> size(c.found) > 0), 0)"
+    return f"slice(filter(array({tried}), c -> size(c.found) > 0), 1, 1)"
 
 
 def match_price_text(pages: DataFrame, pattern: str = PRICE_TEXT) -> DataFrame:
@@ -47,8 +47,8 @@ def _with_sections(pages: DataFrame, limit: int = MAX_SECTIONS) -> DataFrame:
     priced = (f"transform(filter(nodes, n -> {dom.text_matches(PRICE_TEXT)('n')}), t -> get(nodes, t.parent_id))")
     return (
         parse_nodes(pages, keep=("page_id",))
-        .selectExpr("page_id", "nodes", f"{first_matching()} AS hit")
-        .selectExpr("page_id", "nodes", f"slice(coalesce(hit.found, {priced}), 1, {limit}) AS sections")
+        .selectExpr("page_id", "nodes", f"{first_matching()} AS hits")
+        .selectExpr("page_id", "nodes", f"slice(coalesce(get(hits, 0).found, {priced}), 1, {limit}) AS sections")
     )
 
 
@@ -56,8 +56,7 @@ def first_matching_selector(pages: DataFrame) -> DataFrame:
     """(page_id, selector_no, n_hits) of the selector used for a page; no row where only price texts can be used."""
     return (
         parse_nodes(pages, keep=("page_id",), with_text=False)
-        .selectExpr("page_id", f"{first_matching()} AS hit")
-        .filter("hit IS NOT NULL")
+        .selectExpr("page_id", f"explode({first_matching()}) AS hit")
         .selectExpr("page_id", "hit.selector_no AS selector_no", "size(hit.found) AS n_hits")
     )
 
@@ -129,8 +128,10 @@ def products(pages: DataFrame, answers: DataFrame | None = None, size: int = CHU
         answered = chunks.withColumn("response", F.lit(None).cast("string"))
     else:
         answered = chunks.join(answers.select("page_id", "chunk_no", "response"), ["page_id", "chunk_no"], "left")
+    # An outer explode with a filter behind it: a plain one would filter on the list first and build it twice.
     return (
         parse_product_response(answered, ["page_id", "chunk_no"])
-        .selectExpr("page_id", "chunk_no", "posexplode(products) AS (pos, p)")
+        .selectExpr("page_id", "chunk_no", "posexplode_outer(products) AS (pos, p)")
+        .filter("pos IS NOT NULL")
         .select("page_id", "chunk_no", "pos", "p.*")
     )

@@ -73,10 +73,13 @@ def q_read_crawl_log(spark, sf):
 
 @query
 def q_read_crawl_json(spark, sf):
+    """Results stored as one JSON array per file, an object over several lines."""
     folder = I.work_folder(spark)
-    I.url_list(spark, sf).selectExpr(
-        "url", "timestamp'2025-06-20 21:41:50' AS crawl_time", "concat('took longer: ', pos) AS errors"
-    ).write.option("timestampFormat", "yyyy-MM-dd HH:mm:ss").json(folder)
+    item = ("concat('{\"url\": \"', url, '\",\\n \"crawl_time\": \"2025-06-20 21:41:50\",\\n "
+            "\"errors\": \"took longer: ', page_id, '\"}')")
+    arrays = I.table(spark, sf, "pages").selectExpr("page_id DIV 100 AS part", f"{item} AS item") \
+        .groupBy("part").agg(F.expr("concat('[', array_join(collect_list(item), ',\\n'), ']')").alias("value"))
+    arrays.select("value").write.option("maxRecordsPerFile", 1).text(folder)
     return crawl_log.read_crawl_results(spark, folder).selectExpr(
         "url", "date_format(crawl_time, 'yyyy-MM-dd HH:mm:ss') AS crawl_time", "errors")
 
@@ -251,7 +254,7 @@ def q_parse_product_response(spark, sf):
         "p_partkey", f"if(p_partkey % 3 = 0, 'no idea', {typed}) AS response",
         f"{I.product_line_sql(price)} AS chunk")
     return products.parse_product_response(answers, ["p_partkey"]).selectExpr(
-        "p_partkey", "from_text", "inline(products)")
+        "p_partkey", "from_text", "inline_outer(products)")
 
 
 # --- filters and predicates -----------------------------------------------------------------------------------------
@@ -376,7 +379,7 @@ def q_url_counts_by_page(spark, sf):
 
 @query
 def q_urls_by_page(spark, sf):
-    return links.urls_by_page(I.shop_pages(spark, sf)).selectExpr("page_id", "explode(urls) AS (category, list)") \
+    return links.urls_by_page(I.shop_pages(spark, sf)).selectExpr("page_id", "explode_outer(urls) AS (category, list)") \
         .selectExpr("page_id", "category", "array_join(list, ' ') AS urls")
 
 

@@ -170,8 +170,9 @@ def ranking(source: str) -> str:
     return f"""relevant AS (SELECT DISTINCT site, url, {SCORE} AS score FROM {source} WHERE {SCORE} > 0),
     best AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY score DESC, url) AS rank FROM relevant
         QUALIFY rank <= 10),
-    rule_counts AS (SELECT site, regexp_extract(url, '^[a-z]+://[^/?#]+(/[^/?#]+)', 1) AS rule, count(*) AS n_urls
-        FROM relevant GROUP BY ALL HAVING rule <> '' AND n_urls >= 2),
+    segments AS (SELECT site, regexp_extract(url, '^[a-z]+://[^/?#]+(/[^/?#]+)', 1) AS rule FROM relevant),
+    rule_counts AS (SELECT site, rule, count(*) AS n_urls FROM segments WHERE rule <> '' GROUP BY site, rule
+        HAVING count(*) >= 2),
     rules AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY n_urls DESC, rule) AS rank FROM rule_counts
         QUALIFY rank <= 3)"""
 
@@ -202,7 +203,7 @@ SHOP_URLS = f"""shop_urls AS (
         ('media', '/v/N.mp4', 0), ('media', '/s/N.mp4', 1), ('iframes', '/frame/N', 0),
         ('other', '/bg/N.png', 0), ('other', '/next/N', 1), ('other', '/list/N', 2)) t(category, path, pos))"""
 
-ORACLE: dict[str, str] = {
+_RESULTS: dict[str, str] = {
     "read_pages": "SELECT page_id, url, length(html) AS html_chars, md5(html) AS html_md5 FROM pages",
     "read_robots": f"WITH {ROBOTS} SELECT robotstxt_url, line_no, value FROM lines",
     "read_sitemap": f"""WITH {SITEMAP_ROWS} SELECT sitemap_url,
@@ -405,3 +406,28 @@ ORACLE: dict[str, str] = {
         count(*) FILTER (directive = 'disallow') AS n_disallowed FROM directives GROUP BY robotstxt_url""",
     "incremental_frontier": f"WITH {HREFS} SELECT DISTINCT url FROM hrefs",
 }
+
+# Result columns that are 32-bit or 64-bit integers in the queries and come out wider or narrower in the SQL.
+_INTEGERS = {
+    "read_pages": "html_chars", "read_robots": "line_no", "read_sitemap": "pos", "normalize_url": "i",
+    "resolve_url": "i", "is_valid_url": "i", "strip_irrelevant_html": "chars", "html_to_text": "chars",
+    "parse_robots_line": "line_no", "build_extraction_prompts": "chunk_no", "filter_product_chunks": "chunk_no",
+    "filter_directive": "line_no", "match_price_text": "node_id parent_id", "match_keyword_text": "id",
+    "ancestor_context": "text_id", "drop_subtrees": "id", "robots_summary": "total_rules",
+    "url_counts_by_page": "links total", "first_seen_urls": "pos", "dedupe_elements": "pos node_id",
+    "first_matching_selector": "selector_no n_hits", "limit_products": "last_pos", "sort_urls": "pos",
+    "url_extract": "pos", "chunk_text": "chars", "chunk_fixed": "chunk_no", "extract_products_text": "pos",
+    "extract_product_sections": "pos node_id", "extract_product_fields": "pos", "top_urls": "rank",
+    "top_urls_with_features": "rank", "derive_rules": "rank", "products": "pos",
+    "robots_report": "total_rules n_disallowed",
+}
+_BIGINTS = {"read_sitemap": "lastmod_seconds", "write_robots_jsonl": "download_seconds"}
+
+
+def _typed(name: str, sql: str) -> str:
+    casts = [f"CAST({c} AS INTEGER) AS {c}" for c in _INTEGERS.get(name, "").split()]
+    casts += [f"CAST({c} AS BIGINT) AS {c}" for c in _BIGINTS.get(name, "").split()]
+    return f"SELECT * REPLACE ({', '.join(casts)}) FROM ({sql}) r" if casts else sql
+
+
+ORACLE: dict[str, str] = {name: _typed(name, sql) for name, sql in _RESULTS.items()}

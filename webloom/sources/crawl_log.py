@@ -56,11 +56,8 @@ def parse_crawl_log(lines: DataFrame, value: str = "value", pos: str | None = No
     """(pos, url, status, http_status, file, detail), one row per log entry. Without a position column, positions
     follow the order of the input files and splits."""
     order = F.col(pos).cast("bigint") if pos else F.monotonically_increasing_id()
-    return (
-        lines.select(order.alias("pos"), F.expr(parse_crawl_line(value)).alias("entry"))
-        .filter("entry IS NOT NULL")
-        .select("pos", "entry.*")
-    )
+    entries = lines.select(order.alias("pos"), F.col(value).alias("line")).filter(f"contains(trim(line), '{ARROW}')")
+    return entries.select("pos", F.expr(parse_crawl_line("line")).alias("entry")).select("pos", "entry.*")
 
 
 def read_crawl_log(spark: SparkSession, path: str) -> DataFrame:

@@ -6,6 +6,8 @@ restarted query finds it again.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,32 +17,35 @@ URLS = "url STRING"
 
 
 def passed_urls(spark: SparkSession, table: str) -> DataFrame:
-    """(batch_id, url) of URLs that passed so far; no table yet means none."""
+    """(url, source, batch_id) of URLs that passed so far; no table yet means none."""
     try:
-        return spark.read.schema("url STRING, batch_id BIGINT").parquet(table)
+        return spark.read.schema(f"{URLS}, source STRING, batch_id BIGINT").parquet(table)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], "url STRING, batch_id BIGINT")
+        return spark.createDataFrame([], f"{URLS}, source STRING, batch_id BIGINT")
 
 
-def pass_batch(batch: DataFrame, batch_id: int, table: str) -> None:
+def pass_batch(batch: DataFrame, batch_id: int, table: str, source: str) -> None:
     """Write the new URLs of one batch. A batch that runs again replaces its own rows and nothing else."""
     spark = batch.sparkSession
-    before = passed_urls(spark, table).filter(F.col("batch_id") < batch_id).select("url")
+    own = (F.col("source") == source) & (F.col("batch_id") >= batch_id)
+    before = passed_urls(spark, table).filter(~own).select("url")
     fresh = batch.select("url").where("url IS NOT NULL").dropDuplicates(["url"]).join(before, "url", "left_anti")
-    fresh.write.mode("overwrite").parquet(f"{table}/batch_id={batch_id}")
+    fresh.write.mode("overwrite").parquet(f"{table}/source={source}/batch_id={batch_id}")
 
 
 def incremental_frontier(spark: SparkSession, folder: str, table: str, checkpoint: str,
                          files_per_batch: int | None = None) -> StreamingQuery:
-    """Pass the URLs of new parquet files in ``folder`` on to ``table``, then stop."""
+    """Pass the URLs of new parquet files in ``folder`` on to ``table``, then stop. Several streams with checkpoints of
+    their own can take turns on one table."""
+    source = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
     reader = spark.readStream.schema(URLS)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     return (
         reader.parquet(folder).writeStream
-        .foreachBatch(lambda batch, batch_id: pass_batch(batch, batch_id, table))
+        .foreachBatch(lambda batch, batch_id: pass_batch(batch, batch_id, table, source))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
