@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from webloom.functions.sql import any_of, bind, text, texts
+from webloom.functions.sql import any_of, bind, strip, text, texts
 from webloom.functions.text import CHARS_PER_TOKEN, contains_any_of
 from webloom.schemas import VOID_TAGS
 
@@ -131,7 +131,7 @@ def html_to_text(nodes: str, wanted: Sequence[str], unwanted: Sequence[str]) ->
     barred = outermost(select_elements(nodes, by_tag(*unwanted)))
     kept = bind(barred, "barred", f"filter({texts_in}, t -> NOT exists(barred, b -> {inside('t', 'b')}))")
     lines = f"flatten(transform({kept}, t -> split(t.text, '\\n')))"
-    trimmed = f"transform({lines}, line -> regexp_replace(line, {text('(?U)^\\s+|\\s+$')}, ''))"
+    trimmed = f"transform({lines}, line -> {strip('line')})"
     return f"array_join(filter({trimmed}, line -> line <> ''), ' ')"
 
 
@@ -161,6 +161,7 @@ def open_token(n: str) -> str:
         WHEN 'comment' THEN concat('<!--', {n}.text, '-->')
         WHEN 'doctype' THEN concat('<!DOCTYPE ', {n}.text, '>\\n')
         WHEN 'cdata' THEN concat('<![CDATA[', {n}.text, ']]>')
+        WHEN 'raw' THEN {n}.text
         WHEN 'instruction' THEN concat('<?', {n}.text, '>')
         ELSE '' END"""
 

@@ -6,9 +6,10 @@ verdict is a search in the short rule array of one group.
 
 from __future__ import annotations
 
-from webloom.functions.sql import bind, text
+from webloom.functions.sql import bind, strip, text
 from webloom.functions.urls import quote, unquote
 
+_BEFORE_COLON, _AFTER_COLON = "split(v, ':', 2)[0]", "split(v, ':', 2)[1]"
 _RULE_KINDS = ("disallow", "allow", "crawl-delay", "request-rate")
 
 
@@ -22,10 +23,10 @@ def parse_robots_line(line: str) -> str:
 
     A comment behind the content stays part of it.
     """
-    parts = f"split(trimmed, ':', 2)"
-    return bind(f"trim(regexp_replace({line}, {text('(?U)^\\s+|\\s+$')}, ''))", "trimmed",
+    parts = "split(trimmed, ':', 2)"
+    return bind(strip(line), "trimmed",
                 f"if(trimmed LIKE '#%' OR NOT contains(trimmed, ':'), NULL, named_struct("
-                f"'directive', lower(trim({parts}[0])), 'content', trim({parts}[1])))")
+                f"'directive', lower({strip(parts + '[0]')}), 'content', {strip(parts + '[1]')}))")
 
 
 def parsed_lines(body: str) -> str:
@@ -64,13 +65,13 @@ def url_target(url: str) -> str:
 
 def _events(body: str) -> str:
     """Lines that shape the groups: agents, rules and truly empty lines. Comments are cut at ``#`` here."""
-    value = "regexp_replace(regexp_replace(line, '#.*', ''), '^\\\\s+|\\\\s+$', '')"
-    kind = bind("lower(trim(split(v, ':', 2)[0]))", "k",
+    value = strip("regexp_replace(line, '#.*', '')")
+    kind = bind(f"lower({strip(_BEFORE_COLON)})", "k",
                 f"""CASE WHEN line = '' THEN 'blank' WHEN NOT contains(v, ':') THEN 'other'
                     WHEN k = 'user-agent' THEN 'agent'
                     WHEN k IN ({', '.join(f"'{k}'" for k in _RULE_KINDS)}) THEN k ELSE 'other' END""")
     event = bind(value, "v", f"named_struct('kind', {kind}, "
-                             "'value', if(contains(v, ':'), trim(split(v, ':', 2)[1]), ''))")
+                             f"'value', if(contains(v, ':'), {strip(_AFTER_COLON)}, ''))")
     return f"filter(transform({lines(body)}, line -> {event}), e -> e.kind <> 'other')"
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from webloom.functions.sql import any_of, bind, text
+from webloom.functions.sql import any_of, bind, strip, text
 
 # What is cut from raw HTML, in this order, before it is parsed.
 IRRELEVANT_HTML = (
@@ -71,7 +71,7 @@ def contains_any_of(value: str, words: str) -> str:
 
 
 def clean_product_name(name: str) -> str:
-    return f"trim(regexp_replace({name}, {text(NAME_LABELS)}, ''))"
+    return strip(f"regexp_replace({name}, {text(NAME_LABELS)}, '')")
 
 
 def product_price(amount: str) -> str:
@@ -97,5 +97,4 @@ def classify_error(message: str) -> str:
 
 def collapse_lines(value: str) -> str:
     """One line: every line trimmed, empty ones dropped, the rest joined by a space."""
-    return (f"array_join(filter(transform(split({value}, '\\n'), "
-            f"line -> regexp_replace(line, {text('(?U)^\\s+|\\s+$')}, '')), line -> line <> ''), ' ')")
+    return f"array_join(filter(transform(split({value}, '\\n'), line -> {strip('line')}), line -> line <> ''), ' ')"

@@ -6,13 +6,8 @@ Everything is built from Spark's own functions, so URL work stays in the JVM. Re
 
 from __future__ import annotations
 
-from webloom.functions.sql import bind, text, texts
+from webloom.functions.sql import bind, strip, text, texts
 
-# Characters that count as white space at the ends of a URL.
-WHITE_SPACE = (
-    " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
-    "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
-)
 # A link with one of these prefixes is not a page address.
 SKIPPED_LINK = "^(javascript:|mailto:|tel:|#)"
 SKIPPED_URL = "^(data:|javascript:|mailto:|tel:|#)"
@@ -26,17 +21,12 @@ PARAMETER_SCHEMES = ("", "ftp", "hdl", "prospero", "http", "https", "shttp", "rt
 SITEMAP_PATHS = ("/sitemap.xml", "/sitemap_index.xml", "/sitemap/sitemap.xml")
 
 _SCHEME = r"[A-Za-z][A-Za-z0-9+.\-]*:"
-_SPACES = text(WHITE_SPACE)
 
 
 def _part(url: str, pattern: str) -> str:
     return f"regexp_extract({url}, {text('(?s)' + pattern)}, 1)"
 
 
-def strip(value: str) -> str:
-    return f"btrim({value}, {_SPACES})"
-
-
 def strip_slashes(url: str) -> str:
     """Drop every leading and trailing slash."""
     return f"btrim({url}, '/')"
@@ -124,7 +114,7 @@ def is_valid_url(url: str) -> str:
         (p.params <> '' AND rtrim(':', p.scheme) NOT IN ({texts(PARAMETER_SCHEMES)}))) AND NOT {_bad_host('p')}"""
     return f"""CASE
         WHEN {url} IS NULL OR {url} = '' THEN false
-        WHEN {url} RLIKE {text(r'^https?://[^/?#\[\]]')} THEN true
+        WHEN {url} RLIKE {text(r'^https?://[^/?#\[\]]+(?:[/?#]|$)')} THEN true
         WHEN {url} RLIKE '{SKIPPED_URL}' THEN false
         ELSE {bind(url_parts(url), 'p', place)} END"""
 

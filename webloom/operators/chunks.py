@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from webloom.functions import dom
 from webloom.functions.text import PRODUCT_FILE_INDICATORS, PRODUCT_INDICATORS, contains_any
+from webloom.operators.batches import pieces
 from webloom.operators.nodes import parse_nodes
 
 # Where the text of a shop page is, where it is not, and how long text is cut.
@@ -21,8 +22,6 @@ CHUNK_CHARS = 4000
 CHUNK_FILE_CHARS = 3000
 OVERLAP_CHARS = 200
 
-_ROWS_PER_BATCH = 1024
-
 
 def _packed(pieces: list[str], size: int, overlap: int) -> Iterator[str]:
     """Join neighbouring pieces up to ``size``; each run starts with the end of the one before, up to ``overlap``."""
@@ -41,8 +40,8 @@ def _chunks(text: str, size: int, overlap: int, separators: Sequence[str] = SEPA
     """Cut at the first separator that occurs; what is still too long is cut at the next ones."""
     level = next(i for i, s in enumerate(separators) if s in text)
     mark, finer = separators[level], separators[level + 1:]
-    parts = text.split(mark) if mark else list(text)
-    pieces = [p for p in (parts[0], *(mark + part for part in parts[1:])) if p]
+    first, *others = text.split(mark) if mark else [""]
+    pieces = [p for p in (first, *(mark + part for part in others)) if p] if mark else list(text)
     run: list[str] = []
     for piece in pieces:
         if len(piece) < size:
@@ -64,18 +63,16 @@ def chunk_text(texts: DataFrame, text: str = "text", keep: Sequence[str] = ("pag
         T.StructField("chunk_no", T.IntegerType()), T.StructField("chunk", T.StringType())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, _ROWS_PER_BATCH):
-                part = batch.slice(start, _ROWS_PER_BATCH)
-                rows, numbers, chunks = [], [], []
-                for row, value in enumerate(part.column(len(keep)).to_pylist()):
-                    for number, chunk in enumerate(c for c in _chunks(value or "", size, overlap) if c):
-                        rows.append(row)
-                        numbers.append(number)
-                        chunks.append(chunk)
-                kept = [column.take(pa.array(rows, pa.int64())) for column in part.columns[:len(keep)]]
-                yield pa.RecordBatch.from_arrays(
-                    [*kept, pa.array(numbers, pa.int32()), pa.array(chunks, pa.string())], [*keep, "chunk_no", "chunk"])
+        for part in pieces(batches, len(keep)):
+            rows, numbers, chunks = [], [], []
+            for row, value in enumerate(part.column(len(keep)).to_pylist()):
+                for number, chunk in enumerate(c for c in _chunks(value or "", size, overlap) if c):
+                    rows.append(row)
+                    numbers.append(number)
+                    chunks.append(chunk)
+            kept = [column.take(pa.array(rows, pa.int64())) for column in part.columns[:len(keep)]]
+            yield pa.RecordBatch.from_arrays(
+                [*kept, pa.array(numbers, pa.int32()), pa.array(chunks, pa.string())], [*keep, "chunk_no", "chunk"])
 
     return texts.select(*keep, text).mapInArrow(cut, schema)
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webloom.functions import dom
-from webloom.functions.sql import text
+from webloom.functions.sql import strip, text
 from webloom.functions.text import PRODUCT_URL_WORDS, contains_any
 from webloom.functions.urls import is_valid_url, normalize_url
 from webloom.operators.nodes import parse_nodes
@@ -52,7 +52,7 @@ RULES: tuple[tuple[str, str, str], ...] = (
     ("images", f"n.tag IN ('img', 'source') AND {_SRCSET} <> ''", _all(_SRCSET, SRCSET)),
     ("other", f"n.tag = 'meta' AND lower({dom.attr('n', 'http-equiv')}) LIKE '%refresh%' "
               f"AND {_CONTENT} RLIKE {text(REFRESH)}",
-     f"array(trim(regexp_extract({_CONTENT}, {text(REFRESH)}, 1)))"),
+     f"array({strip(f'regexp_extract({_CONTENT}, {text(REFRESH)}, 1)')})"),
     ("other", f"n.tag = 'link' AND {_HREF} <> '' AND array_contains(split({_REL}, ' '), 'canonical')",
      f"array({_HREF})"),
 )

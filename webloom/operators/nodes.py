@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from webloom.operators.batches import pieces
 from webloom.schemas import NODE, NODES, VOID_TAGS
 
 # Attributes that hold a list of words.
@@ -22,7 +23,6 @@ WORD_LISTS = frozenset(("class", "rel", "rev", "accept-charset", "headers", "acc
 PREFORMATTED = frozenset(("pre", "textarea"))
 
 _VOID = frozenset(VOID_TAGS)
-_PAGES_PER_BATCH = 256
 
 
 class _Recorder(HTMLParser):
@@ -157,11 +157,9 @@ def parse_nodes(pages: DataFrame, html: str = "html", keep: Sequence[str] = ("pa
     schema = T.StructType([pages.schema[c] for c in keep] + [T.StructField("nodes", NODES)])
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, _PAGES_PER_BATCH):
-                part = batch.slice(start, _PAGES_PER_BATCH)
-                nodes = _nodes_array(part.column(len(keep)), with_text)
-                yield pa.RecordBatch.from_arrays([*part.columns[:len(keep)], nodes], [*keep, "nodes"])
+        for part in pieces(batches, len(keep)):
+            nodes = _nodes_array(part.column(len(keep)), with_text)
+            yield pa.RecordBatch.from_arrays([*part.columns[:len(keep)], nodes], [*keep, "nodes"])
 
     return pages.select(*keep, html).mapInArrow(parse, schema)
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webloom.functions import dom
-from webloom.functions.sql import bind, text
+from webloom.functions.sql import bind, strip, text
 from webloom.functions.text import PRICE_TEXT, clean_product_name, product_matches
 from webloom.operators.chunks import CHUNK_FILE_CHARS, product_chunks
 from webloom.operators.nodes import explode_nodes, parse_nodes
@@ -77,7 +77,7 @@ def extract_product_fields(pages: DataFrame, limit: int = MAX_SECTIONS) -> DataF
                        for a in ID_ATTRIBUTES)
     image = f"get(filter({dom.select_elements('part', dom.by_tag('img'))}, i -> {dom.attr('i', 'src')} <> ''), 0)"
     paragraphs = (f"transform({dom.select_elements('part', dom.by_tag('p'))}, "
-                  f"p -> trim({dom.text_of(dom.subtree('nodes', 'p'))}))")
+                  f"p -> {strip(dom.text_of(dom.subtree('nodes', 'p')))})")
     longest = ("aggregate(paragraphs, cast(NULL AS string), (best, p) -> "
                "if(p <> '' AND length(p) > coalesce(length(best), 0), p, best))")
     product = f"""named_struct('name', nullif({name}, ''),

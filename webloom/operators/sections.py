@@ -64,7 +64,7 @@ def assembled(hits: str, nodes: str = "nodes") -> str:
                 f"'tag', cast(NULL AS string), 'attrs', {empty}, 'text', '\\n')")
     moved = (f"transform(slice({nodes}, s.lo + 1, s.hi - s.lo + 1), n -> named_struct("
              f"'id', n.id - s.lo + o, 'last_id', n.last_id - s.lo + o, "
-             f"'parent_id', if(n.id = s.lo, 0, greatest(n.parent_id - s.lo + o, 0)), "
+             f"'parent_id', if(n.id = s.lo OR n.parent_id < s.lo, 0, n.parent_id - s.lo + o), "
              f"'depth', n.depth - get({nodes}, s.lo).depth + 1, "
              f"'kind', n.kind, 'tag', n.tag, 'attrs', n.attrs, 'text', n.text))")
     inner = f"flatten(zip_with(spans, {starts}, (s, o) -> if(o = 1, {moved}, concat(array({line_end}), {moved}))))"
@@ -73,6 +73,26 @@ def assembled(hits: str, nodes: str = "nodes") -> str:
     return bind(spans, "spans", bind(inner, "inner", f"concat(array({root}), inner)"))
 
 
+def reread(document: str) -> str:
+    """An assembled document as it is once its HTML is parsed again: neighbouring white space texts are one, and so is
+    the line end a doctype is written with. Numbers stay, so texts that went are empty."""
+
+    def space(node: str) -> str:
+        return f"({node}.kind = 'text' AND {node}.parent_id = n.parent_id AND {node}.text RLIKE '^[ \\\\n\\\\t\\\\r\\\\f]+$')"
+
+    before, after = f"get({document}, i - 1)", f"get({document}, i + 1)"
+    doctype = "(n.kind = 'doctype' AND n.parent_id = 0)"
+    joins = f"coalesce({space(before)} OR ({before}.kind = 'doctype' AND {before}.parent_id = n.parent_id), false)"
+    value = f"""CASE
+        WHEN {doctype} THEN concat('<!DOCTYPE ', n.text, '>\\n\\n')
+        WHEN NOT coalesce({space('n')}, false) THEN n.text
+        WHEN {joins} THEN ''
+        WHEN coalesce({space(after)} AND contains({after}.text, '\\n'), false) THEN '\\n' ELSE n.text END"""
+    return (f"transform({document}, (n, i) -> named_struct('id', n.id, 'last_id', n.last_id, 'parent_id', n.parent_id, "
+            f"'depth', n.depth, 'kind', if({doctype}, 'raw', n.kind), 'tag', n.tag, 'attrs', n.attrs, "
+            f"'text', {value}))")
+
+
 def select_elements(pages: DataFrame, predicate: dom.Predicate) -> DataFrame:
     """(page_id, node columns) of the elements that match."""
     parsed = parse_nodes(pages, keep=("page_id",))
@@ -132,7 +152,7 @@ def filter_html_stages(pages: DataFrame, fields: Sequence[str], max_tokens: int
     return (
         _with_sections(cleaned, fields, keep, "html")
         .selectExpr(*keep, f"{tokens_for(dom.rendered_length('sections'))} AS relevant",
-                    f"{dom.compress_attributes('sections', fields)} AS compact")
+                    f"{dom.compress_attributes(reread('sections'), fields)} AS compact")
         .selectExpr(*keep, "relevant", f"{tokens_for(dom.rendered_length('compact'))} AS compressed",
                     f"{fitted} AS fitted")
         .selectExpr(*keep, "relevant", "compressed", f"{dom.render_html('fitted')} AS full_html")

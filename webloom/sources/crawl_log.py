@@ -6,7 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.functions.sql import bind
+from webloom.functions.sql import bind, strip
 from webloom.schemas import CRAWL_RESULT
 
 # The separator and the outcome texts of the log format.
@@ -22,7 +22,7 @@ def parse_crawl_line(line: str) -> str:
     """SQL struct (url, status, http_status, file, detail) of a log line, NULL for a line that is no log entry."""
     rest = f"array_join(slice(p, 2, size(p)), '{ARROW}')"
     fields = f"""named_struct(
-        'url', trim(p[0]),
+        'url', {strip('p[0]')},
         'status', CASE
             WHEN p[1] RLIKE '^[0-9]+$' THEN if(get(p, 2) = '{SAVE_ERROR}', 'save_error', 'fetched')
             WHEN startswith(p[1], 'forbidden by robotstxt') THEN 'forbidden'
@@ -36,7 +36,7 @@ def parse_crawl_line(line: str) -> str:
             WHEN startswith(p[1], '{FORBIDDEN}') THEN substring({rest}, {len(FORBIDDEN) + 1})
             WHEN startswith(p[1], '{UNEXPECTED}') THEN substring({rest}, {len(UNEXPECTED) + 1})
             WHEN startswith(p[1], '{ERROR}') THEN substring({rest}, {len(ERROR) + 1}) END)"""
-    return bind(f"trim({line})", "l",
+    return bind(strip(line), "l",
                 f"if(contains(l, '{ARROW}'), {bind(f'split(l, {ARROW!r})', 'p', fields)}, NULL)")
 
 
@@ -56,7 +56,7 @@ def parse_crawl_log(lines: DataFrame, value: str = "value", pos: str | None = No
     """(pos, url, status, http_status, file, detail), one row per log entry. Without a position column, positions
     follow the order of the input files and splits."""
     order = F.col(pos).cast("bigint") if pos else F.monotonically_increasing_id()
-    entries = lines.select(order.alias("pos"), F.col(value).alias("line")).filter(f"contains(trim(line), '{ARROW}')")
+    entries = lines.select(order.alias("pos"), F.col(value).alias("line")).filter(f"contains({strip('line')}, '{ARROW}')")
     return entries.select("pos", F.expr(parse_crawl_line("line")).alias("entry")).select("pos", "entry.*")
 
 

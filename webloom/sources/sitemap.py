@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from webloom.functions.sql import strip
+
 _ENTRY = "ARRAY<STRUCT<loc: STRING, lastmod: STRING>>"
 _SCHEMA = f"url {_ENTRY}, sitemap {_ENTRY}"
 
@@ -18,7 +20,8 @@ def read_sitemap(sitemaps: DataFrame) -> DataFrame:
     return (
         sitemaps.select("sitemap_url", F.from_xml("body", _SCHEMA).alias("x"))
         .selectExpr("sitemap_url", f"posexplode({entries}) AS (pos, entry)")
-        .selectExpr("sitemap_url", "pos", "trim(entry.loc) AS loc", "try_to_timestamp(trim(entry.lastmod)) AS lastmod")
+        .selectExpr("sitemap_url", "pos", f"{strip('entry.loc')} AS loc",
+                    f"try_to_timestamp({strip('entry.lastmod')}) AS lastmod")
         .filter("loc IS NOT NULL")
     )
 
