@@ -178,3 +178,36 @@ def test_product_chunk_filter(spark):
     assert [r.id for r in chunks.filter_product_chunks(df).orderBy("id").collect()] == [1, 2]
     more = chunks.filter_product_chunks(df, chunks.PRODUCT_FILE_INDICATORS)
     assert [r.id for r in more.orderBy("id").collect()] == [1, 2, 3]
+
+
+def test_plain_reader_and_parser_build_the_same_tree():
+    from webloom.operators import nodes as N
+
+    def tree(page, read):
+        rows, last_ids = [], []
+        built = N._Tree(rows, last_ids, True)
+        done = read(page, built)
+        built.finish()
+        return done, rows, last_ids
+
+    def with_parser(page, built):
+        parser = N._Events(built)
+        parser.feed(page)
+        parser.close()
+        return True
+
+    atoms = ["<p>", "</p>", '<b class="a  b">', "<B>", "</B >", "<br/>", "<img src=x>", '<img src="/x" alt="">',
+             "<i a='1' b>", "text", "&amp;", "&amp", "&", "&copy;", "&#65;", "&#x41", "<", ">", "a<b", "<!-- c -->",
+             "<!-- a--b -->", "<!---->", "<!-->", "<!DOCTYPE html>", "<script>", "</script>", "<SCRIPT>x</SCRIPT>",
+             '<script>var a="</p>";</script>', "<style>p</style>", "<title>a &amp; b</title>", "<title><b></title>",
+             '<a href="/x?a=1&amp;b=2">', '<a href="/x?a=1&copy=2">', "\n", " ", "<x-y>", "<a/>", "<p / >", "<?php x?>",
+             "<![CDATA[x]]>", "</>", '<a b="1"c="2">', '<a b=">">', "\xa0", "<a B='X' b=\"y\">", "<textarea>\n x</textarea>"]
+    rng = random.Random(9)
+    plain = 0
+    for _ in range(20_000):
+        page = "".join(rng.choice(atoms) for _ in range(rng.randint(0, 6)))
+        done, *quick = tree(page, N._read_plain)
+        plain += done
+        if done:
+            assert quick == list(tree(page, with_parser)[1:]), page
+    assert plain > 3000

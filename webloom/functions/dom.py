@@ -208,6 +208,7 @@ def compress_attributes(nodes: str, fields: Sequence[str]) -> str:
 # --- token budget ---------------------------------------------------------------------------------------------------
 
 # What may go when a page is over budget, least valuable group first.
+REMOVAL_TAGS = ("svg", "nav", "footer", "aside")
 REMOVAL_GROUPS = (
     (by_tag("svg"), with_attr("alt", "", tag="img"), by_class("icon"), by_class("decoration")),
     (by_tag("nav"), by_class("navigation"), by_class("menu"), by_class("breadcrumb")),
@@ -219,13 +220,15 @@ REMOVAL_GROUPS = (
 def removal_candidates(nodes: str, keywords: str) -> str:
     """Intervals that may be removed, in removal order; elements whose text holds a keyword are left out."""
     guarded = contains_any_of(text_of(subtree(nodes, "c")), keywords)
-    lists = [f"filter({nodes}, c -> {p('c')})" for group in REMOVAL_GROUPS for p in group]
-    return (f"transform(filter(concat({', '.join(lists)}), c -> NOT {guarded}), c -> named_struct("
+    lists = ", ".join(f"filter(some, c -> {p('c')})" for group in REMOVAL_GROUPS for p in group)
+    some = f"filter({nodes}, n -> n.kind = 'element' AND (size(n.attrs) > 0 OR n.tag IN ({texts(REMOVAL_TAGS)})))"
+    return (f"transform(filter({bind(some, 'some', f'concat({lists})')}, c -> NOT {guarded}), c -> named_struct("
             f"'id', c.id, 'last_id', c.last_id, 'chars', {rendered_length(subtree(nodes, 'c'))}))")
 
 
-def budget_removal(nodes: str, keywords: str, max_tokens: int) -> str:
-    """Nodes after removing candidates one by one until the page fits its token budget.
+def budget_removal(nodes: str, keywords: str, max_tokens: int, chars: str | None = None) -> str:
+    """Nodes after removing candidates one by one until the page fits its token budget. ``chars`` is the rendered
+    length of the nodes where it is known.
 
     What an earlier removal took is not counted again when an element around it goes.
     """
@@ -239,5 +242,5 @@ def budget_removal(nodes: str, keywords: str, max_tokens: int) -> str:
     gone = f"""aggregate({removal_candidates(nodes, keywords)}, {start}, (s, c) -> {step},
         s -> sort_array(transform(s.gone, g -> named_struct('id', g.id, 'last_id', g.last_id))))"""
     removed = bind(gone, "removals", drop_subtrees(nodes, "removals"))
-    return bind(rendered_length(nodes), "whole",
+    return bind(chars or rendered_length(nodes), "whole",
                 f"if(ceil(whole / {CHARS_PER_TOKEN}) > {max_tokens}, {removed}, {nodes})")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webloom.functions import dom
-from webloom.functions.sql import bind, text_array
+from webloom.functions.sql import bind, text_array, texts
 from webloom.functions.text import (
     DEFAULT_TOKEN_BUDGET, count_tokens, field_keywords, strip_irrelevant_html, tokens_for, truncate_budget,
 )
@@ -20,6 +20,7 @@ from webloom.operators.nodes import explode_nodes, parse_nodes
 
 # Form fields, and where the main content of a page is.
 FORM_TAGS = ("form", "input", "select", "textarea", "label")
+CONTENT_TAGS = ("main", "article")
 CONTENT_SELECTORS = (
     dom.by_tag("main"), dom.with_attr("role", "main"), dom.by_class("main-content"), dom.by_id("main-content"),
     dom.by_class("content"), dom.by_id("content"), dom.by_tag("article"), dom.by_class("article"),
@@ -36,17 +37,21 @@ def relevant_ids(fields: Sequence[str], data_values: bool = False, nodes: str =
     surroundings of texts that hold a field keyword. ``data_values`` also searches the values of data attributes."""
 
     def listed(predicate: dom.Predicate) -> str:
-        return f"transform({dom.select_elements(nodes, predicate)}, h -> h.id)"
+        return f"transform({dom.select_elements('some', predicate)}, h -> h.id)"
 
     by_field = []
     for field in (f.lower() for f in fields):
         by_field += [listed(dom.attr_contains(a, field)) for a in FIELD_ATTRIBUTES]
         if data_values:
             by_field.append(listed(dom.data_attr_contains(field)))
+    # Every selector needs an attribute or one of a few tags; the many plain elements are looked at once.
+    some = (f"filter({nodes}, n -> n.kind = 'element' AND (size(n.attrs) > 0 OR "
+            f"n.tag IN ({texts((*FORM_TAGS, *CONTENT_TAGS))})))")
+    chosen = bind(some, "some", "concat(" + ", ".join(
+        [*by_field, listed(dom.by_tag(*FORM_TAGS)), *[listed(s) for s in CONTENT_SELECTORS]]) + ")")
     around = (f"transform(filter({nodes}, n -> {dom.text_contains(keywords_sql(fields))('n')}), "
               f"t -> {dom.ancestor_context(nodes, 't')})")
-    parts = [*by_field, listed(dom.by_tag(*FORM_TAGS)), *[listed(s) for s in CONTENT_SELECTORS], around]
-    return f"array_distinct(concat({', '.join(parts)}))"
+    return f"array_distinct(concat({chosen}, {around}))"
 
 
 def body_id(nodes: str = "nodes") -> str:
@@ -148,13 +153,13 @@ def filter_html_stages(pages: DataFrame, fields: Sequence[str], max_tokens: int
         pages.selectExpr("page_id", f"{count_tokens('html')} AS original", f"{strip_irrelevant_html('html')} AS html")
         .selectExpr("page_id", "original", f"{count_tokens('html')} AS stripped", "html")
     )
-    fitted = dom.budget_removal("compact", keywords_sql(fields), max_tokens)
+    fitted = dom.budget_removal("compact", keywords_sql(fields), max_tokens, "compact_chars")
     return (
         _with_sections(cleaned, fields, keep, "html")
         .selectExpr(*keep, f"{tokens_for(dom.rendered_length('sections'))} AS relevant",
                     f"{dom.compress_attributes(reread('sections'), fields)} AS compact")
-        .selectExpr(*keep, "relevant", f"{tokens_for(dom.rendered_length('compact'))} AS compressed",
-                    f"{fitted} AS fitted")
+        .selectExpr(*keep, "relevant", f"{dom.rendered_length('compact')} AS compact_chars", "compact")
+        .selectExpr(*keep, "relevant", f"{tokens_for('compact_chars')} AS compressed", f"{fitted} AS fitted")
         .selectExpr(*keep, "relevant", "compressed", f"{dom.render_html('fitted')} AS full_html")
         .selectExpr(*keep, "relevant", "compressed", f"{truncate_budget('full_html', max_tokens)} AS html")
         .selectExpr("page_id", "html", "original", "stripped", "relevant", "compressed",

@@ -44,10 +44,6 @@ def _log(spark: SparkSession, sf: str) -> DataFrame:
     return crawl_log.parse_crawl_log(I.log_lines(spark, sf), pos="page_id")
 
 
-def _documents(spark: SparkSession, sf: str) -> DataFrame:
-    return I.table(spark, sf, "documents").select("doc_id", "text")
-
-
 # --- sources and sinks ----------------------------------------------------------------------------------------------
 
 @query
@@ -160,12 +156,12 @@ def q_render_html(spark, sf):
 
 @query
 def q_count_tokens(spark, sf):
-    return _documents(spark, sf).selectExpr("doc_id", f"{X.count_tokens('text')} AS tokens")
+    return I.documents(spark, sf).selectExpr("doc_id", f"{X.count_tokens('text')} AS tokens")
 
 
 @query
 def q_truncate_budget(spark, sf):
-    return _documents(spark, sf).selectExpr("doc_id", f"{X.truncate_budget('text', 500)} AS text")
+    return I.documents(spark, sf).selectExpr("doc_id", f"{X.truncate_budget('text', 500)} AS text")
 
 
 @query
@@ -230,7 +226,7 @@ def q_build_prompts(spark, sf):
 
 @query
 def q_build_extraction_prompts(spark, sf):
-    cut = chunks.chunk_fixed(_documents(spark, sf), keep=("doc_id",))
+    cut = chunks.chunk_fixed(I.documents(spark, sf), keep=("doc_id",))
     return navigate.build_extraction_prompts(cut, EXTRACTION_PROMPT, "JSON").select("doc_id", "chunk_no", "prompt")
 
 
@@ -261,7 +257,7 @@ def q_parse_product_response(spark, sf):
 
 @query
 def q_filter_product_chunks(spark, sf):
-    return chunks.filter_product_chunks(chunks.chunk_fixed(_documents(spark, sf), keep=("doc_id",)))
+    return chunks.filter_product_chunks(chunks.chunk_fixed(I.documents(spark, sf), keep=("doc_id",)))
 
 
 @query
@@ -497,19 +493,19 @@ def q_parse_nodes(spark, sf):
 
 @query
 def q_chunk_text(spark, sf):
-    lines = _documents(spark, sf).selectExpr("doc_id", f"{X.collapse_lines('text')} AS text")
+    lines = I.documents(spark, sf).selectExpr("doc_id", f"{X.collapse_lines('text')} AS text")
     return chunks.chunk_text(lines, keep=("doc_id",)).selectExpr(
         "doc_id", "chunk_no", "length(chunk) AS chars", "md5(chunk) AS chunk_md5")
 
 
 @query
 def q_chunk_text_lines(spark, sf):
-    return chunks.chunk_text(_documents(spark, sf), keep=("doc_id",), size=chunks.CHUNK_FILE_CHARS)
+    return chunks.chunk_text(I.documents(spark, sf), keep=("doc_id",), size=chunks.CHUNK_FILE_CHARS)
 
 
 @query
 def q_chunk_fixed(spark, sf):
-    return chunks.chunk_fixed(_documents(spark, sf), keep=("doc_id",))
+    return chunks.chunk_fixed(I.documents(spark, sf), keep=("doc_id",))
 
 
 @query

@@ -51,6 +51,16 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_source.read_pages(spark, f"{sf_dir}/pages.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_source.spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def grouped(rows: DataFrame, key: str) -> DataFrame:
+    """Rows placed by the key they are about to be grouped by, on all shuffle partitions: what is built from a few
+    bytes here is costly to parse later, and a small shuffle would be merged into too few tasks."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def url_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(pos, url): the page addresses as a list to crawl."""
     return table(spark, sf_dir, "pages").selectExpr("page_id AS pos", "url")
@@ -70,7 +80,7 @@ def shop_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     cards = table(spark, sf_dir, "part").selectExpr(
         f"p_partkey DIV {PARTS_PER_PAGE} AS page_id", "p_partkey",
         f"{card_sql(f'(p_partkey DIV {PARTS_PER_PAGE})', price)} AS card")
-    built = cards.groupBy("page_id").agg(
+    built = grouped(cards, "page_id").groupBy("page_id").agg(
         F.expr("array_join(transform(array_sort(collect_list(struct(p_partkey, card))), c -> c.card), '')")
         .alias("cards"))
     return built.selectExpr(
@@ -90,7 +100,7 @@ def product_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "part").selectExpr(
         f"p_partkey DIV {PARTS_PER_TEXT} AS text_id", "p_partkey",
         f"{product_line_sql('format_string(\'%.2f\', p_retailprice)')} AS line")
-    return lines.groupBy("text_id").agg(
+    return grouped(lines, "text_id").groupBy("text_id").agg(
         F.expr("array_join(transform(array_sort(collect_list(struct(p_partkey, line))), l -> l.line), '\\n')")
         .alias("text"))
 
