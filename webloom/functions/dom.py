@@ -95,10 +95,18 @@ def inside(node: str, outer: str) -> str:
 
 
 def outermost(nodes: str) -> str:
-    """Intervals of the nodes that lie in no other node of the list (list in document order)."""
-    return (f"aggregate(transform({nodes}, o -> named_struct('id', o.id, 'last_id', o.last_id)), {_INTERVALS}, "
-            "(kept, o) -> if(size(kept) > 0 AND o.id <= get(kept, size(kept) - 1).last_id, "
-            "kept, array_append(kept, o)))")
+    """Intervals of the nodes that lie in no other node of the list (list in document order).
+
+    The fold fills short runs and closes them when full, so a page of many thousand hits does not copy its whole list
+    for each of them.
+    """
+    return f"""aggregate(transform({nodes}, o -> named_struct('id', o.id, 'last_id', o.last_id)),
+        named_struct('last', -1, 'run', {_INTERVALS}, 'full', cast(array() AS array<array<struct<id:int,last_id:int>>>)),
+        (k, o) -> CASE WHEN o.id <= k.last THEN k
+            WHEN size(k.run) >= 256 THEN
+                named_struct('last', o.last_id, 'run', array(o), 'full', array_append(k.full, k.run))
+            ELSE named_struct('last', o.last_id, 'run', array_append(k.run, o), 'full', k.full) END,
+        k -> flatten(array_append(k.full, k.run)))"""
 
 
 def drop_subtrees(nodes: str, bad: str) -> str:

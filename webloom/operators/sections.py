@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webloom.functions import dom
-from webloom.functions.sql import bind, text_array, texts
+from webloom.functions.sql import bind, text, text_array, texts
 from webloom.functions.text import (
     DEFAULT_TOKEN_BUDGET, count_tokens, field_keywords, strip_irrelevant_html, tokens_for, truncate_budget,
 )
@@ -104,6 +104,16 @@ def select_elements(pages: DataFrame, predicate: dom.Predicate) -> DataFrame:
     return explode_nodes(parsed.selectExpr("page_id", f"{dom.select_elements('nodes', predicate)} AS nodes"))
 
 
+def count_elements(pages: DataFrame, selectors: dict[str, dom.Predicate]) -> DataFrame:
+    """(page_id, selector, n) of the selectors with a hit; all of them look at one parse."""
+    counts = ", ".join(f"named_struct('selector', {text(name)}, 'n', size({dom.select_elements('nodes', p)}))"
+                       for name, p in selectors.items())
+    return (
+        parse_nodes(pages, keep=("page_id",), with_text=False)
+        .selectExpr("page_id", f"inline(filter(array({counts}), c -> c.n > 0))")
+    )
+
+
 def drop_subtrees(pages: DataFrame, predicate: dom.Predicate) -> DataFrame:
     """(page_id, nodes) without the matching elements and everything inside them."""
     bad = dom.select_elements("nodes", predicate)

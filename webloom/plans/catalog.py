@@ -73,7 +73,7 @@ def q_read_crawl_json(spark, sf):
     folder = I.work_folder(spark)
     item = ("concat('{\"url\": \"', url, '\",\\n \"crawl_time\": \"2025-06-20 21:41:50\",\\n "
             "\"errors\": \"took longer: ', page_id, '\"}')")
-    arrays = I.table(spark, sf, "pages").selectExpr("page_id DIV 100 AS part", f"{item} AS item") \
+    arrays = I.table(spark, sf, "pages").selectExpr("page_id DIV 1000 AS part", f"{item} AS item") \
         .groupBy("part").agg(F.expr("concat('[', array_join(collect_list(item), ',\\n'), ']')").alias("value"))
     arrays.select("value").write.option("maxRecordsPerFile", 1).text(folder)
     return crawl_log.read_crawl_results(spark, folder).selectExpr(
@@ -285,13 +285,14 @@ def q_filter_directive(spark, sf):
 
 @query
 def q_select_elements(spark, sf):
-    found = [sections.select_elements(I.pages(spark, sf), p).select("page_id", F.lit(name).alias("selector"))
-             for name, p in (("nav", dom.by_tag("nav")), ("footer", dom.by_tag("footer")),
-                             ("article", dom.by_tag("article")), (".ad", dom.by_class("ad")))]
-    rows = found[0]
-    for other in found[1:]:
-        rows = rows.unionByName(other)
-    return rows.groupBy("page_id", "selector").agg(F.count("*").alias("n"))
+    return sections.select_elements(I.pages(spark, sf), dom.by_class("ad")).select("page_id", "id", "tag")
+
+
+@query
+def q_count_elements(spark, sf):
+    return sections.count_elements(I.pages(spark, sf), {
+        "nav": dom.by_tag("nav"), "footer": dom.by_tag("footer"), "article": dom.by_tag("article"),
+        ".ad": dom.by_class("ad")})
 
 
 @query

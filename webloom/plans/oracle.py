@@ -269,10 +269,12 @@ _RESULTS: dict[str, str] = {
     "filter_in_list_empty": "SELECT * FROM nation",
     "filter_directive": f"""WITH {ROBOTS} SELECT robotstxt_url, line_no, content FROM directives
         WHERE directive = 'disallow'""",
-    "select_elements": f"""SELECT * FROM (
-        SELECT page_id, selector, {counted('', 'html').replace("''", 'pattern')} AS n
+    "select_elements": f"""SELECT page_id, 14 + 3 * {counted('<a href=')}
+        + CASE WHEN contains(html, '<title></title>') THEN 0 ELSE 1 END AS id, 'div' AS tag FROM pages""",
+    "count_elements": """SELECT page_id, selector, len(regexp_extract_all(html, pattern)) AS n
         FROM pages, (VALUES ('nav', '<nav[ >]'), ('footer', '<footer[ >]'), ('article', '<article[ >]'),
-            ('.ad', '<[a-z]+ class="([^"]* )?ad( [^"]*)?"')) t(selector, pattern)) WHERE n > 0""",
+            ('.ad', '<[a-z]+ class="([^"]* )?ad( [^"]*)?"')) t(selector, pattern)
+        WHERE regexp_matches(html, pattern)""",
     "match_price_text": f"""WITH {PARTS} SELECT n AS page_id, 25 + 9 * i AS node_id, 24 + 9 * i AS parent_id,
         '$' || price AS text FROM parts""",
     "match_keyword_text": f"""WITH {PARTS} SELECT n AS page_id, 21 + 9 * i AS id, p_name AS text FROM parts
@@ -412,7 +414,7 @@ _INTEGERS = {
     "read_pages": "html_chars", "read_robots": "line_no", "read_sitemap": "pos", "normalize_url": "i",
     "resolve_url": "i", "is_valid_url": "i", "strip_irrelevant_html": "chars", "html_to_text": "chars",
     "parse_robots_line": "line_no", "build_extraction_prompts": "chunk_no", "filter_product_chunks": "chunk_no",
-    "filter_directive": "line_no", "match_price_text": "node_id parent_id", "match_keyword_text": "id",
+    "filter_directive": "line_no", "select_elements": "id", "count_elements": "n", "match_price_text": "node_id parent_id", "match_keyword_text": "id",
     "ancestor_context": "text_id", "drop_subtrees": "id", "robots_summary": "total_rules",
     "url_counts_by_page": "links total", "first_seen_urls": "pos", "dedupe_elements": "pos node_id",
     "first_matching_selector": "selector_no n_hits", "limit_products": "last_pos", "sort_urls": "pos",

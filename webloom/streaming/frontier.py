@@ -27,11 +27,16 @@ def passed_urls(spark: SparkSession, table: str) -> DataFrame:
 
 
 def pass_batch(batch: DataFrame, batch_id: int, table: str, source: str) -> None:
-    """Write the new URLs of one batch. A batch that runs again replaces its own rows and nothing else."""
-    spark = batch.sparkSession
+    """Write the new URLs of one batch. A batch that runs again replaces its own rows and nothing else.
+
+    The table is first cut to the URLs of the batch. For a batch small enough to be broadcast that is a scan of one
+    column; the table is not shuffled, however long it has grown.
+    """
     own = (F.col("source") == source) & (F.col("batch_id") >= batch_id)
-    before = passed_urls(spark, table).filter(~own).select("url")
-    fresh = batch.select("url").where("url IS NOT NULL").dropDuplicates(["url"]).join(before, "url", "left_anti")
+    before = passed_urls(batch.sparkSession, table).filter(~own).select("url")
+    urls = batch.select("url").where("url IS NOT NULL").dropDuplicates(["url"])
+    known = before.join(urls, "url", "left_semi")
+    fresh = urls.join(known, "url", "left_anti")
     fresh.write.mode("overwrite").parquet(f"{table}/source={source}/batch_id={batch_id}")
 
 
