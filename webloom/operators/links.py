@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webloom.functions import dom
-from webloom.functions.sql import strip, text
+from webloom.functions.sql import bind, strip, text, texts
 from webloom.functions.text import PRODUCT_URL_WORDS, contains_any
 from webloom.functions.urls import is_valid_url, normalize_url
 from webloom.operators.nodes import parse_nodes
@@ -59,10 +59,11 @@ RULES: tuple[tuple[str, str, str], ...] = (
 
 
 def raw_links(nodes: str) -> str:
-    """Array of (category, raw link): rule by rule, each rule in document order."""
+    """Array of raw links, rule by rule, each rule in document order. The first character of an entry is the number of
+    its category: plain strings are what Spark deduplicates by hash."""
     parts = [
         f"transform(flatten(transform(filter({nodes}, n -> {where}), n -> {links})), "
-        f"r -> named_struct('category', '{category}', 'raw', r))"
+        f"r -> concat('{CATEGORIES.index(category)}', r))"
         for category, where, links in RULES
     ]
     return f"concat({', '.join(parts)})"
@@ -70,15 +71,17 @@ def raw_links(nodes: str) -> str:
 
 def page_links(pages: DataFrame, base: str | None = "url", keep: Sequence[str] = ("page_id", "url")) -> DataFrame:
     """``keep`` columns plus ``links``: the valid URLs of each page as (category, url), first occurrences only."""
-    absolute = f"transform(raw, r -> named_struct('category', r.category, 'url', {normalize_url('r.raw', base)}))"
+    valid = bind(normalize_url("substring(r, 2)", base), "u", f"if({is_valid_url('u')}, concat(left(r, 1), u), NULL)")
+    names = "array(" + texts(CATEGORIES) + ")"
     # Only elements with attributes can hold a link; the rules then scan a short array.
     bearing = "filter(nodes, n -> n.kind = 'element' AND size(n.attrs) > 0)"
     return (
         parse_nodes(pages, keep=keep, with_text=False)
         .selectExpr(*keep, f"{bearing} AS bearing")
         .selectExpr(*keep, f"array_distinct({raw_links('bearing')}) AS raw")
-        .selectExpr(*keep, f"{absolute} AS found")
-        .selectExpr(*keep, f"array_distinct(filter(found, u -> {is_valid_url('u.url')})) AS links")
+        .selectExpr(*keep, f"array_distinct(array_compact(transform(raw, r -> {valid}))) AS found")
+        .selectExpr(*keep, f"transform(found, f -> named_struct('category', get({names}, cast(left(f, 1) AS INT)), "
+                           "'url', substring(f, 2))) AS links")
     )
 
 
