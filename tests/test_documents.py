@@ -185,7 +185,7 @@ def test_plain_reader_and_parser_build_the_same_tree():
 
     def tree(page, read):
         rows, last_ids = [], []
-        built = N._Tree(rows, last_ids, True)
+        built = N._Tree(rows, last_ids, True, {"p": 1, "b": 2})
         done = read(page, built)
         built.finish()
         return done, rows, last_ids

@@ -132,29 +132,11 @@ def ancestor_context(nodes: str, node: str, levels: int = 2) -> str:
     return number
 
 
-def html_to_text(nodes: str, wanted: Sequence[str], unwanted: Sequence[str]) -> str:
-    """Text inside wanted elements and outside unwanted ones, trimmed and on one line.
-
-    One fold in document order that remembers where the current wanted and unwanted elements end.
-    """
-    seen = f"""filter({nodes}, n -> n.kind = 'text' OR
-        (n.kind = 'element' AND n.tag IN ({texts((*wanted, *unwanted))})))"""
-    marks = "'barred', k.barred, 'open', k.open"
-    kept = f"""aggregate(transform({seen}, n -> named_struct('id', n.id, 'last_id', n.last_id, 'text', n.text,
-            'role', CASE WHEN n.kind = 'text' THEN 0 WHEN n.tag IN ({texts(unwanted)}) THEN 1 ELSE 2 END)),
-        named_struct('barred', -1, 'open', -1, 'run', cast(array() AS array<string>),
-            'full', cast(array() AS array<array<string>>)),
-        (k, n) -> CASE
-            WHEN n.role = 1 THEN named_struct('barred', greatest(k.barred, n.last_id), 'open', k.open,
-                'run', k.run, 'full', k.full)
-            WHEN n.role = 2 THEN named_struct('barred', k.barred, 'open', greatest(k.open, n.last_id),
-                'run', k.run, 'full', k.full)
-            WHEN n.id <= k.barred OR n.id > k.open THEN k
-            WHEN size(k.run) >= 256 THEN
-                named_struct({marks}, 'run', array(n.text), 'full', array_append(k.full, k.run))
-            ELSE named_struct({marks}, 'run', array_append(k.run, n.text), 'full', k.full) END,
-        k -> flatten(array_append(k.full, k.run)))"""
-    lines = f"flatten(transform({kept}, t -> split(t, '\\n')))"
+def html_to_text(nodes: str) -> str:
+    """Text inside wanted elements and outside unwanted ones, trimmed and on one line. The nodes are marked with the
+    wanted tags as first group and the unwanted ones as second."""
+    kept = f"filter({nodes}, n -> n.kind = 'text' AND n.marks = 1)"
+    lines = f"flatten(transform({kept}, t -> split(t.text, '\\n')))"
     trimmed = f"transform({lines}, line -> {strip('line')})"
     return f"array_join(filter({trimmed}, line -> line <> ''), ' ')"
 

@@ -88,8 +88,8 @@ def chunk_fixed(texts: DataFrame, text: str = "text", keep: Sequence[str] = ("pa
 
 def html_to_text(pages: DataFrame, tags: Sequence[str] = TEXT_TAGS, keep: Sequence[str] = ("page_id",)) -> DataFrame:
     """``keep`` columns plus ``text``: reader text of each page on one line."""
-    return parse_nodes(pages, keep=keep).selectExpr(
-        *keep, f"{dom.html_to_text('nodes', tags, SKIPPED_TAGS)} AS text")
+    return parse_nodes(pages, keep=keep, groups=(tags, SKIPPED_TAGS)).selectExpr(
+        *keep, f"{dom.html_to_text('nodes')} AS text")
 
 
 def filter_product_chunks(chunks: DataFrame, indicators: Sequence[str] = PRODUCT_INDICATORS) -> DataFrame:

@@ -53,9 +53,10 @@ def page_features(pages: DataFrame) -> DataFrame:
     """(page_id, url, structural_score, content_density): main or article elements, and reader text per HTML length."""
     sized = pages.selectExpr("page_id", "url", "html", "length(html) AS html_chars")
     structural = f"exists(nodes, n -> {dom.by_tag('main', 'article')('n')})"
-    return parse_nodes(sized, keep=("page_id", "url", "html_chars")).selectExpr(
+    groups = (TEXT_FILE_TAGS, SKIPPED_TAGS)
+    return parse_nodes(sized, keep=("page_id", "url", "html_chars"), groups=groups).selectExpr(
         "page_id", "url", f"cast({structural} AS int) AS structural_score",
-        f"try_divide(length({dom.html_to_text('nodes', TEXT_FILE_TAGS, SKIPPED_TAGS)}), html_chars) AS content_density")
+        f"try_divide(length({dom.html_to_text('nodes')}), html_chars) AS content_density")
 
 
 def top_urls(relevant: DataFrame, features: DataFrame | None = None, n: int = MAX_URLS) -> DataFrame:

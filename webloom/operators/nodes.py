@@ -34,8 +34,10 @@ class _Tree:
     run to the end of their parent. ``tag`` of a text node is the tag around it.
     """
 
-    def __init__(self, rows: list[tuple], last_ids: list[int], with_text: bool) -> None:
+    def __init__(self, rows: list[tuple], last_ids: list[int], with_text: bool, marks: dict[str, int]) -> None:
         self.rows = rows
+        self.marks = marks
+        self.open_marks: list[int] = []
         self.last_ids = last_ids
         self.with_text = with_text
         self.first = len(rows)
@@ -45,11 +47,15 @@ class _Tree:
         self.append("document", None, None, None)
         self.open_ids.append(0)
         self.open_tags.append(None)
+        self.open_marks.append(0)
 
     def append(self, kind: str, tag: str | None, attrs: list | None, text: str | None) -> int:
         number = len(self.rows) - self.first
         depth = len(self.open_ids)
-        self.rows.append((number, self.open_ids[-1] if depth else None, depth, kind, tag, attrs, text))
+        marks = self.open_marks[-1] if depth else 0
+        if kind == "element":
+            marks |= self.marks.get(tag, 0)
+        self.rows.append((number, self.open_ids[-1] if depth else None, depth, kind, tag, attrs, text, marks))
         self.last_ids.append(number)
         return number
 
@@ -75,6 +81,7 @@ class _Tree:
         if not alone and tag not in _VOID:
             self.open_ids.append(number)
             self.open_tags.append(tag)
+            self.open_marks.append(self.open_marks[-1] | self.marks.get(tag, 0))
 
     def end(self, tag: str) -> None:
         if self.pending:
@@ -89,7 +96,7 @@ class _Tree:
         end = len(self.rows) - self.first - 1
         for number in self.open_ids[depth:]:
             self.last_ids[self.first + number] = end
-        del self.open_ids[depth:], self.open_tags[depth:]
+        del self.open_ids[depth:], self.open_tags[depth:], self.open_marks[depth:]
 
     def text(self, data: str) -> None:
         self.pending.append(data)
@@ -180,30 +187,31 @@ def _read_plain(page: str, tree: _Tree) -> bool:
     return True
 
 
-def _nodes_array(html: pa.Array, with_text: bool) -> pa.Array:
+def _nodes_array(html: pa.Array, with_text: bool, marks: dict[str, int]) -> pa.Array:
     rows: list[tuple] = []
     last_ids: list[int] = []
     offsets = [0]
     for page in html.to_pylist():
         if page is not None:
-            tree = _Tree(rows, last_ids, with_text)
+            tree = _Tree(rows, last_ids, with_text, marks)
             if not _read_plain(page, tree):
                 parser = _Events(tree)
                 parser.feed(page)
                 parser.close()
             tree.finish()
         offsets.append(len(rows))
-    columns = list(zip(*rows)) if rows else [()] * 7
+    columns = list(zip(*rows)) if rows else [()] * 8
     columns.insert(1, last_ids)
     types = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(),
-             pa.map_(pa.string(), pa.string()), pa.string())
+             pa.map_(pa.string(), pa.string()), pa.string(), pa.int32())
     arrays = [pa.array(column, kind) for column, kind in zip(columns, types)]
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(arrays, NODE.names))
 
 
 def parse_nodes(pages: DataFrame, html: str = "html", keep: Sequence[str] = ("page_id", "url"),
-                with_text: bool = True) -> DataFrame:
-    """``keep`` columns plus ``nodes``, one row per page.
+                with_text: bool = True, groups: Sequence[Sequence[str]] = ()) -> DataFrame:
+    """``keep`` columns plus ``nodes``, one row per page. Bit k of a node's ``marks`` tells that it lies in, or is, an
+    element whose tag is in the k-th of ``groups``.
 
     ``with_text=False`` leaves text and comments out, for operators that read tags and attributes only; node numbers
     are then dense over elements. A NULL page gives an empty array.
@@ -211,9 +219,14 @@ def parse_nodes(pages: DataFrame, html: str = "html", keep: Sequence[str] = ("pa
     keep = [c for c in keep if c in pages.columns]
     schema = T.StructType([pages.schema[c] for c in keep] + [T.StructField("nodes", NODES)])
 
+    marks: dict[str, int] = {}
+    for bit, tags in enumerate(groups):
+        for tag in tags:
+            marks[tag] = marks.get(tag, 0) | 1 << bit
+
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in pieces(batches, len(keep)):
-            nodes = _nodes_array(part.column(len(keep)), with_text)
+            nodes = _nodes_array(part.column(len(keep)), with_text, marks)
             yield pa.RecordBatch.from_arrays([*part.columns[:len(keep)], nodes], [*keep, "nodes"])
 
     return pages.select(*keep, html).mapInArrow(parse, schema)

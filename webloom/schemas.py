@@ -13,6 +13,7 @@ NODE = T.StructType([
     T.StructField("tag", T.StringType()),
     T.StructField("attrs", T.MapType(T.StringType(), T.StringType())),
     T.StructField("text", T.StringType()),
+    T.StructField("marks", T.IntegerType()),
 ])
 NODES = T.ArrayType(NODE)
 
