@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm import exact_dedup
+from webloom.llm import exact_dedup, mixing
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -35,3 +35,54 @@ ORACLE["op1_exact_dedup"] = r"""
     FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents)
     WINDOW same AS (PARTITION BY norm)
 """
+
+
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+@query
+def op9_mixing(spark, sf_dir):
+    return mixing.mix(documents(spark, sf_dir), labels(spark, sf_dir)).select(
+        "doc_id", "size", "source_size", "target", "taken")
+
+
+ORACLE["op9_mixing"] = r"""
+    WITH weighted AS (
+        SELECT doc_id, max(CASE quality WHEN 1 THEN 2.0 WHEN 0 THEN 0.5 ELSE 1.0 END) AS weight
+        FROM labels GROUP BY doc_id),
+    docs AS (
+        SELECT d.doc_id, source,
+               coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+               -ln((('0x' || substr(md5('mix:' || d.doc_id), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0)
+                   / coalesce(weight, 1.0) AS key
+        FROM documents d LEFT JOIN weighted w ON d.doc_id = w.doc_id),
+    sources AS (
+        SELECT source, sum(size)::HUGEINT AS s, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS w
+        FROM docs GROUP BY source),
+    ordered AS (
+        SELECT *, (SELECT sum(s) FROM sources)::HUGEINT AS total,
+               coalesce(sum(3 * s) OVER (ORDER BY 3.0 * s / w, source ROWS BETWEEN UNBOUNDED PRECEDING
+                                         AND 1 PRECEDING), 0)::HUGEINT AS caps,
+               sum(w) OVER (ORDER BY 3.0 * s / w, source ROWS BETWEEN CURRENT ROW
+                            AND UNBOUNDED FOLLOWING)::HUGEINT AS free
+        FROM sources),
+    marked AS (SELECT *, 3 * s * free <= w * (total - caps) AS capped FROM ordered),
+    rest AS (SELECT (max(total) - coalesce(sum(3 * s) FILTER (capped), 0))::DOUBLE AS amount,
+                    sum(w) FILTER (NOT capped)::DOUBLE AS free FROM marked),
+    targets AS (
+        SELECT source, s::BIGINT AS source_size, CASE WHEN capped THEN (3 * s)::DOUBLE ELSE amount * w / rest.free END AS target
+        FROM marked, rest),
+    epochs AS (
+        SELECT *, CASE WHEN source_size > 0 THEN least(floor(target / source_size), 3) ELSE 0 END::BIGINT AS epochs
+        FROM targets),
+    placed AS (
+        SELECT doc_id, size, source_size, target, epochs,
+               coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id ROWS BETWEEN UNBOUNDED PRECEDING
+                                        AND 1 PRECEDING), 0) + size / 2.0 AS middle
+        FROM docs d JOIN epochs e ON d.source IS NOT DISTINCT FROM e.source)
+    SELECT doc_id, size, source_size, target,
+           (size * (epochs + CASE WHEN target - epochs * source_size > 0 AND middle <= target - epochs * source_size
+                                  THEN 1 ELSE 0 END))::BIGINT AS taken
+    FROM placed
+"""
