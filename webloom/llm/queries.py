@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm import exact_dedup, mixing
+from webloom.llm import exact_dedup, mixing, secret_scan
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -86,3 +86,54 @@ ORACLE["op9_mixing"] = r"""
                                   THEN 1 ELSE 0 END))::BIGINT AS taken
     FROM placed
 """
+
+
+@query
+def op4_secret_scan(spark, sf_dir):
+    """The table names no repositories: an owner is a source, a repository its documents of one language."""
+    return secret_scan.secret_scan(documents(spark, sf_dir), F.col("source"), F.concat_ws("/", "source", "lang"))
+
+
+def _secret_sql() -> str:
+    """Matches by cutting each text at them; places are sums of the lengths of cuts and matches."""
+    parts = []
+    for no, kind in enumerate((*secret_scan.BASE, secret_scan.OPAQUE)):
+        pattern = kind.pattern.replace("'", "''")
+        also = "".join(f" AND regexp_matches(value, '{p}')" for p in kind.also)
+        parts.append(f"""
+        SELECT * FROM (
+            SELECT doc_id, owner, repository, {no} AS kind_no, '{kind.name}' AS kind, value,
+                   list_sum(list_transform(gaps[:i], lambda g: length(g)))
+                   + list_sum(list_transform(found[:i], lambda f: length(f))) - length(found[i]) AS start,
+                   length(found[i]) AS width
+            FROM (SELECT doc_id, owner, repository, found, gaps, unnest(vals) AS value, generate_subscripts(vals, 1) AS i
+                  FROM (SELECT *, regexp_extract_all(text, '{pattern}') AS found,
+                               regexp_extract_all(text, '{pattern}', {kind.group}) AS vals,
+                               string_split_regex(text, '{pattern}') AS gaps FROM docs)))
+        WHERE length(value) >= {kind.least}{also}""")
+    listed = ("string_agg(kind || ':' || start::BIGINT || ':' || (start + width)::BIGINT, ',' ORDER BY start, kind_no)")
+    return f"""
+    WITH docs AS (SELECT doc_id, coalesce(source, '') AS owner, concat_ws('/', source, lang) AS repository,
+                         coalesce(text, '') AS text FROM documents),
+    matched AS ({" UNION ALL ".join(parts)}),
+    apart AS (
+        SELECT * FROM matched m WHERE kind_no < 3 OR NOT EXISTS (
+            SELECT 1 FROM matched b WHERE b.doc_id = m.doc_id AND b.kind_no < 3 AND b.start < m.start + m.width
+            AND m.start < b.start + b.width)),
+    shared AS (SELECT value AS shared_value,
+                      count(DISTINCT owner) <= 2 AND count(DISTINCT repository) <= 3 AS live FROM apart GROUP BY value),
+    judged AS (SELECT * FROM apart JOIN shared ON value = shared_value),
+    per_doc AS (
+        SELECT doc_id, count(*) FILTER (kind_no = 0) AS a, count(*) FILTER (kind_no = 1) AS k,
+               count(*) FILTER (kind_no = 2) AS h, {listed} FILTER (kind_no < 3) AS base,
+               {listed} FILTER (kind_no < 3 OR live) AS spans, count(*) FILTER (live) AS n_live,
+               count(*) FILTER (NOT live) AS n_example
+        FROM judged GROUP BY doc_id)
+    SELECT d.doc_id, coalesce(a, 0) AS n_assign, coalesce(k, 0) AS n_access, coalesce(h, 0) AS n_hex,
+           sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live,
+           coalesce(n_example, 0) AS n_example
+    FROM docs d LEFT JOIN per_doc p ON d.doc_id = p.doc_id
+    """
+
+
+ORACLE["op4_secret_scan"] = _secret_sql()
