@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm import exact_dedup, mixing, secret_scan
+from webloom.llm import exact_dedup, mixing, secret_scan, token_files
 
+TOKENIZERS = "/opt/tokenizers"
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
@@ -137,3 +138,8 @@ def _secret_sql() -> str:
 
 
 ORACLE["op4_secret_scan"] = _secret_sql()
+
+
+@query
+def op3_token_files(spark, sf_dir):
+    return token_files.token_files(documents(spark, sf_dir), f"{TOKENIZERS}/word_bpe_49k.json")
