@@ -1,7 +1,8 @@
 """Exact duplicates by content sort.
 
 Texts are normalised and range-partitioned by Spark's sampled splitters; the external sort of each partition places
-equal texts next to each other, and a window compares neighbours in full. A text that fills more than its share of a
+equal texts next to each other, and a window compares neighbours in full. Splitters are the first characters of a text
+and its digest, so the sample that Spark gathers on the driver has a bounded size however long texts are. A text that fills more than its share of a
 partition is found first, with counts that are combined before they move, and is dealt out in slices, so no task
 receives a whole hot group.
 """
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 
 from webloom.llm.common import one_space, shuffle_partitions
 
+HEAD_CHARS = 32
+
 
 def exact_dedup(docs: DataFrame, carry: Sequence[str] = ("doc_id",), id_column: str = "doc_id",
                 text_column: str = "text") -> DataFrame:
@@ -41,10 +44,11 @@ def exact_dedup(docs: DataFrame, carry: Sequence[str] = ("doc_id",), id_column:
         base.join(F.broadcast(hot), F.col("sha") == F.col("hot_sha"), "left")
         .withColumn("slice", F.when(F.col("hot_size").isNull(), F.lit(0))
                     .otherwise(F.pmod(F.xxhash64("id"), slices)).cast("long"))
+        .withColumn("head", F.substring("norm", 1, HEAD_CHARS))
         .drop("hot_sha")
-        .repartitionByRange(parts, "norm", "slice")
+        .repartitionByRange(parts, "head", "sha", "slice")
     )
-    group = Window.partitionBy("norm", "slice")
+    group = Window.partitionBy("head", "sha", "slice", "norm")
     ordered = group.orderBy(F.asc_nulls_last("id"))
     found = (
         dealt.withColumn("place", F.row_number().over(ordered))
