@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm import exact_dedup, mixing, secret_scan, token_files
+from webloom.llm import exact_dedup, mixing, pieces, secret_scan, token_files
 
 TOKENIZERS = "/opt/tokenizers"
 Query = Callable[[SparkSession, str], DataFrame]
@@ -143,3 +143,8 @@ ORACLE["op4_secret_scan"] = _secret_sql()
 @query
 def op3_token_files(spark, sf_dir):
     return token_files.token_files(documents(spark, sf_dir), f"{TOKENIZERS}/word_bpe_49k.json")
+
+
+@query
+def op7_sentencepiece(spark, sf_dir):
+    return pieces.round_trip(documents(spark, sf_dir), f"{TOKENIZERS}/piece_bpe_32k.model")

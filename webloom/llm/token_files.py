@@ -19,17 +19,17 @@ from pyspark.sql import functions as F
 
 from webloom.llm.common import shared_folder, shuffle_partitions, stored
 from webloom.llm.huffman import Decoder, canonical_codes, code_lengths, pack
-from webloom.llm.words import gather, split_words
+from webloom.llm.words import Memo, gather, split_words
 from webloom.operators.batches import pieces
 
 END_ID = 1
 BLOCK_IDS = 1 << 19
-#: Words remembered by a worker, at most.
-MEMO_WORDS = 400_000
+#: Words remembered by a worker: this many, and as many from before.
+MEMO_WORDS = 300_000
 _TOKENS = "doc_id long, n_tokens long, ids binary"
 _BLOCKS = "part int, block long, n_tokens long, doc_ids binary, doc_sizes binary, checkpoints binary, code binary"
 _DOCS = "part int, block long, doc_id long, before long, n_tokens long, ids_crc32 long"
-_memo: dict[str, dict[str, np.ndarray]] = {}
+_memo: dict[str, Memo] = {}
 
 
 def _id_type(vocabulary: int) -> str:
@@ -44,13 +44,11 @@ class _WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.memo = _memo.setdefault(path, {})
+        self.memo = _memo.setdefault(path, Memo(MEMO_WORDS))
 
     def ids_of(self, words: list[str]) -> list[np.ndarray]:
-        if len(self.memo) + len(words) > MEMO_WORDS:
-            self.memo.clear()
-        memo = dict.fromkeys(words) if len(words) > MEMO_WORDS else self.memo
-        new = [w for w in words if memo.get(w) is None]
+        known = {w: self.memo[w] for w in words}
+        new = [w for w, ids in known.items() if ids is None]
         for at in range(0, len(new), 8192):
             part = new[at:at + 8192]
             coded = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
@@ -58,8 +56,9 @@ class _WordEncoder:
             ids = np.array(coded.ids, np.uint32)
             cuts = np.searchsorted(owner, np.arange(len(part) + 1))
             for word, a, b in zip(part, cuts[:-1].tolist(), cuts[1:].tolist()):
-                memo[word] = ids[a:b].tobytes()
-        return [memo[w] for w in words]
+                known[word] = ids[a:b].tobytes()
+                self.memo.keep(word, known[word])
+        return [known[w] for w in words]
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, where each text's end), ``end_id`` after each text."""

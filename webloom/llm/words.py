@@ -11,11 +11,11 @@ def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """(distinct words, place of each word in them, first word of each text plus the end). Null counts as empty; words
     lie between white space 0x20 and 0x09 to 0x0D."""
     lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
-    return _indexed(lists.values.slice(lists.offsets[0].as_py(), lists.offsets[-1].as_py() - lists.offsets[0].as_py()),
+    return indexed(lists.values.slice(lists.offsets[0].as_py(), lists.offsets[-1].as_py() - lists.offsets[0].as_py()),
                     lists.offsets.to_numpy() - lists.offsets[0].as_py())
 
 
-def _indexed(values: pa.Array, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+def indexed(values: pa.Array, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     full = pc.greater(pc.binary_length(values), 0).to_numpy(zero_copy_only=False)
     before = np.concatenate([[0], np.cumsum(full)])
     coded = values.filter(pa.array(full)).dictionary_encode()
@@ -28,3 +28,23 @@ def gather(starts: np.ndarray, lengths: np.ndarray, order: np.ndarray) -> tuple[
     ends = np.cumsum(n)
     shift = np.repeat(starts[order] - (ends - n), n)
     return shift + np.arange(len(shift)), ends
+
+
+class Memo(dict):
+    """A bounded memory of a worker: what was not asked for while ``limit`` new entries came is forgotten."""
+
+    def __init__(self, limit: int):
+        super().__init__()
+        self.limit, self.old = limit, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is not None:
+            self.keep(key, value)
+        return value
+
+    def keep(self, key, value) -> None:
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
