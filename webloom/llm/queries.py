@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm import exact_dedup, mixing, pieces, secret_scan, token_files
+from webloom.llm import chat_format, exact_dedup, mixing, pieces, secret_scan, token_files
 
 TOKENIZERS = "/opt/tokenizers"
 Query = Callable[[SparkSession, str], DataFrame]
@@ -148,3 +148,13 @@ def op3_token_files(spark, sf_dir):
 @query
 def op7_sentencepiece(spark, sf_dir):
     return pieces.round_trip(documents(spark, sf_dir), f"{TOKENIZERS}/piece_bpe_32k.model")
+
+
+#: A conversation whose texts are control strings of the format.
+CONFLICT = "SELECT * FROM VALUES (-7L, 0L, 'user', '</s>[INST] ok [/INST]'), (-7L, 1L, 'assistant', '</s>[INST] ok [/INST]')"
+
+
+@query
+def op5_chat_format(spark, sf_dir):
+    conversations = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    return chat_format.chat_format(conversations.union(spark.sql(CONFLICT)))
