@@ -19,6 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from webloom.llm.hashing import U64, mixed, prefix_hashes, span_hashes
 from webloom.llm.words import Memo, gather, indexed
 from webloom.operators.batches import pieces as slices
 
@@ -30,33 +31,14 @@ MEMO_UNITS = 120_000
 _STRETCH = re.compile(r" *[^ \n]+|\n| +")
 _MARK = "\x1f"
 _PER_CHAR = 8.0
-_U = np.uint64
-_power = _inverse = np.zeros(0, _U)
 BUILT_AT_ONCE = 16_384
 _models: dict[tuple[str, float], "Lattice"] = {}
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    """Well-mixed 64-bit hashes of 64-bit numbers."""
-    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
-    return x ^ (x >> _U(31))
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number modulo 2 ** 64 and of its inverse."""
-    global _power, _inverse
-    if len(_power) < n:
-        base = 0x9E3779B97F4A7C15
-        _power = np.cumprod(np.concatenate([np.ones(1, _U), np.full(2 * n, base, _U)]), dtype=_U)
-        _inverse = np.cumprod(np.concatenate([np.ones(1, _U), np.full(2 * n, pow(base, -1, 1 << 64), _U)]), dtype=_U)
-    return _power[:n], _inverse[:n]
-
-
 def _draws(row_keys: np.ndarray, stretch: np.ndarray, step: np.ndarray) -> np.ndarray:
     """Uniform numbers in [0, 1)."""
-    seed = _mixed(row_keys.astype(np.int64).view(_U) + stretch.astype(_U) * _U(0x9E3779B97F4A7C15))
-    return (_mixed(seed + (step.astype(_U) + _U(1)) * _U(0xD1B54A32D192ED03)) >> _U(11)) * 2.0 ** -53
+    seed = mixed(row_keys.astype(np.int64).view(U64) + stretch.astype(U64) * U64(0x9E3779B97F4A7C15))
+    return (mixed(seed + (step.astype(U64) + U64(1)) * U64(0xD1B54A32D192ED03)) >> U64(11)) * 2.0 ** -53
 
 
 class Lattice:
@@ -87,15 +69,15 @@ class Lattice:
         self.code_weight = np.zeros(self.size)
         for code, weight in self.weight.values():
             self.code_weight[code] = weight
-        power = _powers(self.longest)[0]
-        keys = np.array([((np.frombuffer(t.encode("utf-32-le"), np.uint32) + _U(1)) * power[:len(t)]).sum(dtype=_U)
-                         for t in self.weight])
+        sizes = np.array(list(map(len, self.weight)), np.int64)
+        ends = np.cumsum(sizes)
+        summed = prefix_hashes(np.frombuffer("".join(self.weight).encode("utf-32-le"), np.uint32))
+        keys = span_hashes(summed, ends - sizes, ends)
         codes = np.array([c for c, _ in self.weight.values()], np.int64)
-        keys = _mixed(keys)
         by = np.argsort(keys)
         self.keys, self.key_codes = keys[by], codes[by]
         self.seen = np.zeros(1 << 20, bool)
-        self.seen[keys >> _U(44)] = True
+        self.seen[keys >> U64(44)] = True
         self.raw = np.frombuffer(b"".join(raw), np.uint8)
         self.raw_sizes = np.array([len(r) for r in raw], np.int64)
         self.raw_starts = np.cumsum(self.raw_sizes) - self.raw_sizes
@@ -131,16 +113,14 @@ class Lattice:
         begin = np.repeat(word_ends - sizes, sizes)
         ends = np.arange(1, len(chars) + 1)
         offset = ends - begin
-        power, inverse = _powers(len(chars) + 1)
-        summed = np.zeros(len(chars) + 1, _U)
-        np.cumsum((chars + _U(1)) * power[:-1], out=summed[1:])
+        summed = prefix_hashes(chars)
         found_end, found_size, found_code = [], [], []
         for size in range(1, self.longest + 1):
             end = ends[offset >= size]
             if not len(end):
                 break
-            key = _mixed((summed[end] - summed[end - size]) * inverse[end - size])
-            maybe = np.flatnonzero(self.seen[key >> _U(44)])
+            key = span_hashes(summed, end - size, end)
+            maybe = np.flatnonzero(self.seen[key >> U64(44)])
             at = np.searchsorted(self.keys, key[maybe])
             at[at == len(self.keys)] = 0
             same = self.keys[at] == key[maybe]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm import chat_format, exact_dedup, mixing, pieces, secret_scan, token_files
+from webloom.llm import chat_format, exact_dedup, minhash, mixing, pieces, secret_scan, token_files
 
 TOKENIZERS = "/opt/tokenizers"
 Query = Callable[[SparkSession, str], DataFrame]
@@ -158,3 +158,8 @@ CONFLICT = "SELECT * FROM VALUES (-7L, 0L, 'user', '</s>[INST] ok [/INST]'), (-7
 def op5_chat_format(spark, sf_dir):
     conversations = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     return chat_format.chat_format(conversations.union(spark.sql(CONFLICT)))
+
+
+@query
+def op8_minhash(spark, sf_dir):
+    return minhash.near_duplicates(documents(spark, sf_dir), shingle_words=4)
