@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm import chat_format, exact_dedup, minhash, mixing, pieces, secret_scan, token_files
+from webloom.llm import chat_format, exact_dedup, fingerprints, minhash, mixing, pieces, secret_scan, token_files
 
 TOKENIZERS = "/opt/tokenizers"
 Query = Callable[[SparkSession, str], DataFrame]
@@ -163,3 +163,8 @@ def op5_chat_format(spark, sf_dir):
 @query
 def op8_minhash(spark, sf_dir):
     return minhash.near_duplicates(documents(spark, sf_dir), shingle_words=4)
+
+
+@query
+def op10_fingerprints(spark, sf_dir):
+    return fingerprints.fingerprints(documents(spark, sf_dir))
