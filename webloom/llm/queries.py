@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm import chat_format, exact_dedup, fingerprints, minhash, mixing, pieces, secret_scan, token_files
+from webloom.llm import chat_format, exact_dedup, fingerprints, langid, minhash, mixing, pieces, repeats, secret_scan, token_files
 
 TOKENIZERS = "/opt/tokenizers"
 Query = Callable[[SparkSession, str], DataFrame]
@@ -168,3 +168,17 @@ def op8_minhash(spark, sf_dir):
 @query
 def op10_fingerprints(spark, sf_dir):
     return fingerprints.fingerprints(documents(spark, sf_dir))
+
+
+@query
+def op2_language_id(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    model = langid.fit(docs, ~langid.held_out(F.col("doc_id")))
+    return langid.identify(docs.select("doc_id", "text"), model).select(
+        F.col("row.doc_id").alias("doc_id"), langid.held_out(F.col("row.doc_id")).alias("held_out"), "lang_pred", "score",
+        "ambiguous")
+
+
+@query
+def op6_substring_dedup(spark, sf_dir):
+    return repeats.drop_repeats(documents(spark, sf_dir))
