@@ -34,6 +34,7 @@ def main() -> None:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.webloom.input.partitions", cpus)  # a test table is one row group
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

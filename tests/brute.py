@@ -1,7 +1,6 @@
 """Slow and plain versions of the document operators, one page at a time, to compare with."""
 
 from html.parser import HTMLParser
-from math import ceil
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 
@@ -102,77 +101,6 @@ def parse(html):
     return builder.root
 
 
-def elements(root):
-    return [n for n in root.walk() if n.kind == "element"]
-
-
-def has_class(node, name):
-    return name in node.attrs.get("class", "").split()
-
-
-def relevant(html, fields, keywords):
-    root = parse(html)
-    els = elements(root)
-    hits = []
-    for field in (f.lower() for f in fields):
-        for attribute in ("id", "class", "name"):
-            hits += [n for n in els if field in n.attrs.get(attribute, "")]
-    hits += [n for n in els if n.tag in ("form", "input", "select", "textarea", "label")]
-    for test in (
-        lambda n: n.tag == "main", lambda n: n.attrs.get("role") == "main", lambda n: has_class(n, "main-content"),
-        lambda n: n.attrs.get("id") == "main-content", lambda n: has_class(n, "content"),
-        lambda n: n.attrs.get("id") == "content", lambda n: n.tag == "article", lambda n: has_class(n, "article"),
-    ):
-        hits += [n for n in els if test(n)]
-    for n in root.walk():
-        if n.kind != "element" and any(w in n.text.lower() for w in keywords):
-            node = n.parent
-            for _ in range(2):
-                node = node.parent or node
-            hits.append(node)
-    unique = list({id(n): n for n in hits}.values())
-    if not unique:
-        unique = [n for n in els if n.tag == "body"][:1] or [root]
-    return "\n".join(n.html() for n in unique)
-
-
-def compress(html, fields):
-    kept = {"id", "class", "name", "for", "value", "placeholder", "title", "alt", "aria-label", "data-field",
-            "data-name"} | {f"data-{f.lower()}" for f in fields}
-    root = parse(html)
-    for n in elements(root):
-        n.attrs = {k: v for k, v in n.attrs.items()
-                   if k in kept or (k.startswith("data-") and any(f.lower() in k.lower() for f in fields))}
-    return root.html()
-
-
-def tokens(html):
-    return ceil(len(html) / 4)
-
-
-def fit(html, keywords, budget):
-    if tokens(html) <= budget:
-        return html
-    root = parse(html)
-    groups = (
-        (lambda n: n.tag == "svg", lambda n: n.tag == "img" and n.attrs.get("alt") == "",
-         lambda n: has_class(n, "icon"), lambda n: has_class(n, "decoration")),
-        (lambda n: n.tag == "nav", lambda n: has_class(n, "navigation"), lambda n: has_class(n, "menu"),
-         lambda n: has_class(n, "breadcrumb")),
-        (lambda n: n.tag == "footer", lambda n: has_class(n, "footer")),
-        (lambda n: has_class(n, "sidebar"), lambda n: has_class(n, "aside"), lambda n: n.tag == "aside"),
-    )
-    for group in groups:
-        for test in group:
-            for n in [n for n in elements(root) if test(n)]:
-                if tokens(root.html()) <= budget:
-                    return root.html()
-                if any(c is n for c in root.walk()) and not any(w in n.string().lower() for w in keywords):
-                    n.parent.children.remove(n)
-    html = root.html()
-    return html if tokens(html) <= budget else html[:4 * budget] + "..."
-
-
 def chunks(text, size, overlap, separators=("\n\n", "\n", " ", "")):
     """Greedy chunks, written as the rule says: pieces one by one, and a window that drops pieces from its front."""
     mark = next(s for s in separators if s in text)

@@ -126,3 +126,10 @@ def test_a_repeated_batch_changes_nothing(spark, tmp_path):
     frontier.pass_batch(batch.union(batch), 0, table, "s")
     frontier.pass_batch(batch, 1, table, "s")
     assert sorted(r.url for r in frontier.passed_urls(spark, table).collect()) == ["a", "b"]
+
+
+def test_page_limit_of_a_run(spark):
+    rows = [(i, "fetched" if i % 2 else "error") for i in range(9)]
+    df = spark.createDataFrame(rows, "pos long, status string")
+    kept = lambda n: [r.pos for r in crawl.max_pages(df, n, keys=()).orderBy("pos").collect()]
+    assert kept(2) == [0, 1, 2, 3] and kept(50) == list(range(9)) and kept(0) == []

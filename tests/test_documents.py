@@ -110,28 +110,75 @@ def test_rendered_pages_parse_back_to_themselves(random_pages):
     assert once.join(twice, "page_id").filter(differ).count() == 0
 
 
-@pytest.mark.parametrize("budget", [10, 30, 60, 20_000])
-def test_filter_html_agrees_with_the_slow_version(random_pages, budget):
-    rows, df = random_pages
-    fields = ["price", "image_url"]
-    words = ["price", "image_url", "image-url", "image", "url"]
-    got = {r.page_id: r.html for r in sections.filter_html(df, fields, budget).collect()}
-    stripped = {r.page_id: r.html for r in df.selectExpr(
-        "page_id", f"{sections.strip_irrelevant_html('html')} AS html").collect()}
-    wrong = []
-    for page_id, _, html in rows:
-        chosen = brute.relevant(stripped[page_id], fields, words)
-        expected = brute.fit(brute.compress(chosen, fields), words, budget)
-        if got[page_id] != expected:
-            wrong.append((html, got[page_id], expected))
-    assert not wrong, "\n---\n".join(wrong[0])
+# Sections of a page for the field ``price``, written by hand.
+SECTION_CASES = {
+    '<html><body><div id="price-box"><b>1</b></div><p>other</p></body></html>': '<div id="price-box"><b>1</b></div>',
+    '<body><form action="/s"><input name="q"></form></body>':
+        '<form action="/s"><input name="q"/></form>\n<input name="q"/>',
+    "<html><body><p>a</p></body></html>": "<body><p>a</p></body>",
+    "<p>a</p>": "<p>a</p>",
+    "<body><div><section><p>the PRICE is 3</p></section></div></body>":
+        "<div><section><p>the PRICE is 3</p></section></div>",
+    '<body><main><i class="price">1</i></main></body>': '<i class="price">1</i>\n<main><i class="price">1</i></main>',
+    '<body><div class="content"><article id="content">x</article></div></body>':
+        '<div class="content"><article id="content">x</article></div>\n<article id="content">x</article>',
+    '<body><p name="prices">1</p><p role="main">2</p></body>': '<p name="prices">1</p>\n<p role="main">2</p>',
+}
+# Filtered pages for the field ``price``: (page, budget in tokens, expected HTML, whether the end was cut).
+LONG = "n" * 80
+FILTER_CASES = [
+    ('<main data-x="1" class="a" href="/x"><a href="/l" title="t">x</a></main>', 99,
+     '<main class="a"><a title="t">x</a></main>', False),
+    ('<main data-price-old="1" data-field="f" style="s"><img src="/i" alt="cup"></main>', 99,
+     '<main data-price-old="1" data-field="f"><img alt="cup"/></main>', False),
+    (f"<main><nav>{LONG}</nav><p>keep</p></main>", 10, "<main><p>keep</p></main>", False),
+    (f"<main><footer>{LONG}</footer><svg>s</svg><p>keep</p></main>", 10, "<main><p>keep</p></main>", False),
+    (f"<main><nav>short</nav><p>{LONG}</p></main>", 10, f"<main><p>{'n' * 31}...", True),
+    (f'<main><img alt="" src="/x"><p>{"k" * 20}</p><nav>last</nav></main>', 14,
+     f"<main><p>{'k' * 20}</p><nav>last</nav></main>", False),
+    (f'<main><div class="sidebar">{LONG}<nav>n</nav></div><p>keep</p></main>', 10, "<main><p>keep</p></main>", False),
+    ("<script>x</script><main>a<!-- b --></main>", 99, "<main>a</main>", False),
+]
 
 
-def test_relevant_sections_agree_with_the_slow_version(random_pages):
-    rows, df = random_pages
-    got = {r.page_id: r.html for r in sections.relevant_sections(df, ["price"]).collect()}
-    for page_id, _, html in rows:
-        assert got[page_id] == brute.relevant(html, ["price"], ["price"]), html
+def test_relevant_sections(spark):
+    got = {r.page_id: r.html for r in sections.relevant_sections(pages_of(spark, list(SECTION_CASES)), ["price"]).collect()}
+    assert got == dict(enumerate(SECTION_CASES.values()))
+
+
+@pytest.mark.parametrize("page,budget,expected,cut", FILTER_CASES)
+def test_filter_html(spark, page, budget, expected, cut):
+    row = sections.filter_html(pages_of(spark, [page]), ["price"], budget).first()
+    assert (row.html, row.truncated) == (expected, cut)
+
+
+def test_an_element_with_a_keyword_is_not_removed(spark):
+    page = f'<main><nav>{LONG}</nav><aside id="a">the price</aside><aside id="b">{LONG}</aside></main>'
+    html = sections.filter_html(pages_of(spark, [page]), ["price"], 40).first().html
+    assert 'id="a"' in html and 'id="b"' not in html and "<nav>" not in html
+
+
+@pytest.mark.parametrize("budget", [10, 30, 60, 20_000])
+def test_filtered_pages_hold_what_they_promise(random_pages, budget):
+    _, df = random_pages
+    fields = ["price", "image_url"]
+    whole = {r.page_id: r for r in sections.filter_html(df, fields, 10 ** 6).collect()}
+    got = {r.page_id: r for r in sections.filter_html(df, fields, budget).collect()}
+    allowed = {*dom.KEPT_ATTRIBUTES, "data-price", "data-image_url"}
+    assert set(got) == set(whole)
+    for page_id, row in got.items():
+        full = whole[page_id].html
+        assert len(row.html) <= 4 * budget + 3 * row.truncated
+        assert row.truncated == row.html.endswith("...") or not row.truncated
+        tree = brute.parse(row.html if not row.truncated else full)
+        assert all(set(n.attrs) <= allowed for n in tree.walk() if n.kind == "element")
+        if len(full) <= 4 * budget:
+            assert row.html == full and not row.truncated
+        elif not row.truncated:
+            # What is left stood there before, in the same order.
+            rest = iter(full)
+            assert all(char in rest for char in row.html)
+            assert ("price" in brute.parse(full).string().lower()) == ("price" in tree.string().lower())
 
 
 def test_drop_subtrees_leaves_exactly_the_outside(random_pages):

@@ -3,7 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
+from webloom.functions import dom
 from webloom.operators import chunks, crawl, links, navigate, products, robots, sections
+from webloom.sources.pages import read_pages
 
 
 def plan(df):
@@ -15,7 +17,7 @@ def pages(spark, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("pages") / "p")
     spark.range(2000).selectExpr("id AS page_id", "concat('https://h', id % 7, '.com/', id) AS url",
                                  "'<p>- a$1.00</p>' AS html").write.parquet(path)
-    return spark.read.parquet(path)
+    return read_pages(spark, path)
 
 
 @pytest.mark.parametrize("build", [
@@ -101,3 +103,18 @@ def test_a_hot_host_is_split_in_the_page_limit(shuffled, hot_urls):
     assert "skew=true" in plan(df)
     per_host = df.filter("status = 'fetched'").groupBy("host").count()
     assert per_host.agg(F.max("count")).first()[0] == 3 and table.num_rows > 3
+
+
+@pytest.mark.parametrize("build", [
+    lambda p: sections.drop_subtrees(p, dom.by_tag("nav")).select(F.explode_outer("nodes")),
+    lambda p: sections.match_keyword_text(p, ["price"]), products.match_price_text,
+    lambda p: sections.select_elements(p, dom.by_class("ad")), products.extract_product_sections,
+])
+def test_arrays_are_built_once(pages, build):
+    assert "(size(" not in "".join(line for line in plan(build(pages)).splitlines() if "Filter" in line)
+
+
+def test_per_run_limit_has_no_join(pages):
+    outcomes = pages.selectExpr("page_id AS pos", "'fetched' AS status")
+    df = crawl.max_pages(outcomes, 7, keys=())
+    assert df.count() == 7 and "Join" not in plan(df)

@@ -66,7 +66,8 @@ def test_first_selector_wins_and_price_fallback(spark):
     by_page = {i: [r.section for r in rows if r.page_id == i] for i in range(4)}
     assert by_page[0] == ['<i class="product-item">b</i>']
     assert by_page[1] == ["<b>$1.00</b>", "<u>$3.50</u>"] and by_page[2] == []
-    assert by_page[3] == ["<p>$1.00</p>"] * 50
+    assert by_page[3] == ["<p>$1.00</p>"] * 60
+    assert products.limit_products(df).filter("page_id = 3").count() == 50
 
 
 def test_product_answers(spark):
@@ -103,10 +104,10 @@ def test_top_urls_prefers_structure_then_density(spark):
     assert [r.url[-1] for r in top] == ["c", "b", "a"]
 
 
-def test_extraction_prompt_shows_the_head_of_a_chunk(spark):
+def test_extraction_prompts_show_whole_chunks(spark):
     df = spark.createDataFrame([("x" * 3500,)], "chunk string")
     prompt = navigate.build_extraction_prompts(df, "{html_content}|{format_instructions}", "J").first().prompt
-    assert prompt == "x" * 3000 + "|J"
+    assert prompt == "x" * 3500 + "|J"
 
 
 def test_sitemaps(spark):

@@ -4,6 +4,7 @@ from urllib.robotparser import RobotFileParser
 from pyspark.sql import functions as F
 
 from webloom.operators import robots
+from webloom.sources.robots import read_robots_files
 
 FIXTURE = """# comment only
 Sitemap: https://shop.example.com/sitemap.xml
@@ -91,3 +92,27 @@ def test_fixture_verdicts(spark):
 def test_empty_file_has_no_summary_and_no_rows(spark):
     df = files(spark, [("https://a.com/robots.txt", "# nothing\n\n", 200)])
     assert robots.robots_summary(df).count() == 0 and robots.robots_rows(df).count() == 0
+
+
+def test_sites_meet_however_they_are_written(spark):
+    files = spark.createDataFrame([
+        ("https://shop.com/robots.txt", "User-agent: *\nDisallow: /no", 200),
+        ("HTTPS://Shop.com:443/robots.txt", "", 403), ("http://shop.com/robots.txt", "", 404), (None, "", 200),
+        ("robots.txt", "", 200)], "robotstxt_url string, body string, http_status int")
+    cases = {"https://Shop.com/a": True, "https://shop.com:443/no": False, "https://me@shop.com/a": True,
+             "http://shop.com:80/no": True, "https://shop.com:444/a": False, "/relative": False, "": False}
+    urls = spark.createDataFrame([(u,) for u in cases] + [(None,)], "url string")
+    got = [(r.url, r.allowed) for r in robots.robots_allowed(urls, files, "Bot").collect()]
+    assert len(got) == len(cases) + 1 and {u: a for u, a in got if u is not None} == cases
+
+
+def test_stored_robots_files_have_their_folder_as_host(spark, tmp_path):
+    for host, body in (("a.com", "User-agent: *\nDisallow: /"), ("b.com", "User-agent: *\nDisallow: /x")):
+        (tmp_path / host).mkdir()
+        (tmp_path / host / "robots.txt").write_text(body)
+    (tmp_path / "other").mkdir()
+    (tmp_path / "other" / "notes.txt").write_text("Disallow: /")
+    files = read_robots_files(spark, f"{tmp_path}/*/*.txt")
+    urls = spark.createDataFrame([("https://a.com/y",), ("https://b.com/y",), ("https://b.com/x",)], "url string")
+    got = {r.url: r.allowed for r in robots.robots_allowed(urls, files, "Bot").collect()}
+    assert got == {"https://a.com/y": False, "https://b.com/y": True, "https://b.com/x": False}

@@ -70,8 +70,9 @@ def contains_any_of(value: str, words: str) -> str:
     return bind(f"lower({value})", "low", f"exists({words}, w -> contains(low, w))")
 
 
-def clean_product_name(name: str) -> str:
-    return strip(f"regexp_replace({name}, {text(NAME_LABELS)}, '')")
+def clean_product_name(name: str, labels: str = NAME_LABELS) -> str:
+    """A product name without labels; ``labels`` is the pattern of what a shop writes into its names."""
+    return strip(f"regexp_replace({name}, {text(labels)}, '')")
 
 
 def product_price(amount: str) -> str:
@@ -88,6 +89,12 @@ def product_matches(value: str) -> str:
             f"(n, a) -> named_struct('name', {clean_product_name('n')}, 'price', {product_price('a')}))")
 
 
+def unfenced(answer: str) -> str:
+    """The inside of the first code fence of a model's answer, the whole answer where it has none."""
+    fenced = text(r"(?s)```(?:json|JSON)?\s*(.*?)\s*```")
+    return f"if({answer} RLIKE {fenced}, regexp_extract({answer}, {fenced}, 1), {answer})"
+
+
 def classify_error(message: str) -> str:
     """Class of a failed request; the first rule that holds decides."""
     return (f"CASE WHEN {message} LIKE '%403%' OR {message} LIKE '%Access Denied%' THEN 'access_denied' "

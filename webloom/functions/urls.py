@@ -37,6 +37,16 @@ def url_host(url: str) -> str:
     return _part(url, f"^{_SCHEME}//([^/?#]+)")
 
 
+def host_key(url: str) -> str:
+    """``scheme://host[:port]`` under which URLs of a site meet: lower case, without user information and the port a
+    scheme has anyway. NULL for anything but an absolute URL."""
+    low = f"lower({_part(url, f'^({_SCHEME}//[^/?#]+)')})"
+    plain = f"regexp_replace({low}, {text('^([a-z][a-z0-9+.-]*://)[^@]*@')}, '$1')"
+    for scheme, port in (("http", 80), ("https", 443)):
+        plain = f"regexp_replace({plain}, {text(rf'^({scheme}://(?:[^:\[]+|\[.*\])):(?:{port})?$')}, '$1')"
+    return f"nullif({plain}, '')"
+
+
 def url_origin(url: str) -> str:
     return _part(url, f"^({_SCHEME}//[^/?#]+)")
 

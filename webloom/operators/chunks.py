@@ -82,8 +82,8 @@ def chunk_fixed(texts: DataFrame, text: str = "text", keep: Sequence[str] = ("pa
     """Chunks at a fixed stride of ``size - overlap`` characters, without regard to words; all in the JVM."""
     stride = size - overlap
     starts = f"sequence(0, greatest(cast(ceil((length({text}) - {overlap}) / {stride}) AS INT) - 1, 0))"
-    return texts.filter(f"length({text}) > 0").selectExpr(*keep, text, f"posexplode({starts}) AS (chunk_no, k)") \
-        .selectExpr(*keep, "chunk_no", f"substring({text}, k * {stride} + 1, {size}) AS chunk")
+    cut = f"transform({starts}, k -> substring({text}, k * {stride} + 1, {size}))"
+    return texts.filter(f"length({text}) > 0").selectExpr(*keep, f"posexplode_outer({cut}) AS (chunk_no, chunk)")
 
 
 def html_to_text(pages: DataFrame, tags: Sequence[str] = TEXT_TAGS, keep: Sequence[str] = ("page_id",)) -> DataFrame:

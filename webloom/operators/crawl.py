@@ -53,15 +53,17 @@ def forbidden_outcomes(decisions: DataFrame, agent: str) -> DataFrame:
 
 
 def crawl_frontier(urls: DataFrame, log: DataFrame, robots_files: DataFrame, agent: str,
-                   max_pages: int = 50) -> DataFrame:
-    """The first ``max_pages`` allowed and unvisited URLs of every host: (host, pos, url)."""
+                   max_pages: int = 50, keys: Sequence[str] = ("host",)) -> DataFrame:
+    """The first ``max_pages`` allowed and unvisited URLs of every host, or of the whole run without ``keys``:
+    (host, pos, url)."""
     allowed = crawl_decisions(urls, log, robots_files, agent).filter("allowed").select("host", "pos", "url")
-    return first_per_key(allowed, ["host"], [F.col("pos")], max_pages)
+    return first_per_key(allowed, keys, [F.col("pos")], max_pages)
 
 
 def max_pages(outcomes: DataFrame, limit: int = 50, keys: Sequence[str] = ("host",), pos: str = "pos",
               counted: Column | str = "status = 'fetched'") -> DataFrame:
-    """Outcomes up to and including the ``limit``-th counted one of each key; forbidden and failed rows do not count.
+    """Outcomes up to and including the ``limit``-th counted one of each key, or of the whole run without keys;
+    forbidden and failed rows do not count. A key with fewer counted rows keeps all its rows.
 
     The place of that row is found from counted rows alone, cut to ``limit`` per key before they move; then every row
     is compared with the place of its key.
@@ -77,8 +79,12 @@ def max_pages(outcomes: DataFrame, limit: int = 50, keys: Sequence[str] = ("host
         .agg(F.max("stop_pos").alias("stop_pos"), F.count("*").alias("stop_count"))
         .filter(F.col("stop_count") == limit)
     )
+    if not keys:
+        # One value, or null where the limit is not reached.
+        stop = stops.select("stop_pos").scalar()
+        return outcomes.filter(stop.isNull() | (F.col(pos) <= stop))
     on = [outcomes[k].eqNullSafe(stops[f"stop_{k}"]) for k in keys]
-    joined = outcomes.join(stops, on, "left") if keys else outcomes.crossJoin(stops)
+    joined = outcomes.join(stops, on, "left")
     kept = joined.filter(F.col("stop_pos").isNull() | (F.col(pos) <= F.col("stop_pos")))
     return kept.select(*[outcomes[c] for c in outcomes.columns])
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from webloom.functions import dom
 from webloom.functions.sql import text, text_array
-from webloom.functions.text import field_keywords
+from webloom.functions.text import field_keywords, unfenced
 from webloom.functions.urls import url_host, url_path
 from webloom.operators.chunks import SKIPPED_TAGS, TEXT_FILE_TAGS
 from webloom.operators.links import page_links, sorted_urls
@@ -21,12 +21,12 @@ from webloom.operators.ranking import ranked_per_key
 from webloom.schemas import NAVIGATION
 from webloom.sources.sitemap import read_sitemap
 
-# Default interests, how many URLs and rules an answer holds, and how much of a chunk a prompt shows.
+# Default interests, and how many URLs and rules an answer holds.
 INTERESTS = ("climbing", "camping", "hiking")
 MAX_URLS = 10
 MAX_RULES = 3
 MIN_RULE_COUNT = 2
-PROMPT_CHARS = 3000
+URLS_PER_PROMPT = 500
 
 
 def _words(interests: Sequence[str]) -> str:
@@ -111,8 +111,7 @@ def nav_from_urls(urls: DataFrame, interests: Sequence[str] = INTERESTS) -> Data
 
 def nav_from_sitemap(sitemaps: DataFrame, interests: Sequence[str] = INTERESTS) -> DataFrame:
     """Answer from the locations of sitemaps; the site is the host of the sitemap."""
-    located = read_sitemap(sitemaps).selectExpr(f"{url_host('sitemap_url')} AS site", "loc AS url")
-    return next_urls(located, interests)
+    return next_urls(sitemap_urls(sitemaps), interests)
 
 
 def nav_from_pages(pages: DataFrame, interests: Sequence[str] = INTERESTS) -> DataFrame:
@@ -136,16 +135,34 @@ def build_prompts(pages: DataFrame, template: str, interests: Sequence[str] = IN
     return page_links(pages).selectExpr("page_id", f"{prompt} AS prompt")
 
 
+def build_url_prompts(urls: DataFrame, template: str, interests: Sequence[str] = INTERESTS,
+                      per_prompt: int = URLS_PER_PROMPT) -> DataFrame:
+    """(site, prompt_no, prompt): requests over lists of (site, url), such as URL files or sitemap locations. The
+    distinct URLs of a site are sorted and dealt out to prompts of about ``per_prompt``, by hash, so a site of any size
+    is many small groups and every URL is in one prompt."""
+    distinct = urls.select("site", "url").filter("url IS NOT NULL").distinct()
+    sizes = distinct.groupBy("site").agg(F.ceil(F.count("*") / per_prompt).alias("n_prompts"))
+    dealt = distinct.join(sizes, "site").withColumn("prompt_no", F.expr("pmod(crc32(encode(url, 'UTF-8')), n_prompts)"))
+    prompt = _filled(template, {"interests": text(", ".join(interests)), "web_resource": "array_join(listed, '\\n')"})
+    return dealt.groupBy("site", "prompt_no").agg(F.sort_array(F.collect_list("url")).alias("listed")).selectExpr(
+        "site", "prompt_no", f"{prompt} AS prompt")
+
+
+def sitemap_urls(sitemaps: DataFrame) -> DataFrame:
+    """(site, url) of the locations of sitemaps; the site is the host of the sitemap."""
+    return read_sitemap(sitemaps).selectExpr(f"{url_host('sitemap_url')} AS site", "loc AS url")
+
+
 def build_extraction_prompts(chunks: DataFrame, template: str, format_instructions: str = "") -> DataFrame:
-    """``chunks`` plus ``prompt``: the template filled with the head of the chunk as ``{html_content}``."""
-    prompt = _filled(template, {"format_instructions": text(format_instructions),
-                                "html_content": f"substring(chunk, 1, {PROMPT_CHARS})"})
+    """``chunks`` plus ``prompt``: the template filled with the chunk as ``{html_content}``. Chunks are shown whole, so
+    their size is the size of a prompt."""
+    prompt = _filled(template, {"format_instructions": text(format_instructions), "html_content": "chunk"})
     return chunks.withColumn("prompt", F.expr(prompt))
 
 
 def parse_nav_response(answers: DataFrame, keep: Sequence[str], response: str = "response") -> DataFrame:
     """``keep`` columns plus (urls, rules, reasoning, valid); an answer is valid if all three lists are there."""
-    parsed = f"from_json({response}, '{NAVIGATION.simpleString()}')"
+    parsed = f"from_json({unfenced(response)}, '{NAVIGATION.simpleString()}')"
     complete = "a.urls IS NOT NULL AND a.rules IS NOT NULL AND a.reasoning IS NOT NULL"
     return answers.selectExpr(*keep, f"{parsed} AS a").selectExpr(
         *keep, "a.urls AS urls", "a.rules AS rules", "a.reasoning AS reasoning",

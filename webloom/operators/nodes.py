@@ -233,5 +233,6 @@ def parse_nodes(pages: DataFrame, html: str = "html", keep: Sequence[str] = ("pa
 
 
 def explode_nodes(parsed: DataFrame, keep: Sequence[str] = ("page_id",)) -> DataFrame:
-    """Long form, one row per node, for work across pages."""
-    return parsed.select(*keep, F.explode("nodes").alias("node")).select(*keep, "node.*")
+    """Long form, one row per node, for work across pages. The explode is an outer one with a filter behind it: a plain
+    one would filter on the array first and build it twice."""
+    return parsed.select(*keep, F.explode_outer("nodes").alias("node")).filter("node IS NOT NULL").select(*keep, "node.*")

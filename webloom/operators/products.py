@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from webloom.functions import dom
 from webloom.functions.sql import bind, strip, text
-from webloom.functions.text import PRICE_TEXT, clean_product_name, product_matches
+from webloom.functions.text import NAME_LABELS, PRICE_TEXT, clean_product_name, product_matches, unfenced
 from webloom.operators.chunks import CHUNK_FILE_CHARS, product_chunks
 from webloom.operators.nodes import explode_nodes, parse_nodes
 from webloom.schemas import PRODUCT_LIST
@@ -42,13 +42,14 @@ def match_price_text(pages: DataFrame, pattern: str = PRICE_TEXT) -> DataFrame:
     return explode_nodes(parsed).selectExpr("page_id", "id AS node_id", "parent_id", "text")
 
 
-def _with_sections(pages: DataFrame, limit: int = MAX_SECTIONS) -> DataFrame:
+def _with_sections(pages: DataFrame, limit: int | None) -> DataFrame:
     """(page_id, nodes, sections): hits of the first matching selector, else the elements around price texts."""
     priced = (f"transform(filter(nodes, n -> {dom.text_matches(PRICE_TEXT)('n')}), t -> get(nodes, t.parent_id))")
+    found = f"coalesce(get(hits, 0).found, {priced})"
     return (
         parse_nodes(pages, keep=("page_id",))
         .selectExpr("page_id", "nodes", f"{first_matching()} AS hits")
-        .selectExpr("page_id", "nodes", f"slice(coalesce(get(hits, 0).found, {priced}), 1, {limit}) AS sections")
+        .selectExpr("page_id", "nodes", f"{found if limit is None else f'slice({found}, 1, {limit})'} AS sections")
     )
 
 
@@ -61,18 +62,24 @@ def first_matching_selector(pages: DataFrame) -> DataFrame:
     )
 
 
-def extract_product_sections(pages: DataFrame, limit: int = MAX_SECTIONS) -> DataFrame:
-    """(page_id, pos, node_id, section): the product elements of each page as HTML, at most ``limit``."""
+def extract_product_sections(pages: DataFrame, limit: int | None = None) -> DataFrame:
+    """(page_id, pos, node_id, section): the product elements of each page as HTML, all or the first ``limit``."""
     rendered = (f"transform(sections, s -> named_struct('node_id', s.id, "
                 f"'section', {dom.render_html(dom.subtree('nodes', 's'))}))")
-    return _with_sections(pages, limit).selectExpr("page_id", f"posexplode({rendered}) AS (pos, s)") \
-        .select("page_id", "pos", "s.*")
+    return _with_sections(pages, limit).selectExpr("page_id", f"posexplode_outer({rendered}) AS (pos, s)") \
+        .filter("pos IS NOT NULL").select("page_id", "pos", "s.*")
 
 
-def extract_product_fields(pages: DataFrame, limit: int = MAX_SECTIONS) -> DataFrame:
-    """(page_id, pos, name, price, id, image_url, description) of each product section; what is not there is NULL."""
+def limit_products(pages: DataFrame, limit: int = MAX_SECTIONS) -> DataFrame:
+    """The first ``limit`` product sections of each page."""
+    return extract_product_sections(pages, limit)
+
+
+def extract_product_fields(pages: DataFrame, limit: int | None = None, labels: str = NAME_LABELS) -> DataFrame:
+    """(page_id, pos, name, price, id, image_url, description) of each product section; what is not there is NULL.
+    ``labels`` is the pattern of what is cut from names."""
     heading = f"get({dom.select_elements('part', dom.by_tag(*HEADING_TAGS))}, 0)"
-    name = bind(heading, "hd", f"if(hd IS NULL, NULL, {clean_product_name(dom.text_of(dom.subtree('nodes', 'hd')))})")
+    name = bind(heading, "hd", f"if(hd IS NULL, NULL, {clean_product_name(dom.text_of(dom.subtree('nodes', 'hd')), labels)})")
     number = ", ".join(f"get(transform({dom.select_elements('part', dom.with_attr(a))}, i -> {dom.attr('i', a)}), 0)"
                        for a in ID_ATTRIBUTES)
     image = f"get(filter({dom.select_elements('part', dom.by_tag('img'))}, i -> {dom.attr('i', 'src')} <> ''), 0)"
@@ -87,7 +94,7 @@ def extract_product_fields(pages: DataFrame, limit: int = MAX_SECTIONS) -> DataF
     products = f"transform(sections, s -> {bind(dom.subtree('nodes', 's'), 'part', product)})"
     return (
         _with_sections(pages, limit)
-        .selectExpr("page_id", f"posexplode({products}) AS (pos, p)")
+        .selectExpr("page_id", f"posexplode_outer({products}) AS (pos, p)").filter("pos IS NOT NULL")
         .selectExpr("page_id", "pos", "p.name AS name", "get(p.price, 0) AS price", "p.id AS id",
                     "p.image_url AS image_url", "p.description AS description")
     )
@@ -95,8 +102,8 @@ def extract_product_fields(pages: DataFrame, limit: int = MAX_SECTIONS) -> DataF
 
 def extract_products_text(texts: DataFrame, value: str = "text", keep: Sequence[str] = ("id",)) -> DataFrame:
     """``keep`` columns plus (pos, name, price) for every product line of a text."""
-    return texts.selectExpr(*keep, f"posexplode({product_matches(value)}) AS (pos, p)") \
-        .selectExpr(*keep, "pos", "p.name AS name", "p.price AS price")
+    return texts.selectExpr(*keep, f"posexplode_outer({product_matches(value)}) AS (pos, p)") \
+        .filter("pos IS NOT NULL").selectExpr(*keep, "pos", "p.name AS name", "p.price AS price")
 
 
 def _as_products(value: str) -> str:
@@ -108,9 +115,9 @@ def _as_products(value: str) -> str:
 def parse_product_response(answers: DataFrame, keep: Sequence[str], response: str = "response",
                            chunk: str = "chunk") -> DataFrame:
     """``keep`` columns plus (products, from_text): the typed product list of an answer, or the products found in the
-    chunk itself where the answer is missing or not a product list."""
+    chunk itself where the answer is missing or not a product list. An answer may stand in a code fence."""
     schema = PRODUCT_LIST.simpleString()
-    parsed = f"from_json({response}, '{schema}').products"
+    parsed = f"from_json({unfenced(response)}, '{schema}').products"
     return (
         answers.selectExpr(*keep, f"{parsed} AS parsed", f"{_as_products(chunk)} AS found")
         .selectExpr(*keep, f"coalesce(parsed, cast(found AS array<{_PRODUCT_TYPE}>)) AS products",

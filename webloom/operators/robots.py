@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webloom.functions import robots as R
-from webloom.functions.urls import url_host
+from webloom.functions.urls import host_key, url_host
 
 
 def robots_lines(files: DataFrame) -> DataFrame:
@@ -44,6 +44,13 @@ def robots_summary(files: DataFrame) -> DataFrame:
     )
 
 
+def robots_report(files: DataFrame, stored: DataFrame) -> DataFrame:
+    """(robotstxt_url, stored_rows, total_rules, n_disallowed): files next to the rows stored of them."""
+    rows = stored.groupBy("robotstxt_url").agg(F.count("*").alias("stored_rows"))
+    return robots_summary(files).join(rows, "robotstxt_url").selectExpr(
+        "robotstxt_url", "stored_rows", "total_rules", "size(disallowed_paths) AS n_disallowed")
+
+
 def robots_rules(files: DataFrame) -> DataFrame:
     """Long form of the policy: (host, group_no, agents, rule_no, allow, path)."""
     return (
@@ -62,15 +69,36 @@ def robots_group_for_agent(files: DataFrame, agent: str) -> DataFrame:
     )
 
 
+def _policies(files: DataFrame, agent: str) -> DataFrame:
+    """(site, policy): status and rules for the agent of the one file of each site that counts."""
+    group = R.group_for_agent("groups", "agent")
+    read = (
+        files.selectExpr(f"{host_key('robotstxt_url')} AS site", "robotstxt_url", "http_status",
+                         f"{R.agent_groups('body')} AS groups")
+        .filter("site IS NOT NULL").withColumn("agent", F.lit(agent))
+        .selectExpr("site", "robotstxt_url", "http_status", f"{group} AS g")
+    )
+    order = "struct(if(http_status = 200, 0, 1), robotstxt_url, to_json(g.rules), http_status)"
+    return read.groupBy("site").agg(F.expr(
+        f"min_by(struct(http_status AS status, g.rules AS rules), {order})").alias("policy"))
+
+
 def robots_allowed(urls: DataFrame, files: DataFrame, agent: str, url: str = "url") -> DataFrame:
-    """``urls`` plus ``allowed``. ``files`` holds one robots file per host; a host without one was never read."""
-    policy = robots_group_for_agent(files, agent).selectExpr(
-        "host AS policy_host", "http_status AS policy_status", "rules AS policy_rules")
-    joined = urls.withColumn("policy_key", F.expr(url_host(url))).join(
-        policy, F.col("policy_key") == F.col("policy_host"), "left")
+    """``urls`` plus ``allowed``, a row for each row of ``urls``.
+
+    URLs and files meet by scheme and host as ``host_key`` has it. Of several files of a site one counts: a file that
+    was found before others, then the one with the least address, then the one with the least rules. A URL whose site
+    has no file, or that is not absolute, was never cleared and is not allowed.
+    """
+    policies = _policies(files, agent)
+    # The key is written anew, so the join places its own exchange, which AQE can split where a host is frequent.
+    policy = policies.selectExpr("concat(site, '') AS policy_site", "policy.status AS policy_status",
+                                 "policy.rules AS policy_rules")
+    joined = urls.withColumn("policy_key", F.expr(host_key(url))).join(
+        policy, F.col("policy_key") == F.col("policy_site"), "left")
     verdict = R.robots_verdict("policy_status", "policy_rules", "policy_target")
     return (
         joined.withColumn("policy_target", F.expr(R.url_target(url)))
         .withColumn("allowed", F.expr(verdict))
-        .drop("policy_key", "policy_host", "policy_status", "policy_rules", "policy_target")
+        .drop("policy_key", "policy_site", "policy_status", "policy_rules", "policy_target")
     )

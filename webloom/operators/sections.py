@@ -104,13 +104,32 @@ def select_elements(pages: DataFrame, predicate: dom.Predicate) -> DataFrame:
     return explode_nodes(parsed.selectExpr("page_id", f"{dom.select_elements('nodes', predicate)} AS nodes"))
 
 
+def match_keyword_text(pages: DataFrame, words: Sequence[str]) -> DataFrame:
+    """(page_id, id, text) of texts and comments that hold a keyword of the words."""
+    parsed = parse_nodes(pages, keep=("page_id",)).selectExpr(
+        "page_id", f"filter(nodes, n -> {dom.text_contains(keywords_sql(words))('n')}) AS nodes")
+    return explode_nodes(parsed).select("page_id", "id", "text")
+
+
+def elements_by_field(pages: DataFrame, fields: Sequence[str],
+                      attributes: Sequence[str] = FIELD_ATTRIBUTES) -> DataFrame:
+    """(page_id, field, attribute, tag, n): elements whose attribute names a field."""
+    hits = ", ".join(
+        f"transform({dom.select_elements('nodes', dom.attr_contains(a, f))}, "
+        f"n -> named_struct('field', {text(f)}, 'attribute', {text(a)}, 'tag', n.tag))"
+        for f in fields for a in attributes)
+    rows = parse_nodes(pages, keep=("page_id",), with_text=False).selectExpr(
+        "page_id", f"explode_outer(concat({hits})) AS hit").filter("hit IS NOT NULL").select("page_id", "hit.*")
+    return rows.groupBy("page_id", "field", "attribute", "tag").agg(F.count("*").alias("n"))
+
+
 def count_elements(pages: DataFrame, selectors: dict[str, dom.Predicate]) -> DataFrame:
     """(page_id, selector, n) of the selectors with a hit; all of them look at one parse."""
     counts = ", ".join(f"named_struct('selector', {text(name)}, 'n', size({dom.select_elements('nodes', p)}))"
                        for name, p in selectors.items())
     return (
         parse_nodes(pages, keep=("page_id",), with_text=False)
-        .selectExpr("page_id", f"inline(filter(array({counts}), c -> c.n > 0))")
+        .selectExpr("page_id", f"inline(array({counts}))").filter("n > 0")
     )
 
 
@@ -127,7 +146,8 @@ def relevant_nodes(pages: DataFrame, fields: Sequence[str], data_values: bool =
     return (
         parse_nodes(pages, keep=("page_id",))
         .selectExpr("page_id", f"{relevant_ids(fields, data_values)} AS hits", "nodes")
-        .selectExpr("page_id", f"posexplode(transform(hits, h -> named_struct('id', h, 'tag', {tag}))) AS (pos, hit)")
+        .selectExpr("page_id", f"posexplode_outer(transform(hits, h -> named_struct('id', h, 'tag', {tag}))) AS (pos, hit)")
+        .filter("pos IS NOT NULL")
         .selectExpr("page_id", "pos", "hit.id AS node_id", "hit.tag AS tag")
     )
 
@@ -157,7 +177,8 @@ def compress_attributes(pages: DataFrame, fields: Sequence[str]) -> DataFrame:
 
 
 def filter_html_stages(pages: DataFrame, fields: Sequence[str], max_tokens: int = DEFAULT_TOKEN_BUDGET) -> DataFrame:
-    """(page_id, html, tokens after each stage) of pages cleaned, cut to relevant sections and fitted to a budget."""
+    """(page_id, html, tokens after each stage, truncated) of pages cleaned, cut to relevant sections and fitted to a
+    budget. ``truncated`` tells where removing elements was not enough and the end of the page was cut."""
     keep = ("page_id", "original", "stripped")
     cleaned = (
         pages.selectExpr("page_id", f"{count_tokens('html')} AS original", f"{strip_irrelevant_html('html')} AS html")
@@ -171,15 +192,16 @@ def filter_html_stages(pages: DataFrame, fields: Sequence[str], max_tokens: int
         .selectExpr(*keep, "relevant", f"{dom.rendered_length('compact')} AS compact_chars", "compact")
         .selectExpr(*keep, "relevant", f"{tokens_for('compact_chars')} AS compressed", f"{fitted} AS fitted")
         .selectExpr(*keep, "relevant", "compressed", f"{dom.render_html('fitted')} AS full_html")
-        .selectExpr(*keep, "relevant", "compressed", f"{truncate_budget('full_html', max_tokens)} AS html")
+        .selectExpr(*keep, "relevant", "compressed", f"{truncate_budget('full_html', max_tokens)} AS html",
+                    f"{count_tokens('full_html')} > {max_tokens} AS truncated")
         .selectExpr("page_id", "html", "original", "stripped", "relevant", "compressed",
-                    f"{count_tokens('html')} AS final")
+                    f"{count_tokens('html')} AS final", "truncated")
     )
 
 
 def filter_html(pages: DataFrame, fields: Sequence[str], max_tokens: int = DEFAULT_TOKEN_BUDGET) -> DataFrame:
-    """(page_id, html): each page reduced to what can hold the fields, within the token budget."""
-    return filter_html_stages(pages, fields, max_tokens).select("page_id", "html")
+    """(page_id, html, truncated): each page reduced to what can hold the fields, within the token budget."""
+    return filter_html_stages(pages, fields, max_tokens).select("page_id", "html", "truncated")
 
 
 STAGES = ("original", "stripped", "relevant", "compressed", "final")

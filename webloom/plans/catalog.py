@@ -62,6 +62,14 @@ def q_read_sitemap(spark, sf):
         "sitemap_url", "pos", "loc", "unix_seconds(lastmod) AS lastmod_seconds")
 
 
+@query
+def q_read_sitemap_malformed(spark, sf):
+    """Sitemaps with a bare ampersand in each address, and with the end cut off."""
+    broken = I.sitemaps(spark, sf).selectExpr(
+        "sitemap_url", "replace(replace(replace(body, '</loc>', '?a=1&b=2</loc>'), ' ?a', '?a'), '</urlset>', '<url><loc>http') AS body")
+    return sitemap.read_sitemap(broken).select("sitemap_url", "pos", "loc", "malformed")
+
+
 @query
 def q_read_crawl_log(spark, sf):
     return _log(spark, sf)
@@ -124,7 +132,7 @@ def q_normalize_url(spark, sf):
 
 @query
 def q_resolve_url(spark, sf):
-    return _references(spark, sf).filter("i < 8").selectExpr("page_id", "i", f"{U.resolve_url('ref', 'base')} AS url")
+    return _references(spark, sf).selectExpr("page_id", "i", f"{U.resolve_url('ref', 'base')} AS url")
 
 
 @query
@@ -209,7 +217,7 @@ def q_strip_slashes(spark, sf):
 
 @query
 def q_classify_error(spark, sf):
-    return _log(spark, sf).filter("detail IS NOT NULL").selectExpr(
+    return _log(spark, sf).filter("status = 'error'").selectExpr(
         "pos", "detail", f"{X.classify_error('detail')} AS error_class")
 
 
@@ -226,10 +234,22 @@ def q_build_prompts(spark, sf):
 
 @query
 def q_build_extraction_prompts(spark, sf):
-    cut = chunks.chunk_fixed(I.documents(spark, sf), keep=("doc_id",))
+    cut = chunks.chunk_fixed(I.documents(spark, sf), keep=("doc_id",), size=chunks.CHUNK_FILE_CHARS)
     return navigate.build_extraction_prompts(cut, EXTRACTION_PROMPT, "JSON").select("doc_id", "chunk_no", "prompt")
 
 
+@query
+def q_build_url_prompts(spark, sf):
+    return navigate.build_url_prompts(_sites(spark, sf), PROMPT, I.INTERESTS, per_prompt=4).selectExpr(
+        "site", f"explode(split(replace(prompt, 'Resources: ', '\n'), '\n')) AS line").filter("line LIKE 'http%'")
+
+
+@query
+def q_build_sitemap_prompts(spark, sf):
+    located = navigate.sitemap_urls(I.sitemaps(spark, sf))
+    return navigate.build_url_prompts(located, PROMPT, I.INTERESTS, per_prompt=10 ** 6).select("site", "prompt")
+
+
 @query
 def q_parse_nav_response(spark, sf):
     """Answers written from page addresses; every fourth lacks its rules and every fifth is no JSON."""
@@ -243,9 +263,11 @@ def q_parse_nav_response(spark, sf):
 
 @query
 def q_parse_product_response(spark, sf):
-    """Answers written from parts; every third is plain text, so its product comes from the chunk."""
+    """Answers written from parts, every fourth in a code fence; every third is plain text, so its product comes from
+    the chunk."""
     price = "format_string('%.2f', p_retailprice)"
-    typed = f"concat('{{\"products\":[{{\"name\":\"', p_name, '\",\"price\":\"$', {price}, '\"}}]}}')"
+    typed = (f"concat(if(p_partkey % 4 = 1, 'Here:\\n```json\\n', ''), '{{\"products\":[{{\"name\":\"', p_name, "
+             f"'\",\"price\":\"$', {price}, '\"}}]}}', if(p_partkey % 4 = 1, '\\n```', ''))")
     answers = I.table(spark, sf, "part").selectExpr(
         "p_partkey", f"if(p_partkey % 3 = 0, 'no idea', {typed}) AS response",
         f"{I.product_line_sql(price)} AS chunk")
@@ -302,10 +324,7 @@ def q_match_price_text(spark, sf):
 
 @query
 def q_match_keyword_text(spark, sf):
-    words = sections.keywords_sql(SHOP_WORDS)
-    parsed = parse_nodes(I.shop_pages(spark, sf), keep=("page_id",)).selectExpr(
-        "page_id", f"filter(nodes, n -> {dom.text_contains(words)('n')}) AS nodes")
-    return explode_nodes(parsed).select("page_id", "id", "text")
+    return sections.match_keyword_text(I.shop_pages(spark, sf), SHOP_WORDS)
 
 
 # --- joins ----------------------------------------------------------------------------------------------------------
@@ -320,6 +339,22 @@ def q_robots_allowed(spark, sf):
     return robots.robots_allowed(I.url_list(spark, sf), I.robots_files(spark, sf), I.AGENT)
 
 
+@query
+def q_robots_allowed_written_otherwise(spark, sf):
+    """Hosts in capitals, with their usual port or a user, under the other scheme, and addresses that are relative;
+    half of the sites also have a second file, which was not found."""
+    files = I.robots_files(spark, sf)
+    second = files.filter("length(robotstxt_url) % 2 = 0 AND http_status = 200").selectExpr(
+        "concat(robotstxt_url, '?again') AS robotstxt_url", "body", "403 AS http_status")
+    urls = I.url_list(spark, sf).selectExpr("pos", f"""CASE pos % 5
+        WHEN 0 THEN concat('HTTPS://', upper({U.url_host('url')}), {U.url_path('url')})
+        WHEN 1 THEN concat('https://', {U.url_host('url')}, ':443', {U.url_path('url')})
+        WHEN 2 THEN concat('https://me:pw@', {U.url_host('url')}, {U.url_path('url')})
+        WHEN 3 THEN concat('http://', {U.url_host('url')}, {U.url_path('url')})
+        ELSE {U.url_path('url')} END AS url""")
+    return robots.robots_allowed(urls, files.unionByName(second), I.AGENT)
+
+
 @query
 def q_robots_group_for_agent(spark, sf):
     files = I.robots_files(spark, sf)
@@ -345,14 +380,7 @@ def q_drop_subtrees(spark, sf):
 
 @query
 def q_elements_by_field(spark, sf):
-    fields = ("product", "menu", "q")
-    parsed = parse_nodes(I.shop_pages(spark, sf), keep=("page_id",), with_text=False)
-    hits = ", ".join(
-        f"transform({dom.select_elements('nodes', dom.attr_contains(a, f))}, "
-        f"n -> named_struct('field', '{f}', 'attribute', '{a}', 'tag', n.tag))"
-        for f in fields for a in sections.FIELD_ATTRIBUTES)
-    rows = parsed.selectExpr("page_id", f"inline(concat({hits}))")
-    return rows.groupBy("page_id", "field", "attribute", "tag").agg(F.count("*").alias("n"))
+    return sections.elements_by_field(I.shop_pages(spark, sf), ("product", "menu", "q"))
 
 
 # --- aggregations ---------------------------------------------------------------------------------------------------
@@ -405,7 +433,7 @@ def q_distinct_urls(spark, sf):
 
 @query
 def q_first_seen_urls(spark, sf):
-    return links.url_extract(I.shop_pages(spark, sf)).filter("category = 'images'")
+    return links.url_extract(I.shop_pages(spark, sf))
 
 
 @query
@@ -431,7 +459,7 @@ def q_first_valid_sitemap(spark, sf):
 
 @query
 def q_limit_products(spark, sf):
-    sections_ = products.extract_product_sections(I.shop_pages(spark, sf))
+    sections_ = products.limit_products(I.shop_pages(spark, sf))
     return sections_.groupBy("page_id").agg(F.count("*").alias("n_sections"), F.max("pos").alias("last_pos"))
 
 
@@ -441,6 +469,17 @@ def q_max_pages(spark, sf):
     return crawl.max_pages(outcomes, MAX_PAGES).select("pos", "host", "url", "status")
 
 
+@query
+def q_max_pages_per_run(spark, sf):
+    return crawl.max_pages(_log(spark, sf), MAX_PAGES, keys=()).select("pos", "url", "status")
+
+
+@query
+def q_max_pages_not_reached(spark, sf):
+    """A limit beyond the number of pages keeps every row."""
+    return crawl.max_pages(_log(spark, sf), 10 ** 6, keys=()).select("pos", "url", "status")
+
+
 @query
 def q_budget_removal(spark, sf):
     """Elements that stay on the test pages under a tight budget: the navigation goes first, then the footer."""
@@ -620,6 +659,12 @@ def q_crawl_frontier(spark, sf):
     return crawl.crawl_frontier(I.url_list(spark, sf), _log(spark, sf), I.robots_files(spark, sf), I.AGENT, MAX_PAGES)
 
 
+@query
+def q_crawl_frontier_run(spark, sf):
+    return crawl.crawl_frontier(I.url_list(spark, sf), _log(spark, sf), I.robots_files(spark, sf), I.AGENT, MAX_PAGES,
+                                keys=())
+
+
 @query
 def q_forbidden_outcomes(spark, sf):
     decided = crawl.crawl_decisions(I.url_list(spark, sf), _log(spark, sf), I.robots_files(spark, sf), I.AGENT)
@@ -631,10 +676,7 @@ def q_robots_report(spark, sf):
     folder = I.work_folder(spark)
     files = I.robots_files(spark, sf)
     robots_source.write_robots_jsonl(robots.robots_rows(files), folder)
-    stored = robots_source.read_robots_jsonl(spark, folder).groupBy("robotstxt_url").agg(
-        F.count("*").alias("stored_rows"))
-    return robots.robots_summary(files).join(stored, "robotstxt_url").selectExpr(
-        "robotstxt_url", "stored_rows", "total_rules", "size(disallowed_paths) AS n_disallowed")
+    return robots.robots_report(files, robots_source.read_robots_jsonl(spark, folder))
 
 
 # --- streaming ------------------------------------------------------------------------------------------------------

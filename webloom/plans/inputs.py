@@ -14,9 +14,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.functions.urls import url_host
+from webloom.functions.urls import url_host, url_origin
 from webloom.sources import pages as page_source
 
+DEAL_SETTING = "spark.webloom.input.partitions"
 PARTS_PER_PAGE = 60
 PARTS_PER_TEXT = 20
 PAGES_PER_SITEMAP = 100
@@ -48,17 +49,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return page_source.read_pages(spark, f"{sf_dir}/pages.parquet")
+    return _dealt(page_source.read_pages(spark, f"{sf_dir}/pages.parquet"))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return page_source.spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return _dealt(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Rows dealt out to as many partitions as the session asks for, where it does: a test table is one row group, which
+    only one core can read. Without the setting rows stay where they are read."""
+    asked = rows.sparkSession.conf.get(DEAL_SETTING, None)
+    return rows.repartition(int(asked)) if asked else rows
 
 
 def grouped(rows: DataFrame, key: str) -> DataFrame:
-    """Rows placed by the key they are about to be grouped by, on all shuffle partitions: what is built from a few
-    bytes here is costly to parse later, and a small shuffle would be merged into too few tasks."""
-    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+    """Rows placed by the key they are about to be grouped by, on as many partitions as the session asks for: what is
+    built from a few bytes here is costly to parse later, and a small shuffle would be merged into too few tasks."""
+    asked = rows.sparkSession.conf.get(DEAL_SETTING, None)
+    return rows.repartition(int(asked), key) if asked else rows
 
 
 def url_list(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,9 +126,9 @@ ROBOTS_STATUS = "CASE length(host) % 11 WHEN 0 THEN 403 WHEN 1 THEN 404 WHEN 2 T
 
 
 def robots_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(robotstxt_url, body, http_status), one per host of the pages."""
-    hosts = table(spark, sf_dir, "pages").selectExpr(f"{url_host('url')} AS host").distinct()
-    return hosts.selectExpr("'https://' || host || '/robots.txt' AS robotstxt_url", f"{ROBOTS_BODY} AS body",
+    """(robotstxt_url, body, http_status), one per scheme and host of the pages."""
+    hosts = table(spark, sf_dir, "pages").selectExpr(f"{url_origin('url')} AS origin", f"{url_host('url')} AS host").distinct()
+    return hosts.selectExpr("origin || '/robots.txt' AS robotstxt_url", f"{ROBOTS_BODY} AS body",
                             f"{ROBOTS_STATUS} AS http_status")
 
 
@@ -158,6 +167,11 @@ def sitemaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def work_folder(spark: SparkSession) -> str:
-    """A new folder in the shared storage the cluster names, in a local one only where it names none."""
+    """A new folder in the shared storage the cluster names. A local one serves only where Spark itself is local: on a
+    cluster executors would write to disks that nobody else reads."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    return os.path.join(shared or tempfile.mkdtemp(prefix="webloom-"), uuid.uuid4().hex)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = tempfile.mkdtemp(prefix="webloom-")
+    return os.path.join(shared, uuid.uuid4().hex)

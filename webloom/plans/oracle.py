@@ -45,8 +45,8 @@ def shop_url(path: str) -> str:
 HOST = "regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)"
 ORIGIN = "regexp_extract(url, '^([a-z]+://[^/?#]+)', 1)"
 PATH = "regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1)"
-ROBOTS = f"""hosts AS (SELECT DISTINCT {HOST} AS host FROM pages),
-robots AS (SELECT host, 'https://' || host || '/robots.txt' AS robotstxt_url, {I.ROBOTS_BODY} AS body,
+ROBOTS = f"""hosts AS (SELECT DISTINCT {ORIGIN} AS origin, {HOST} AS host FROM pages),
+robots AS (SELECT host, origin || '/robots.txt' AS robotstxt_url, {I.ROBOTS_BODY} AS body,
     {I.ROBOTS_STATUS} AS http_status FROM hosts),
 lines AS (SELECT robotstxt_url, unnest(string_split(body, chr(10))) AS value,
     generate_subscripts(string_split(body, chr(10)), 1) AS line_no FROM robots),
@@ -162,7 +162,8 @@ REFERENCES = f"""refs AS (
 RESOLVED = """CASE i WHEN 0 THEN origin || ref WHEN 1 THEN origin || path || ref WHEN 2 THEN origin || path || query || ref
     WHEN 3 THEN origin || folder || ref WHEN 4 THEN origin || regexp_replace(folder, '[^/]+/$', '') || 'up'
     WHEN 5 THEN origin || folder || 'same' WHEN 6 THEN ref
-    WHEN 7 THEN regexp_extract(url, '^[a-z]+:', 0) || ref END"""
+    WHEN 7 THEN regexp_extract(url, '^[a-z]+:', 0) || ref WHEN 8 THEN origin || '/pad  ' WHEN 10 THEN regexp_extract(url, '^[^#]*')
+    ELSE ref END"""
 
 
 def ranking(source: str) -> str:
@@ -218,7 +219,7 @@ _RESULTS: dict[str, str] = {
     "write_pages": """SELECT sha256(url) AS page_key, url, md5(html) AS html_md5, page_id % 3 AS crawl_ts FROM pages""",
     "normalize_url": f"""WITH {REFERENCES} SELECT page_id, i, CASE WHEN i IN (2, 9, 10, 11) THEN NULL
         WHEN i = 7 THEN ref WHEN i = 8 THEN origin || '/pad' ELSE {RESOLVED} END AS url FROM refs""",
-    "resolve_url": f"WITH {REFERENCES} SELECT page_id, i, {RESOLVED} AS url FROM refs WHERE i < 8",
+    "resolve_url": f"WITH {REFERENCES} SELECT page_id, i, {RESOLVED} AS url FROM refs",
     "is_valid_url": f"WITH {REFERENCES} SELECT page_id, i, i IN (0, 3, 4, 5, 6, 7, 8) AS valid FROM refs",
     "strip_irrelevant_html": f"""SELECT page_id, length(h) AS chars, md5(h) AS html_md5
         FROM (SELECT page_id, {stripped('html')} AS h FROM pages)""",
@@ -246,15 +247,15 @@ _RESULTS: dict[str, str] = {
         (2, '/sitemap/sitemap.xml')) t(candidate_no, path)""",
     "strip_slashes": "SELECT page_id AS pos, rtrim(url, '/') AS url FROM pages",
     "classify_error": f"""WITH {LOG} SELECT pos, detail, CASE pos % 15 WHEN 4 THEN 'access_denied' WHEN 5 THEN 'timeout'
-        ELSE 'other' END AS error_class FROM log WHERE detail IS NOT NULL""",
+        ELSE 'other' END AS error_class FROM log WHERE status = 'error'""",
     "parse_crawl_line": f"""WITH {LOG} SELECT pos AS page_id, CASE WHEN status IS NOT NULL THEN url END AS url, status,
         http_status FROM outcomes""",
     "build_prompts": f"""WITH {HREFS} SELECT page_id, 'Interests: {", ".join(I.INTERESTS)}' || chr(10) || 'Resources: '
         || coalesce(string_agg(url, chr(10) ORDER BY url), '') AS prompt
         FROM pages p LEFT JOIN (SELECT page_id, url FROM page_urls) u USING (page_id) GROUP BY page_id"""
     .replace("string_agg(url", "string_agg(u.url").replace("ORDER BY url)", "ORDER BY u.url)"),
-    "build_extraction_prompts": f"""WITH {FIXED_CHUNKS} SELECT doc_id, chunk_no,
-        'HTML: ' || substr(chunk, 1, 3000) || chr(10) || 'Format: JSON' AS prompt FROM fixed""",
+    "build_extraction_prompts": f"""WITH {FIXED_CHUNKS.replace('3800', '2800').replace('4000', '3000')}
+        SELECT doc_id, chunk_no, 'HTML: ' || chunk || chr(10) || 'Format: JSON' AS prompt FROM fixed""",
     "parse_nav_response": """SELECT page_id AS pos, CASE WHEN page_id % 5 > 0 THEN url END AS url,
         CASE WHEN page_id % 5 > 0 AND page_id % 4 > 0 THEN '/a,/b' END AS rules,
         CASE WHEN page_id % 5 > 0 AND page_id % 4 > 0 THEN 'r' || page_id END AS reason,
@@ -281,6 +282,24 @@ _RESULTS: dict[str, str] = {
         WHERE contains(p_name, 'ring') OR contains(p_name, 'bolt')""",
     "unvisited_urls": f"WITH {LOG} SELECT pos, url FROM outcomes WHERE status IS NULL",
     "robots_allowed": f"SELECT page_id AS pos, url, {ALLOWED} AS allowed FROM pages",
+    "robots_allowed_written_otherwise": f"""WITH kinds AS (SELECT page_id % 5 AS k, page_id AS pos, {HOST} AS host,
+            {PATH} AS path, {ALLOWED} AND CASE WHEN page_id % 5 < 3 THEN 'https://' ELSE 'http://' END || {HOST}
+                IN (SELECT {ORIGIN} FROM pages) AS allowed FROM pages)
+        SELECT pos, CASE k WHEN 0 THEN 'HTTPS://' || upper(host) || path WHEN 1 THEN 'https://' || host || ':443' || path
+            WHEN 2 THEN 'https://me:pw@' || host || path WHEN 3 THEN 'http://' || host || path ELSE path END AS url,
+            k < 4 AND allowed AS allowed FROM kinds""",
+    "max_pages_per_run": f"""WITH {LOG} SELECT pos, url, status FROM log QUALIFY coalesce(sum(
+        (status = 'fetched')::INT) OVER (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+        < {C.MAX_PAGES}""",
+    "max_pages_not_reached": f"WITH {LOG} SELECT pos, url, status FROM log",
+    "crawl_frontier_run": f"""WITH {LOG} SELECT host, pos, url FROM outcomes WHERE status IS NULL AND {ALLOWED}
+        ORDER BY pos LIMIT {C.MAX_PAGES}""",
+    "build_url_prompts": f"SELECT DISTINCT {HOST} AS site, url AS line FROM pages",
+    "build_sitemap_prompts": f"""SELECT {HOST} AS site, 'Interests: {', '.join(I.INTERESTS)}' || chr(10) || 'Resources: '
+        || string_agg(DISTINCT url, chr(10) ORDER BY url) AS prompt FROM pages GROUP BY 1""",
+    "read_sitemap_malformed": f"""WITH {SITEMAP_ROWS} SELECT sitemap_url,
+        row_number() OVER (PARTITION BY sitemap_url ORDER BY page_id) - 1 AS pos, url || '?a=1&b=2' AS loc,
+        true AS malformed FROM located""",
     "robots_group_for_agent": f"""WITH {ROBOTS} SELECT host, agent, group_no, agents,
         n_rules + CASE WHEN group_no = 0 AND length(host) % 2 = 0 THEN 1 ELSE 0 END AS n_rules
         FROM hosts, (VALUES ('{I.AGENT}', 0, '*', 3), ('BotB/1.0', 1, 'BotA,BotB', 2))
@@ -316,7 +335,7 @@ _RESULTS: dict[str, str] = {
         UNION ALL SELECT 'stripped', count(*), sum(ceil(length({stripped('html')}) / 4.0))::BIGINT FROM pages""",
     "distinct_urls": f"WITH {HREFS} SELECT DISTINCT url FROM hrefs",
     "first_seen_urls": f"""WITH {PARTS}, {SHOP_URLS} SELECT page_id, category, pos, {shop_url('path')} AS url
-        FROM shop_urls WHERE category = 'images'""",
+        FROM shop_urls""",
     "dedupe_elements": f"""WITH {PARTS} SELECT n AS page_id, i AS pos, 17 + 9 * i AS node_id, 'div' AS tag FROM parts
             WHERE n % 4 < 2
         UNION ALL SELECT DISTINCT n, CASE WHEN n % 4 < 2 THEN c ELSE 0 END + k, id, tag FROM parts,
@@ -364,11 +383,11 @@ _RESULTS: dict[str, str] = {
     "extract_product_sections": f"""WITH {PARTS} SELECT n AS page_id, i AS pos,
         17 + 9 * i + CASE WHEN n % 4 = 3 THEN 7 ELSE 0 END AS node_id,
         CASE WHEN n % 4 = 3 THEN '<span>$' || price || '</span>' ELSE {CARD_HTML} END AS section
-        FROM parts WHERE i < 50""",
+        FROM parts""",
     "extract_product_fields": f"""WITH {PARTS} SELECT n AS page_id, i AS pos, CASE WHEN n % 4 < 3 THEN p_name END AS name,
         '$' || price AS price, CASE WHEN n % 4 < 3 THEN p_partkey::VARCHAR END AS id,
         CASE WHEN n % 4 < 3 THEN '/img/' || p_partkey || '.jpg' END AS image_url,
-        CASE WHEN n % 4 < 3 THEN p_brand || ' ' || p_type END AS description FROM parts WHERE i < 50""",
+        CASE WHEN n % 4 < 3 THEN p_brand || ' ' || p_type END AS description FROM parts""",
     "score_urls": f"SELECT {HOST} AS site, url, {SCORE} AS score FROM pages",
     "content_density": f"""WITH {TEXTS} SELECT page_id, round(length(text) / length(html)::DOUBLE, 6) AS density
         FROM pages JOIN texts USING (page_id)""",
@@ -388,7 +407,7 @@ _RESULTS: dict[str, str] = {
     "nav_from_pages": f"WITH {HREFS}, {ranking('page_urls')} {ANSWER}",
     "filter_html": f"""WITH {PARTS} SELECT n AS page_id, '<nav class="menu"><a>Home</a></nav>' || chr(10)
         || '<form><input name="q"/></form>' || chr(10) || '<input name="q"/>' || chr(10)
-        || '<main>' || string_agg({SMALL_CARD}, '' ORDER BY p_partkey) || '</main>' AS html FROM parts GROUP BY n""",
+        || '<main>' || string_agg({SMALL_CARD}, '' ORDER BY p_partkey) || '</main>' AS html, false AS truncated FROM parts GROUP BY n""",
     "product_chunks": f"""WITH {PARTS}, shop_text AS (SELECT n AS page_id, string_agg(
             p_name || ' ' || p_brand || ' ' || p_type || ' $' || price, ' ' ORDER BY p_partkey) AS text
             FROM parts GROUP BY n),
@@ -411,7 +430,7 @@ _RESULTS: dict[str, str] = {
 
 # Result columns that are 32-bit or 64-bit integers in the queries and come out wider or narrower in the SQL.
 _INTEGERS = {
-    "read_pages": "html_chars", "read_robots": "line_no", "read_sitemap": "pos", "normalize_url": "i",
+    "read_pages": "html_chars", "read_robots": "line_no", "read_sitemap": "pos", "read_sitemap_malformed": "pos", "normalize_url": "i",
     "resolve_url": "i", "is_valid_url": "i", "strip_irrelevant_html": "chars", "html_to_text": "chars",
     "parse_robots_line": "line_no", "build_extraction_prompts": "chunk_no", "filter_product_chunks": "chunk_no",
     "filter_directive": "line_no", "select_elements": "id", "count_elements": "n", "match_price_text": "node_id parent_id", "match_keyword_text": "id",

@@ -6,16 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores on an input of few splits. A scan with at least as many splits as cores stays as it is, so nothing
-    large is moved."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
-
-
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """Pages from a parquet table (page_id, url, html)."""
-    return spread(spark.read.parquet(path).select("page_id", "url", "html"))
+    return spark.read.parquet(path).select("page_id", "url", "html")
 
 
 def read_page_files(spark: SparkSession, path: str) -> DataFrame:

@@ -10,11 +10,17 @@ from webloom.schemas import ROBOTS
 _ISO = "yyyy-MM-dd'T'HH:mm:ss.SSSXXX"
 
 
-def read_robots_files(spark: SparkSession, path: str) -> DataFrame:
-    """Stored robots files, one row per file: (robotstxt_url, body, http_status). The address is the file path."""
-    return spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_path").alias("robotstxt_url"), F.col("value").alias("body"),
-        F.lit(200).alias("http_status"))
+def read_robots_files(spark: SparkSession, path: str, scheme: str = "https",
+                      host: str = r"([^/]+)/robots\.txt$") -> DataFrame:
+    """Stored robots files, one row per file: (robotstxt_url, body, http_status).
+
+    The host is the first group of the pattern ``host`` in the file's path, by default the folder a ``robots.txt`` lies
+    in. A file whose path does not match has no address and clears nothing.
+    """
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("body"))
+    found = F.regexp_extract("path", host, 1)
+    address = F.when(found != "", F.concat(F.lit(f"{scheme}://"), found, F.lit("/robots.txt")))
+    return files.select(address.alias("robotstxt_url"), "body", F.lit(200).alias("http_status"))
 
 
 def write_robots_jsonl(rows: DataFrame, path: str) -> None:

@@ -5,23 +5,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.functions.sql import strip
+from webloom.functions.sql import strip, text
 
 _ENTRY = "ARRAY<STRUCT<loc: STRING, lastmod: STRING>>"
 _SCHEMA = f"url {_ENTRY}, sitemap {_ENTRY}"
 
 
+def _field(entry: str, name: str) -> str:
+    """Text of one field of an entry, NULL where it is missing; the five entities of XML are decoded."""
+    value = f"regexp_extract({entry}, {text(f'(?s)<{name}>(.*?)</{name}>')}, 1)"
+    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
+        value = f"replace({value}, '{entity}', {text(char)})"
+    return f"nullif({value}, '')"
+
+
 def read_sitemap(sitemaps: DataFrame) -> DataFrame:
-    """(sitemap_url, pos, loc, lastmod) of sitemaps (sitemap_url, body): trimmed, in order, duplicates kept.
+    """(sitemap_url, pos, loc, lastmod, malformed) of sitemaps (sitemap_url, body): trimmed, in order, duplicates kept.
 
-    An index file gives the addresses of its sitemaps, which are not followed. A body that is not XML gives no rows.
+    An index file gives the addresses of its sitemaps, which are not followed. A body that is not sound XML, such as
+    one that was cut off or holds a bare ``&``, is read entry by entry instead, and its rows are ``malformed``.
     """
+    # The reader gives no entry at all for a body with a fault anywhere.
     entries = "concat(coalesce(x.url, array()), coalesce(x.sitemap, array()))"
+    entry = text(r"(?s)<(?:url|sitemap)(?:\s[^>]*)?>(.*?)</(?:url|sitemap)\s*>")
+    loose = (f"transform(regexp_extract_all(body, {entry}, 1), e -> named_struct("
+             f"'loc', {_field('e', 'loc')}, 'lastmod', {_field('e', 'lastmod')}))")
     return (
-        sitemaps.select("sitemap_url", F.from_xml("body", _SCHEMA).alias("x"))
-        .selectExpr("sitemap_url", f"posexplode({entries}) AS (pos, entry)")
+        sitemaps.select("sitemap_url", "body", F.from_xml("body", _SCHEMA).alias("x"))
+        .selectExpr("sitemap_url", "body", f"{entries} AS strict")
+        .selectExpr("sitemap_url", "size(strict) = 0 AS malformed", f"if(size(strict) > 0, strict, {loose}) AS entries")
+        .selectExpr("sitemap_url", "malformed", "posexplode_outer(entries) AS (pos, entry)")
         .selectExpr("sitemap_url", "pos", f"{strip('entry.loc')} AS loc",
-                    f"try_to_timestamp({strip('entry.lastmod')}) AS lastmod")
+                    f"try_to_timestamp({strip('entry.lastmod')}) AS lastmod", "malformed")
         .filter("loc IS NOT NULL")
     )
 
@@ -36,9 +51,7 @@ def read_sitemap_files(spark: SparkSession, path: str) -> DataFrame:
 def first_valid_sitemap(fetched: DataFrame) -> DataFrame:
     """Per site the best candidate that was found: (site, sitemap_url, body) from
     (site, candidate_no, sitemap_url, http_status, body)."""
-    return (
-        fetched.filter("http_status = 200")
-        .groupBy("site")
-        .agg(F.expr("min_by(struct(sitemap_url, body), candidate_no)").alias("best"))
-        .select("site", "best.sitemap_url", "best.body")
-    )
+    found = fetched.filter("http_status = 200")
+    best = found.groupBy(F.col("site").alias("best_site")).agg(F.min("candidate_no").alias("best_no"))
+    return found.join(best, found["site"].eqNullSafe(best["best_site"]) & (found["candidate_no"] == best["best_no"])) \
+        .select("site", "sitemap_url", "body")
