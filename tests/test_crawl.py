@@ -133,3 +133,14 @@ def test_page_limit_of_a_run(spark):
     df = spark.createDataFrame(rows, "pos long, status string")
     kept = lambda n: [r.pos for r in crawl.max_pages(df, n, keys=()).orderBy("pos").collect()]
     assert kept(2) == [0, 1, 2, 3] and kept(50) == list(range(9)) and kept(0) == []
+
+
+def test_a_batch_reads_only_its_slices(spark, tmp_path):
+    table = str(tmp_path / "t")
+    frontier.pass_batch(spark.range(2000).selectExpr("cast(id AS string) AS url"), 0, table, "s")
+    one = frontier.passed_urls(spark, table).filter("slice IN (3) AND batch_id < 1").select("url")
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "slice" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert 0 < one.count() < 100
+    frontier.pass_batch(spark.createDataFrame([("7",), ("new",), (None,)], "url string"), 1, table, "s")
+    assert frontier.passed_urls(spark, table).filter("batch_id = 1").select("url").collect() == [("new",)]

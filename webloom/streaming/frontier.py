@@ -14,30 +14,36 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 URLS = "url STRING"
+_TABLE = f"{URLS}, source STRING, batch_id BIGINT, slice INT"
+#: Folders a batch's URLs are dealt into by hash.
+SLICES = 256
 
 
 def passed_urls(spark: SparkSession, table: str) -> DataFrame:
-    """(url, source, batch_id) of URLs that passed so far; no table yet means none."""
+    """(url, source, batch_id, slice) of URLs that passed so far; no table yet means none."""
     try:
-        return spark.read.schema(f"{URLS}, source STRING, batch_id BIGINT").parquet(table)
+        return spark.read.schema(_TABLE).parquet(table)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], f"{URLS}, source STRING, batch_id BIGINT")
+        return spark.createDataFrame([], _TABLE)
 
 
 def pass_batch(batch: DataFrame, batch_id: int, table: str, source: str) -> None:
     """Write the new URLs of one batch. A batch that runs again replaces its own rows and nothing else.
 
-    The table is first cut to the URLs of the batch. For a batch small enough to be broadcast that is a scan of one
-    column; the table is not shuffled, however long it has grown.
+    The batch is deduplicated once. Only the slices its URLs fall into are read of the table, and these are cut to the
+    URLs of the batch, so a small batch reads a small part of a long history.
     """
+    slice_no = F.pmod(F.xxhash64("url"), F.lit(SLICES)).cast("int")
+    urls = batch.select("url").where("url IS NOT NULL").dropDuplicates(["url"]).withColumn("slice", slice_no).persist()
+    touched = [r["slice"] for r in urls.select("slice").distinct().collect()]  # at most SLICES
     own = (F.col("source") == source) & (F.col("batch_id") >= batch_id)
-    before = passed_urls(batch.sparkSession, table).filter(~own).select("url")
-    urls = batch.select("url").where("url IS NOT NULL").dropDuplicates(["url"])
+    before = passed_urls(batch.sparkSession, table).filter(F.col("slice").isin(touched) & ~own).select("url")
     known = before.join(urls, "url", "left_semi")
     fresh = urls.join(known, "url", "left_anti")
-    fresh.write.mode("overwrite").parquet(f"{table}/source={source}/batch_id={batch_id}")
+    fresh.write.mode("overwrite").partitionBy("slice").parquet(f"{table}/source={source}/batch_id={batch_id}")
+    urls.unpersist()
 
 
 def incremental_frontier(spark: SparkSession, folder: str, table: str, checkpoint: str,
