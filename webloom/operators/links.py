@@ -74,11 +74,9 @@ def page_links(pages: DataFrame, base: str | None = "url", keep: Sequence[str] =
     valid = bind(normalize_url("substring(r, 2)", base), "u", f"if({is_valid_url('u')}, concat(left(r, 1), u), NULL)")
     names = "array(" + texts(CATEGORIES) + ")"
     # Only elements with attributes can hold a link; the rules then scan a short array.
-    bearing = "filter(nodes, n -> n.kind = 'element' AND size(n.attrs) > 0)"
     return (
-        parse_nodes(pages, keep=keep, with_text=False)
-        .selectExpr(*keep, f"{bearing} AS bearing")
-        .selectExpr(*keep, f"array_distinct({raw_links('bearing')}) AS raw")
+        parse_nodes(pages, keep=keep, with_text=False, bare=False)
+        .selectExpr(*keep, f"array_distinct({raw_links('nodes')}) AS raw")
         .selectExpr(*keep, f"array_distinct(array_compact(transform(raw, r -> {valid}))) AS found")
         .selectExpr(*keep, f"transform(found, f -> named_struct('category', get({names}, cast(left(f, 1) AS INT)), "
                            "'url', substring(f, 2))) AS links")

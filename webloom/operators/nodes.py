@@ -7,6 +7,7 @@ page crosses into Python once and is never shuffled.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator, Sequence
 from html import unescape
 from html.parser import HTMLParser
@@ -187,7 +188,7 @@ def _read_plain(page: str, tree: _Tree) -> bool:
     return True
 
 
-def _nodes_array(html: pa.Array, with_text: bool, marks: dict[str, int]) -> pa.Array:
+def _nodes_array(html: pa.Array, with_text: bool, marks: dict[str, int], bare: bool) -> pa.Array:
     rows: list[tuple] = []
     last_ids: list[int] = []
     offsets = [0]
@@ -200,6 +201,10 @@ def _nodes_array(html: pa.Array, with_text: bool, marks: dict[str, int]) -> pa.A
                 parser.close()
             tree.finish()
         offsets.append(len(rows))
+    if not bare:
+        kept = [i for i, row in enumerate(rows) if row[5]]
+        offsets = [bisect_left(kept, o) for o in offsets]
+        rows, last_ids = [rows[i] for i in kept], [last_ids[i] for i in kept]
     columns = list(zip(*rows)) if rows else [()] * 8
     columns.insert(1, last_ids)
     types = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(),
@@ -209,12 +214,13 @@ def _nodes_array(html: pa.Array, with_text: bool, marks: dict[str, int]) -> pa.A
 
 
 def parse_nodes(pages: DataFrame, html: str = "html", keep: Sequence[str] = ("page_id", "url"),
-                with_text: bool = True, groups: Sequence[Sequence[str]] = ()) -> DataFrame:
+                with_text: bool = True, groups: Sequence[Sequence[str]] = (), bare: bool = True) -> DataFrame:
     """``keep`` columns plus ``nodes``, one row per page. Bit k of a node's ``marks`` tells that it lies in, or is, an
     element whose tag is in the k-th of ``groups``.
 
     ``with_text=False`` leaves text and comments out, for operators that read tags and attributes only; node numbers
-    are then dense over elements. A NULL page gives an empty array.
+    are then dense over elements. ``bare=False`` gives only elements that have attributes, so the many plain ones never
+    leave the parser; numbers then have gaps. A NULL page gives an empty array.
     """
     keep = [c for c in keep if c in pages.columns]
     schema = T.StructType([pages.schema[c] for c in keep] + [T.StructField("nodes", NODES)])
@@ -226,7 +232,7 @@ def parse_nodes(pages: DataFrame, html: str = "html", keep: Sequence[str] = ("pa
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in pieces(batches, len(keep)):
-            nodes = _nodes_array(part.column(len(keep)), with_text, marks)
+            nodes = _nodes_array(part.column(len(keep)), with_text, marks, bare)
             yield pa.RecordBatch.from_arrays([*part.columns[:len(keep)], nodes], [*keep, "nodes"])
 
     return pages.select(*keep, html).mapInArrow(parse, schema)

@@ -6,11 +6,19 @@ input was derived from, instead of repeating the work.
 
 from __future__ import annotations
 
-from webloom.functions.text import IRRELEVANT_HTML, PRODUCT_INDICATORS, PRODUCT_URL_WORDS
 from webloom.plans import catalog as C
 from webloom.plans import inputs as I
 
 PRICE = "printf('%.2f', p_retailprice)"
+# What must be cut from raw HTML, and the words that mark products in texts and URLs. They are written
+# here as they must be, not taken from the code under test.
+IRRELEVANT_HTML = (
+    "(?is)<script[^>]*>.*?</script>", "(?is)<style[^>]*>.*?</style>", "(?s)<!--.*?-->", "(?i)<meta[^>]*>",
+    "(?i)<link[^>]*>", "(?is)<noscript[^>]*>.*?</noscript>", "(?is)<iframe[^>]*>.*?</iframe>",
+)
+PRODUCT_INDICATORS = ("$", "price", "buy", "add to cart", ".95", ".99", "product")
+PRODUCT_URL_WORDS = ("product", "item", "detail", "p/", "/p/", "catalog", "shop", "buy", "purchase", "goods",
+                     "merchandise", "listing")
 
 
 def _quoted(value: str) -> str:
