@@ -59,6 +59,12 @@ def page_features(pages: DataFrame) -> DataFrame:
         f"try_divide(length({dom.html_to_text('nodes')}), html_chars) AS content_density")
 
 
+def features_of_relevant(pages: DataFrame, relevant: DataFrame) -> DataFrame:
+    """``page_features`` of the pages that some site finds relevant; the others are not parsed."""
+    wanted = relevant.select("url").distinct()
+    return page_features(pages.join(wanted, "url", "left_semi").select("page_id", "url", "html"))
+
+
 def top_urls(relevant: DataFrame, features: DataFrame | None = None, n: int = MAX_URLS) -> DataFrame:
     """The first ``n`` relevant URLs of each site: (site, rank, url, score, hits).
 
@@ -115,9 +121,11 @@ def nav_from_sitemap(sitemaps: DataFrame, interests: Sequence[str] = INTERESTS)
 
 
 def nav_from_pages(pages: DataFrame, interests: Sequence[str] = INTERESTS) -> DataFrame:
-    """Answer from the links of pages; the site is the host of the page."""
-    links = page_links(pages).selectExpr(f"{url_host('url')} AS site", f"explode({sorted_urls()}) AS url")
-    return next_urls(links, interests)
+    """Answer from the links of pages; the site is the host of the page. Ties between URLs that are pages of the table go
+    to better structured and denser pages."""
+    links = page_links(pages).selectExpr(f"{url_host('url')} AS site", f"explode_outer({sorted_urls()}) AS url")
+    links = links.filter("url IS NOT NULL")
+    return next_urls(links, interests, features_of_relevant(pages, relevant_urls(links, interests)))
 
 
 def _filled(template: str, values: dict[str, str]) -> str:

@@ -592,8 +592,9 @@ def q_top_urls(spark, sf):
 
 @query
 def q_top_urls_with_features(spark, sf):
-    features = navigate.page_features(I.pages(spark, sf))
-    return navigate.top_urls(navigate.relevant_urls(_sites(spark, sf), I.INTERESTS), features).select(
+    relevant = navigate.relevant_urls(_sites(spark, sf), I.INTERESTS)
+    features = navigate.features_of_relevant(I.pages(spark, sf), relevant)
+    return navigate.top_urls(relevant, features).select(
         "site", "rank", "url", "score")
 
 

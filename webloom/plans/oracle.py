@@ -174,10 +174,10 @@ RESOLVED = """CASE i WHEN 0 THEN origin || ref WHEN 1 THEN origin || path || ref
     ELSE ref END"""
 
 
-def ranking(source: str) -> str:
-    """CTEs for the answer on the relevant URLs of a CTE (site, url)."""
+def ranking(source: str, ties: str = "") -> str:
+    """CTEs for the answer on the relevant URLs of a CTE (site, url); ``ties`` orders equal scores before the URL."""
     return f"""relevant AS (SELECT DISTINCT site, url, {SCORE} AS score FROM {source} WHERE {SCORE} > 0),
-    best AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY score DESC, url) AS rank FROM relevant
+    best AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY score DESC, {ties}url) AS rank FROM relevant
         QUALIFY rank <= 10),
     segments AS (SELECT site, regexp_extract(url, '^[a-z]+://[^/?#]+(/[^/?#]+)', 1) AS rule FROM relevant),
     rule_counts AS (SELECT site, rule, count(*) AS n_urls FROM segments WHERE rule <> '' GROUP BY site, rule
@@ -412,7 +412,10 @@ _RESULTS: dict[str, str] = {
     "explain_choice": f"""SELECT DISTINCT {HOST} AS site, url, {REASON} AS reason FROM pages WHERE {SCORE} > 0""",
     "nav_from_sitemap": f"WITH {SITEMAP_ROWS}, {ranking('located')} {ANSWER}",
     "nav_from_urls": f"WITH sites AS (SELECT {HOST} AS site, url FROM pages), {ranking('sites')} {ANSWER}",
-    "nav_from_pages": f"WITH {HREFS}, {ranking('page_urls')} {ANSWER}",
+    "nav_from_pages": f"""WITH {HREFS}, {TEXTS}, known AS (
+        SELECT url AS known_url, max(length(text) / length(html)::DOUBLE) AS density FROM pages JOIN texts USING (page_id)
+        GROUP BY url),
+        {ranking('page_urls', '(SELECT density FROM known WHERE known_url = url) DESC NULLS LAST, ')} {ANSWER}""",
     "filter_html": f"""WITH {PARTS} SELECT n AS page_id, '<nav class="menu"><a>Home</a></nav>' || chr(10)
         || '<form><input name="q"/></form>' || chr(10) || '<input name="q"/>' || chr(10)
         || '<main>' || string_agg({SMALL_CARD}, '' ORDER BY p_partkey) || '</main>' AS html, false AS truncated FROM parts GROUP BY n""",
