@@ -19,13 +19,12 @@ from pyspark.sql import functions as F
 
 from webloom.llm.common import shared_folder, shuffle_partitions, stored
 from webloom.llm.huffman import Decoder, canonical_codes, code_lengths, pack
-from webloom.llm.words import Memo, gather, split_words
-from webloom.operators.batches import pieces
+from webloom.llm.words import Memo, gather, large_slices, split_words
 
 END_ID = 1
 BLOCK_IDS = 1 << 19
 #: Words remembered by a worker: this many, and as many from before.
-MEMO_WORDS = 300_000
+MEMO_WORDS = 800_000
 _TOKENS = "doc_id long, n_tokens long, ids binary"
 _BLOCKS = "part int, block long, n_tokens long, doc_ids binary, doc_sizes binary, checkpoints binary, code binary"
 _DOCS = "part int, block long, doc_id long, before long, n_tokens long, ids_crc32 long"
@@ -36,6 +35,16 @@ def _id_type(vocabulary: int) -> str:
     return "<u2" if vocabulary <= 1 << 16 else "<u4"
 
 
+def _cut(word: str) -> tuple[str, str]:
+    """A word and its closing ASCII punctuation, which the tokenizer never joins to a letter before it. It also reads
+    capitals as small letters, so plain ASCII words are asked for once; special tokens are left as written. Letters
+    beyond Latin-1 may turn into letter and mark when normalised, so words that end in one are not cut."""
+    body = word.rstrip(".,;:!?)")
+    if not body or not body[-1].isalpha() or body[-1] > "\xff":
+        return word, ""
+    return (body.lower() if body.isascii() and "<" not in body else body), word[len(body):]
+
+
 class _WordEncoder:
     """Ids of words by the tokenizer. It drops white space, so a text's ids are those of its words in turn."""
 
@@ -46,19 +55,27 @@ class _WordEncoder:
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.memo = _memo.setdefault(path, Memo(MEMO_WORDS))
 
-    def ids_of(self, words: list[str]) -> list[np.ndarray]:
-        known = {w: self.memo[w] for w in words}
-        new = [w for w, ids in known.items() if ids is None]
+    def ids_of(self, words: list[str]) -> list[bytes]:
+        memo = self.memo
+        found = [memo[w] for w in words]
+        unknown = [i for i, ids in enumerate(found) if ids is None]
+        cuts = [_cut(words[i]) for i in unknown]
+        known = {part: memo[part] for cut in cuts for part in cut}
+        new = [part for part, ids in known.items() if ids is None]
         for at in range(0, len(new), 8192):
-            part = new[at:at + 8192]
-            coded = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
+            asked = new[at:at + 8192]
+            coded = self.tokenizer.encode(asked, is_pretokenized=True, add_special_tokens=False)
             owner = np.array([-1 if w is None else w for w in coded.word_ids], np.int64)
-            ids = np.array(coded.ids, np.uint32)
-            cuts = np.searchsorted(owner, np.arange(len(part) + 1))
-            for word, a, b in zip(part, cuts[:-1].tolist(), cuts[1:].tolist()):
-                known[word] = ids[a:b].tobytes()
-                self.memo.keep(word, known[word])
-        return [known[w] for w in words]
+            ids = np.array(coded.ids, np.uint32).tobytes()
+            ends = (4 * np.searchsorted(owner, np.arange(len(asked) + 1))).tolist()
+            for part, a, b in zip(asked, ends[:-1], ends[1:]):
+                known[part] = ids[a:b]
+                memo.keep(part, ids[a:b])
+        for i, (body, tail) in zip(unknown, cuts):
+            found[i] = known[body] + known[tail]
+            if body != words[i]:
+                memo.keep(words[i], found[i])
+        return found
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, where each text's end), ``end_id`` after each text."""
@@ -79,7 +96,7 @@ def token_ids(docs: DataFrame, tokenizer_path: str, id_column: str = "doc_id", t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _WordEncoder(tokenizer_path)
         kind = _id_type(encoder.vocabulary)
-        for batch in pieces(batches, 1):
+        for batch in large_slices(batches, 1):
             ids, ends = encoder.encode(batch.column(1), end_id)
             begins = np.concatenate([[0], ends[:-1]])
             small = ids.astype(kind)

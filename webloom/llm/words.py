@@ -2,11 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 
+def large_slices(batches: Iterator[pa.RecordBatch], text_column: int, limit: int = 12 << 20) -> Iterator[pa.RecordBatch]:
+    """Pieces of about ``limit`` bytes of text, or one row: the larger a piece, the fewer distinct words per text."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text_column)), 0).to_numpy(zero_copy_only=False))
+        start = 0
+        while start < batch.num_rows:
+            done = int(ends[start - 1]) if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, done + limit, "right")))
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
 def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """(distinct words, place of each word in them, first word of each text plus the end). Null counts as empty; words
     lie between white space 0x20 and 0x09 to 0x0D."""
