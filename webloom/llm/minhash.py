@@ -146,10 +146,10 @@ def _sets(docs: DataFrame, wanted: DataFrame, id_column: str, text_column: str,
             yield pa.RecordBatch.from_arrays(
                 [pa.array([c for c, _ in rows], pa.int64()),
                  pa.array([signer.signature(s).astype(np.uint8).tobytes() for _, s in rows], pa.binary()),
-                 pa.array([s.tobytes() for _, s in rows], pa.binary())], ["cls", "sig", "shingles"])
+                 pa.array([s.view(np.int64) for _, s in rows], pa.list_(pa.int64()))], ["cls", "sig", "shingles"])
 
     texts = _keyed(docs, id_column, text_column).select("row_key", "text").join(wanted, "row_key")
-    return texts.select("cls", "text").mapInArrow(run, "cls long, sig binary, shingles binary")
+    return texts.select("cls", "text").mapInArrow(run, "cls long, sig binary, shingles array<long>")
 
 
 #: Signature agreement under which a pair of large sets is not compared in full: more than five standard deviations
@@ -170,41 +170,44 @@ def _promising(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             agree = (left == right).mean(axis=1)
             small, large = np.minimum(size_a, size_b), np.maximum(size_a, size_b)
             keep = (100 * small >= percent * large) & (
-                (small < 8 * _LEAST_FOR_ESTIMATE) | (agree >= percent / 100 - _FAR))
+                (small < _LEAST_FOR_ESTIMATE) | (agree >= percent / 100 - _FAR))
             yield pa.RecordBatch.from_arrays([a.filter(pa.array(keep)), b.filter(pa.array(keep))], ["a", "b"])
 
-    left = sets.select(F.col("cls").alias("a"), F.col("sig").alias("sig_a"), F.length("shingles").cast("long").alias("n_a"))
-    right = sets.select(F.col("cls").alias("b"), F.col("sig").alias("sig_b"), F.length("shingles").cast("long").alias("n_b"))
+    left = sets.select(F.col("cls").alias("a"), F.col("sig").alias("sig_a"), F.size("shingles").cast("long").alias("n_a"))
+    right = sets.select(F.col("cls").alias("b"), F.col("sig").alias("sig_b"), F.size("shingles").cast("long").alias("n_b"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "sig_a", "sig_b", "n_a", "n_b") \
         .mapInArrow(run, "a long, b long")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose full sets are alike enough."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                left, right = np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)
-                both = np.sort(np.concatenate([left, right]))
-                shared = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * shared >= percent * (len(left) + len(right) - shared))
-            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep, pa.bool_())) for i in (0, 1)],
-                                             ["a", "b"])
-
+    """The pairs whose full sets are alike enough. Sets are compared row by row in the JVM, so what a task holds is two
+    sets and not a batch of them."""
     left = sets.select(F.col("cls").alias("a"), F.col("shingles").alias("set_a"))
     right = sets.select(F.col("cls").alias("b"), F.col("shingles").alias("set_b"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
+    shared = F.size(F.array_intersect("set_a", "set_b")).cast("long")
+    sized = pairs.join(left, "a").join(right, "b").select(
+        "a", "b", shared.alias("shared"), (F.size("set_a") + F.size("set_b")).cast("long").alias("both"))
+    return sized.filter(F.col("shared") * 100 >= percent * (F.col("both") - F.col("shared"))).select("a", "b")
+
+
+def _with_centre(members: DataFrame, rank) -> DataFrame:
+    """``members`` (band, cls, root, n) of the buckets that hold several components, with each bucket's centre ``c`` as
+    struct(rank, cls, root): the member of the highest rank."""
+    ranked = F.struct(rank.alias("rank"), F.col("cls"), F.col("root"))
+    centres = members.groupBy("band").agg(F.max(ranked).alias("c"), F.min("root").alias("low"),
+                                          F.max("root").alias("high")).filter("low <> high").select("band", "c")
+    return members.join(centres, "band")
+
+
+def _star(centred: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each member with the centre of its bucket, where their components differ."""
+    return centred.filter("root <> c.root").select(
+        F.least("cls", "c.cls").alias("a"), F.greatest("cls", "c.cls").alias("b")).distinct()
 
 
-def _star(members: DataFrame, rank) -> DataFrame:
-    """Pairs (a, b) of each member of a bucket with the bucket's centre, the member of the highest rank. Components
-    differ where ``members`` knows them."""
-    centre = members.groupBy("band").agg(F.max(F.struct(rank.alias("rank"), F.col("cls"), F.col("root"))).alias("c")) \
-        .select("band", F.col("c.cls").alias("centre"), F.col("c.root").alias("centre_root"))
-    return members.join(centre, "band").filter("root <> centre_root").select(
-        F.least("cls", "centre").alias("a"), F.greatest("cls", "centre").alias("b")).distinct()
+def _rest(centred: DataFrame) -> DataFrame:
+    """The buckets without their centres, which have met all other members, where two or more are left."""
+    return centred.filter("cls <> c.cls AND n > 2").select("band", "cls", (F.col("n") - 1).alias("n"))
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
@@ -216,8 +219,9 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     with nothing and kept. Rows that repeat an id and text share a class. An empty table gives an empty result.
 
     Candidates come from 32 bands of 4 rows: a pair at 0.8 misses all of them once in ten million. The first round
-    takes as centre of each bucket the class that lies in the largest buckets. Buckets whose members still belong to
-    several components are asked again with centres drawn by hash, until a round links nothing new.
+    takes as centre of each bucket the class that lies in the largest buckets. A centre has met all members and leaves.
+    Buckets whose other members still belong to several components are asked again with a centre drawn by hash, until
+    a round links nothing new.
     """
     sketch = stored(_sketched(docs, id_column, text_column, shingle_words))
     classes = stored(sketch.filter("cls IS NOT NULL").groupBy("cls").agg(
@@ -229,23 +233,21 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     wanted = classes.join(members.select("cls").distinct(), "cls", "left_semi").select("row_key", "cls")
     sets = stored(_sets(docs, wanted, id_column, text_column, shingle_words).dropDuplicates(["cls"]))
     standing = members.groupBy("cls").agg(F.sum("n").alias("standing"))
-    ranked = members.join(standing, "cls").withColumn("root", F.col("cls"))
-    pairs = stored(_promising(_star(ranked, F.col("standing")), sets, percent))
-    links = stored(_confirmed(pairs, sets, percent))
-    tested, seed = pairs, 0
+    centred = _with_centre(members.join(standing, "cls").withColumn("root", F.col("cls")), F.col("standing")).persist()
+    links = stored(_confirmed(_promising(_star(centred), sets, percent), sets, percent))
+    seed = 0
     while True:
-        roots = components(links)
-        known = members.select("band", "cls").join(roots, members["cls"] == roots["node"], "left").select(
-            "band", "cls", F.coalesce("root", "cls").alias("root"))
-        open_bands = known.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")) \
-            .filter("low <> high").select("band")
-        seed += 1
-        drawn = _star(known.join(open_bands, "band"), F.xxhash64("cls", "band", F.lit(seed)))
-        pairs = stored(_promising(drawn.join(tested, ["a", "b"], "left_anti"), sets, percent))
-        new = stored(_confirmed(pairs, sets, percent))
+        members = stored(_rest(centred))
+        centred.unpersist()
+        roots, seed = components(links), seed + 1
+        known = members.join(roots, members["cls"] == roots["node"], "left").select(
+            "band", "cls", "n", F.coalesce("root", "cls").alias("root"))
+        centred = _with_centre(known, F.xxhash64("cls", "band", F.lit(seed))).persist()
+        new = stored(_confirmed(_promising(_star(centred), sets, percent), sets, percent))
         if new.isEmpty():
+            centred.unpersist()
             break
-        links, tested = links.union(new), tested.union(pairs)
+        links = links.union(new)
     labelled = classes.select("cls", "least_id").join(roots, classes["cls"] == roots["node"], "left").select(
         "cls", "least_id", F.coalesce("root", "cls").alias("root"))
     least = labelled.groupBy("root").agg(F.min("least_id").alias("component_id"))
