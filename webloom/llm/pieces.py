@@ -9,6 +9,7 @@ its occurrences. Draws are hashes of the row key, the stretch and the step, so t
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections.abc import Iterator
@@ -20,18 +21,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webloom.llm.hashing import U64, mixed, prefix_hashes, span_hashes
-from webloom.llm.words import Memo, gather, indexed
-from webloom.operators.batches import pieces as slices
+from webloom.llm.words import Memo, gather, indexed, large_slices
 
 #: Exponent of the piece weights: 0 draws all paths alike, larger values prefer frequent pieces.
 SHARPNESS = 0.5
 #: Longer stretches are walked one by one and not remembered.
 LONG = 48
-MEMO_UNITS = 120_000
+MEMO_UNITS = 80_000
 _STRETCH = re.compile(r" *[^ \n]+|\n| +")
 _MARK = "\x1f"
 _PER_CHAR = 8.0
 BUILT_AT_ONCE = 16_384
+SLICE_BYTES = 4 << 20
 _models: dict[tuple[str, float], "Lattice"] = {}
 
 
@@ -41,6 +42,15 @@ def _draws(row_keys: np.ndarray, stretch: np.ndarray, step: np.ndarray) -> np.nd
     return (mixed(seed + (step.astype(U64) + U64(1)) * U64(0xD1B54A32D192ED03)) >> U64(11)) * 2.0 ** -53
 
 
+def _chosen(edge: np.ndarray, shares: np.ndarray, draws: np.ndarray) -> np.ndarray:
+    """The first edge from ``edge`` on whose running share is above the draw; the last share of a place is 1."""
+    rest = np.arange(len(edge))
+    while len(rest):
+        rest = rest[shares[edge[rest]] <= draws[rest]]
+        edge[rest] += 1
+    return edge
+
+
 class Lattice:
     """The pieces of a model and the remembered lattices of stretches."""
 
@@ -209,7 +219,7 @@ class Lattice:
         shares = np.frombuffer(b"".join(b[1] for b in built))
         starts = np.frombuffer(b"".join(b[2] for b in built), np.int32)
         codes = np.frombuffer(b"".join(b[3] for b in built), np.int32)
-        searched = shares + np.repeat(np.arange(len(counts)), counts)
+        edge_base = np.cumsum(counts) - counts
         # All occurrences step back together.
         taken_by, taken, taken_step = [], [], []
         n_steps = np.zeros(len(places), np.int64)
@@ -218,7 +228,7 @@ class Lattice:
         step = 0
         while len(active):
             node = base + at - 1
-            edge = np.searchsorted(searched, node + _draws(row_keys[rows[active]], inside[active], np.full(1, step)), "right")
+            edge = _chosen(edge_base[node], shares, _draws(row_keys[rows[active]], inside[active], np.full(1, step)))
             taken_by.append(active)
             taken.append(codes[edge])
             taken_step.append(np.full(len(active), step))
@@ -286,7 +296,7 @@ def encode(docs: DataFrame, model_path: str, id_column: str = "doc_id", text_col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(model_path, sharpness)
-        for batch in slices(batches, 3):
+        for batch in large_slices(batches, 3, SLICE_BYTES):
             ids, ends = model.sample(batch.column(3), batch.column(1).to_numpy())
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), lists],
@@ -315,11 +325,28 @@ def decode(encoded: DataFrame, model_path: str, sharpness: float = SHARPNESS) ->
         run, f"doc_id {kind}, text_sha256 string, pieces array<int>, text string")
 
 
-def round_trip(docs: DataFrame, model_path: str, **options) -> DataFrame:
-    """(doc_id, n_pieces, pieces_sha256, decoded_sha256, lossless): the sampled pieces of each document and whether
-    they give its text back."""
-    decoded = F.sha2(F.col("text"), 256)
-    listed = F.array_join(F.transform("pieces", lambda p: p.cast("string")), ",")
-    return decode(encode(docs, model_path, **options), model_path).select(
-        "doc_id", F.size("pieces").cast("long").alias("n_pieces"), F.sha2(listed, 256).alias("pieces_sha256"),
-        decoded.alias("decoded_sha256"), (decoded == F.col("text_sha256")).alias("lossless"))
+def round_trip(docs: DataFrame, model_path: str, id_column: str = "doc_id", text_column: str = "text",
+               sharpness: float = SHARPNESS) -> DataFrame:
+    """(doc_id, n_pieces, pieces_sha256, decoded_sha256, lossless): the sampled pieces of each document, as ``encode``
+    gives them, and whether they give its text back. Pieces stay in the task that decodes them; their digest runs over
+    little-endian 32-bit integers."""
+    kind = dict(docs.dtypes)[id_column]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = _model(model_path, sharpness)
+        for batch in large_slices(batches, 2, SLICE_BYTES):
+            ids, ends = model.sample(batch.column(2), batch.column(1).to_numpy())
+            offsets = np.concatenate([[0], ends])
+            texts = model.decode(ids, offsets)
+            raw = memoryview(ids.astype("<i4").tobytes())
+            spans = list(zip(offsets[:-1].tolist(), offsets[1:].tolist()))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(np.diff(offsets)),
+                 pa.array([hashlib.sha256(raw[4 * a:4 * b]).hexdigest() for a, b in spans]),
+                 pa.array([hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in texts]),
+                 pa.array([x == y for x, y in zip(texts, batch.column(2).to_pylist())], pa.bool_())],
+                ["doc_id", "n_pieces", "pieces_sha256", "decoded_sha256", "lossless"])
+
+    text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
+    return docs.select(F.col(id_column).alias("doc_id"), F.xxhash64(id_column).alias("key"), text.alias("text")).mapInArrow(
+        run, f"doc_id {kind}, n_pieces long, pieces_sha256 string, decoded_sha256 string, lossless boolean")
