@@ -64,6 +64,42 @@ def test_near_duplicates_against_all_pairs(spark):
         assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
 
+def pairs_in_a_family(n_pairs, n_words=800, own=21, of_pair=2):
+    """Form letters: two texts are alike by 0.793, just below the threshold, and the two of a pair by 0.809."""
+    template = [f"t{i}" for i in range(n_words)]
+    places = [17 + 33 * i for i in range(own + of_pair)]
+    rows = []
+    for pair in range(n_pairs):
+        for one in range(2):
+            words = list(template)
+            for i, place in enumerate(places):
+                words[place] = f"p{pair}x{i}" if i < of_pair else f"p{pair}o{one}x{i}"
+            rows.append((2 * pair + one, " ".join(words)))
+    return rows
+
+
+def test_pairs_in_a_family_just_below_the_threshold(spark):
+    rows = pairs_in_a_family(150)
+    want = {d: d - d % 2 for d, _ in rows}
+    assert {d: c for d, (_, c) in brute_components(rows[:40], 4, 80).items()} == {d: want[d] for d, _ in rows[:40]}
+    got = minhash.near_duplicates(documents(spark, [(d, t, "en", "a") for d, t in rows]), shingle_words=4).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == want
+
+
+def test_exact_join_of_open_buckets_alone(spark, monkeypatch):
+    """Every pair of different components at the threshold, also where shingles are dealt in many blocks."""
+    monkeypatch.setattr(minhash, "BLOCK", 3)
+    texts = dict(families(12, 10, 9) + [(d + 1000, t) for d, t in pairs_in_a_family(10)])
+    known = {d: shingles(t, 4) for d, t in texts.items()}
+    hashed = dict(zip(texts, minhash.shingle_sets(pa.array(list(texts.values())), 4)))
+    root = {d: d - d % 9 if d < 45 and d % 9 < 5 else d for d in texts}
+    sets = spark.createDataFrame([(d, h.view(np.int64).tolist()) for d, h in hashed.items() if len(h)], "cls long, shingles array<long>")
+    got = {(r["a"], r["b"]) for r in minhash._prefix_pairs(spark.createDataFrame(list(root.items()), "cls long, root long"), sets, 80).collect()}
+    want = {(a, b) for a in texts for b in texts if a < b and root[a] != root[b]
+            and known[a] and 100 * len(known[a] & known[b]) >= 80 * len(known[a] | known[b])}
+    assert want and want <= got and all(root[a] != root[b] for a, b in got)
+
+
 def test_chain_of_near_duplicates(spark):
     """Neighbours are alike, ends are not."""
     words = [f"w{i}" for i in range(200)]

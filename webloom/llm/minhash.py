@@ -4,7 +4,8 @@ A document's shingles are hashed once; the hash range is cut into bins and the l
 with empty bins filled from others in an order that hashing gives (optimal densification). Rows of the signature form
 bands. Documents with the same set are one class; classes that share a band are linked as a star to a centre, so a
 bucket gives as many pairs as it has members. Every pair is confirmed on the full sets. Buckets that still hold several
-components are asked again with other centres, until the buckets say nothing new.
+components are asked again with other centres a few times. The classes of those that stay open meet in an exact join on
+their rarest shingles, so no pair of a bucket is left untried.
 """
 
 from __future__ import annotations
@@ -210,6 +211,100 @@ def _rest(centred: DataFrame) -> DataFrame:
     return centred.filter("cls <> c.cls AND n > 2").select("band", "cls", (F.col("n") - 1).alias("n"))
 
 
+#: Rounds of stars after the first. They only save rows of the exact join that follows.
+STAR_ROUNDS = 3
+#: Postings of a shingle that meet in one task, on either side.
+BLOCK = 512
+_COUNTERS = 1 << 20
+
+
+def _rooted(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """``members`` (band, cls, n) with the component of each class."""
+    return members.join(roots, members["cls"] == roots["node"], "left").select(
+        "band", "cls", "n", F.coalesce("root", "cls").alias("root"))
+
+
+def _open(members: DataFrame) -> DataFrame:
+    """(cls, root) of the classes in buckets that hold several components."""
+    several = members.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")) \
+        .filter("low <> high").select("band")
+    return members.join(several, "band", "left_semi").select("cls", "root").distinct()
+
+
+def _shingle_counts(sets: DataFrame) -> np.ndarray:
+    """In how many sets shingles lie, by hash: shingles of one counter share a count."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(_COUNTERS, np.int64)
+        for batch in batches:
+            tokens = batch.column(0).flatten().to_numpy()
+            counts += np.bincount(tokens & (_COUNTERS - 1), minlength=_COUNTERS)
+        used = np.flatnonzero(counts)
+        for at in range(0, len(used), 1 << 16):
+            some = used[at:at + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], ["counter", "n"])
+
+    found = sets.select("shingles").mapInArrow(run, "counter long, n long").groupBy("counter").agg(
+        F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(_COUNTERS, np.int64)
+    counts[found["counter"].to_numpy()] = found["n"].to_numpy()
+    return counts
+
+
+def _postings(sets: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
+    """(token, cls, root, n, pos) of the rarest shingles of each set. Two sets at the threshold share one of them: fewer
+    than all but ``percent`` of a set can be missing in the other."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(2)
+            values, ends = lists.flatten().to_numpy(), np.cumsum(pc.list_value_length(lists).to_numpy())
+            for cls, root, tokens in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(),
+                                         np.split(values, ends[:-1])):
+                n = len(tokens)
+                first = np.lexsort((tokens, counts[tokens & (_COUNTERS - 1)]))[:n + percent * -n // 100 + 1]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(tokens[first]), *(pa.array(np.full(len(first), x)) for x in (cls, root, n)),
+                     pa.array(np.arange(len(first)))], ["token", "cls", "root", "n", "pos"])
+
+    return sets.select("cls", "root", "shingles").mapInArrow(run, "token long, cls long, root long, n long, pos long")
+
+
+def _prefix_pairs(classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of ``classes`` (cls, root) that hold every pair at the threshold whose components differ.
+
+    Shingles stand in one order, rare ones first. A shared shingle counts only where what follows it in both sets still
+    reaches the threshold, as it does for the first one that such a pair shares. Each component but the largest of a
+    shingle meets all others, dealt in blocks of both sides.
+    """
+    held = stored(sets.join(classes, "cls").select("cls", "root", "shingles"))
+    postings = stored(_postings(held, _shingle_counts(held), percent))
+    shared = postings.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")) \
+        .filter("low <> high").select("token")
+    postings = stored(postings.join(shared, "token"))
+    tops = postings.groupBy("token", "root").agg(F.count("*").alias("c")).groupBy("token").agg(
+        F.max_by("root", F.struct("c", "root")).alias("top"), F.ceil(F.sum("c") / BLOCK).alias("n_right"),
+        F.ceil((F.sum("c") - F.max("c")) / BLOCK).alias("n_left"))
+    dealt = postings.join(tops, "token")
+
+    def blocks(n: str):
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+
+    def side(rows: DataFrame, name: str) -> DataFrame:
+        return rows.select("token", "p", "q", *[F.col(c).alias(f"{c}_{name}") for c in ("cls", "root", "n", "pos")],
+                           *["top"] * (name == "l"))
+
+    left = side(dealt.filter("root <> top").withColumn("p", F.pmod(F.xxhash64("cls"), "n_left"))
+                .withColumn("q", blocks("n_right")), "l")
+    right = side(dealt.withColumn("q", F.pmod(F.xxhash64("cls", F.lit(1)), "n_right"))
+                 .withColumn("p", blocks("n_left")), "r")
+    near = F.expr(f"root_l <> root_r AND (root_r = top OR cls_l < cls_r) AND "
+                  f"least(n_l - pos_l, n_r - pos_r) * {100 + percent} >= {percent} * (n_l + n_r)")
+    same = [left[c] == right[c] for c in ("token", "p", "q")]
+    return left.join(right, same[0] & same[1] & same[2] & near).select(
+        F.least("cls_l", "cls_r").alias("a"), F.greatest("cls_l", "cls_r").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
                     shingle_words: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
     """One row per row of ``docs``: (doc_id, n_shingles, component_id, kept).
@@ -220,8 +315,9 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
     Candidates come from 32 bands of 4 rows: a pair at 0.8 misses all of them once in ten million. The first round
     takes as centre of each bucket the class that lies in the largest buckets. A centre has met all members and leaves.
-    Buckets whose other members still belong to several components are asked again with a centre drawn by hash, until
-    a round links nothing new.
+    Buckets whose other members still belong to several components are asked again with a centre drawn by hash, up to
+    ``STAR_ROUNDS`` times or until a round links nothing new. The classes of buckets that are still open are joined by
+    their rarest shingles, which finds all their pairs at the threshold.
     """
     sketch = stored(_sketched(docs, id_column, text_column, shingle_words))
     classes = stored(sketch.filter("cls IS NOT NULL").groupBy("cls").agg(
@@ -235,19 +331,21 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     standing = members.groupBy("cls").agg(F.sum("n").alias("standing"))
     centred = _with_centre(members.join(standing, "cls").withColumn("root", F.col("cls")), F.col("standing")).persist()
     links = stored(_confirmed(_promising(_star(centred), sets, percent), sets, percent))
-    seed = 0
-    while True:
+    roots = components(links)
+    for seed in range(1, STAR_ROUNDS + 1):
         members = stored(_rest(centred))
         centred.unpersist()
-        roots, seed = components(links), seed + 1
-        known = members.join(roots, members["cls"] == roots["node"], "left").select(
-            "band", "cls", "n", F.coalesce("root", "cls").alias("root"))
-        centred = _with_centre(known, F.xxhash64("cls", "band", F.lit(seed))).persist()
+        centred = _with_centre(_rooted(members, roots), F.xxhash64("cls", "band", F.lit(seed))).persist()
         new = stored(_confirmed(_promising(_star(centred), sets, percent), sets, percent))
         if new.isEmpty():
-            centred.unpersist()
             break
         links = links.union(new)
+        roots = components(links)
+    left_open = stored(_open(_rooted(_rest(centred), roots)))
+    centred.unpersist()
+    if not left_open.isEmpty():
+        new = stored(_confirmed(_prefix_pairs(left_open, sets, percent), sets, percent))
+        roots = components(links.union(new))
     labelled = classes.select("cls", "least_id").join(roots, classes["cls"] == roots["node"], "left").select(
         "cls", "least_id", F.coalesce("root", "cls").alias("root"))
     least = labelled.groupBy("root").agg(F.min("least_id").alias("component_id"))
