@@ -228,6 +228,18 @@ def test_repeats_against_plain_version(spark):
     assert all(not got[i]["removed"] for i in range(60) if i % 3) and got[70]["text"].strip() == ""
 
 
+def test_repeated_lines_and_paragraphs_of_few_words(spark):
+    rows = [(1, "Home About\nOne text. Read more.\n\nAll rights\nreserved here.", "en", "a"),
+            (2, "  home  about \nAnother text. Read more.\nRead more.\n\nAll rights reserved\nhere.", "en", "a"),
+            (3, "New words. Home About\nRead more.\n\nHome About\nnew words again\nHome About", "en", "a")]
+    got = {r["doc_id"]: r for r in repeats.drop_repeats(documents(spark, rows)).collect()}
+    assert got[1]["text"] == rows[0][1] and got[1]["removed"] == ""
+    # The first whole line "Read more." stays: those before it stood inside lines.
+    assert got[2]["text"] == "   \nAnother text. Read more.\nRead more.\n\n"
+    assert got[3]["text"] == "New words. Home About\n\nnew words again\n"
+    assert all(r["n_removed_chars"] == len(rows[d - 1][1]) - len(r["text"]) for d, r in got.items())
+
+
 def test_repeats_awkward_rows(spark):
     got = repeats.drop_repeats(documents(spark)).collect()
     assert Counter(str(r["doc_id"]) for r in got) == Counter(str(d) for d, *_ in ROWS)
