@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from webloom.llm import exact_dedup, langid, minhash, mixing, pieces
 from webloom.llm.common import stored
@@ -30,8 +31,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, text_sha256, pieces): a sampled segmentation of each document."""
-    return pieces.encode(docs, f"{TOKENIZERS}/piece_bpe_32k.model")
+    """(doc_id, text_sha256, pieces, lossless): a sampled segmentation of each document, and whether its pieces decode to
+    the text."""
+    model = f"{TOKENIZERS}/piece_bpe_32k.model"
+    decoded = pieces.decode(pieces.encode(docs, model), model)
+    return decoded.withColumn("lossless", F.sha2("text", 256) == F.col("text_sha256")).drop("text")
 
 
 STAGES = [
@@ -39,7 +43,7 @@ STAGES = [
     ("exact dedup", drop_exact_copies),
     ("MinHash near-dedup", drop_near_copies),
     ("mixing sources to target weights", mix_sources),
-    ("SentencePiece encoding", encode_pieces),
+    ("SentencePiece encoding and decoding", encode_pieces),
 ]
 
 # Classifiers, MinHash and sampled segmentations are beyond SQL; the tests hold the stages against plain versions.

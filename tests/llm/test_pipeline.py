@@ -32,6 +32,11 @@ def test_stages_on_awkward_rows(spark, tmp_path):
     assert sorted(map(str, whole.collect())) == sorted(map(str, docs.collect()))
 
 
+def test_last_stage_decodes(spark, tmp_path):
+    got = corpus_pipeline.STAGES[-1][1](spark, documents(spark), str(tmp_path)).collect()
+    assert len(got) == len(ROWS) and all(r["lossless"] for r in got)
+
+
 def test_stages_on_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], LABELS).write.parquet(f"{tmp_path}/labels.parquet")
     empty(spark).write.parquet(f"{tmp_path}/documents.parquet")
