@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm import chat_format, exact_dedup, fingerprints, langid, minhash, mixing, pieces, repeats, secret_scan, token_files
+from webloom.llm import (chat_format, exact_dedup, filter_audit, fingerprints, langid, line_dedup, minhash, mixing, pieces,
+                         prefix_trie, repeats, secret_scan, token_files)
 
 TOKENIZERS = "/opt/tokenizers"
 Query = Callable[[SparkSession, str], DataFrame]
@@ -182,3 +183,65 @@ def op2_language_id(spark, sf_dir):
 @query
 def op6_substring_dedup(spark, sf_dir):
     return repeats.drop_repeats(documents(spark, sf_dir))
+
+
+@query
+def op11_filter_audit(spark, sf_dir):
+    return filter_audit.audit(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
+ORACLE["op11_filter_audit"] = r"""
+    WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+                      regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+    f AS (
+        SELECT part, doc_id,
+               (CASE WHEN len(ws) < 200 THEN 1 ELSE 0 END)
+               + (CASE WHEN 100 * len(list_distinct(ws)) < 50 * len(ws) THEN 2 ELSE 0 END)
+               + (CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) THEN 4 ELSE 0 END)
+               + (CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END)
+               + (CASE WHEN coalesce(doc_id > min(doc_id) OVER (PARTITION BY t),
+                                     min(doc_id) OVER (PARTITION BY t) IS NOT NULL) THEN 16 ELSE 0 END) AS fails
+        FROM d),
+    lab AS (SELECT doc_id AS label_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good,
+                   max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+    fl AS (SELECT part, fails, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic
+           FROM f LEFT JOIN lab ON f.doc_id = lab.label_id),
+    letters AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) v(l, b)),
+    orders AS (SELECT a.l || b.l || c.l || d.l || e.l AS filter_order, [a.b, b.b, c.b, d.b, e.b] AS bits
+               FROM letters a, letters b, letters c, letters d, letters e WHERE a.b + b.b + c.b + d.b + e.b = 31),
+    steps AS (SELECT filter_order, s AS step, substr(filter_order, s, 1) AS filter, bits[s] AS bit,
+                     coalesce(list_sum(bits[1:s - 1]), 0) AS before FROM orders, range(1, 6) r(s))
+    SELECT part, filter_order, step::INT AS step, filter,
+           sum(CASE WHEN fails & (bit | before) = 0 THEN 1 ELSE 0 END)::BIGINT AS kept,
+           sum(CASE WHEN fails & bit <> 0 AND fails & before = 0 THEN 1 ELSE 0 END)::BIGINT AS removed,
+           sum(CASE WHEN fails & bit <> 0 AND fails & before <> 0 THEN 1 ELSE 0 END)::BIGINT AS redundant,
+           sum(CASE WHEN fails = bit THEN 1 ELSE 0 END)::BIGINT AS unique_fails,
+           sum(CASE WHEN fails & bit <> 0 AND fails & before = 0 THEN good ELSE 0 END)::BIGINT AS good_lost,
+           sum(CASE WHEN fails & bit <> 0 AND fails & before = 0 THEN toxic ELSE 0 END)::BIGINT AS toxic_lost,
+           sum(CASE WHEN fails & bit <> 0 THEN 120 // bit_count(fails) ELSE 0 END)::BIGINT AS shapley
+    FROM fl, steps GROUP BY part, filter_order, step, filter
+"""
+
+
+@query
+def op12_line_dedup(spark, sf_dir):
+    return line_dedup.line_dedup(documents(spark, sf_dir)).select(
+        F.col("row.doc_id").alias("doc_id"), "n_lines", "n_dropped", "kept_sha256")
+
+
+ORACLE["op12_line_dedup"] = r"""
+    WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+    l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM d),
+    k AS (SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
+                              'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+    r AS (SELECT key AS r_key FROM k WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10)
+    SELECT doc_id, count(*)::BIGINT AS n_lines, count(r_key)::BIGINT AS n_dropped,
+           sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE r_key IS NULL), '')) AS kept_sha256
+    FROM k LEFT JOIN r ON key = r_key GROUP BY doc_id
+"""
+
+
+@query
+def op13_prefix_trie(spark, sf_dir):
+    conversations = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return prefix_trie.prefix_trie(conversations).drop("key")
