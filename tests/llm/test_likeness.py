@@ -122,6 +122,22 @@ def test_near_duplicates_awkward_rows(spark):
     assert minhash.near_duplicates(empty(spark)).count() == 0
 
 
+def test_drop_near_duplicates_by_row(spark):
+    """Two texts under one id are judged apart; a group of null-id near copies keeps one row."""
+    words = [f"w{i}" for i in range(300)]
+    base = " ".join(words[:200])
+    near = " ".join(words[:199] + ["changed"])
+    other = " ".join(words[100:300][::-1])
+    alone_a = " ".join(f"z{i}" for i in range(200))
+    alone_b = " ".join([f"z{i}" for i in range(199)] + ["edited"])
+    rows = [(1, base), (2, near), (2, other), (None, near + " x"), (None, near + " y"), (None, alone_a), (None, alone_b)]
+    docs = documents(spark, [(d, t, "en", "a") for d, t in rows])
+    stays = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"]) for r in minhash.drop_near_duplicates(docs, shingle_words=5).collect())
+    kept_null = [t for no_id, _, t in stays if no_id]
+    assert [(i, t) for no_id, i, t in stays if not no_id] == [(1, base), (2, other)]
+    assert len(kept_null) == 1 and kept_null[0] in (alone_a, alone_b)
+
+
 def test_signatures_estimate_similarity():
     signer, rng = minhash.Signer(), np.random.default_rng(5)
     gaps = []

@@ -349,16 +349,27 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     labelled = classes.select("cls", "least_id").join(roots, classes["cls"] == roots["node"], "left").select(
         "cls", "least_id", F.coalesce("root", "cls").alias("root"))
     least = labelled.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    names = labelled.join(least, "root").select("cls", "component_id")
-    found = sketch.select("doc_id", "n_shingles", "cls").join(names, "cls", "left")
+    names = labelled.join(least, "root").select("cls", "component_id", "root")
+    found = sketch.select("row_key", "doc_id", "n_shingles", "cls").join(names, "cls", "left")
     component = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return found.select("doc_id", "n_shingles", component.alias("component_id"),
-                        F.col("doc_id").eqNullSafe(component).alias("kept"))
+                        F.col("doc_id").eqNullSafe(component).alias("kept"), "row_key", "root")
 
 
 def drop_near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
                          shingle_words: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` whose document stays, with all their columns."""
+    """The rows of ``docs`` whose document stays, with all their columns.
+
+    Decided by row, not by id: of each group of linked texts the row with the smallest id stays (null ids last, then the
+    smaller row key), so two texts under one id are judged apart and a group of null-id rows keeps one. Rows that repeat
+    both id and text are one document and stay or go together. Null, empty and wordless texts link with nothing and
+    stay. An empty table gives an empty table; other columns, whatever their names, come back unchanged.
+    """
     found = near_duplicates(docs, id_column, text_column, shingle_words, percent)
-    dropped = found.filter("NOT kept").select(F.col("doc_id").alias("dropped_id")).distinct()
-    return docs.join(dropped, docs[id_column] == dropped["dropped_id"], "left_anti")
+    # The best row of a group by an aggregate that combines before it moves: a group of a third of all rows is no task's load.
+    best = found.filter(F.col("root").isNotNull()).groupBy("root").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), "row_key"))["row_key"].alias("kept_key"))
+    alone = found.filter(F.col("root").isNull()).select(F.col("row_key").alias("kept_key"))
+    keep = best.select("kept_key").unionByName(alone)
+    keyed = docs.withColumn("__row_key", F.xxhash64(F.col(id_column), F.col(text_column).cast("string")))
+    return keyed.join(keep, keyed["__row_key"] == keep["kept_key"], "left_semi").drop("__row_key")

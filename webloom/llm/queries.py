@@ -163,7 +163,8 @@ def op5_chat_format(spark, sf_dir):
 
 @query
 def op8_minhash(spark, sf_dir):
-    return minhash.near_duplicates(documents(spark, sf_dir), shingle_words=4)
+    return minhash.near_duplicates(documents(spark, sf_dir), shingle_words=4).select(
+        "doc_id", "n_shingles", "component_id", "kept")
 
 
 @query
