@@ -6,6 +6,7 @@ test is an interval test. Everything stays inside the row.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 
 from webloom.functions.sql import any_of, bind, strip, text, texts
@@ -223,30 +224,100 @@ REMOVAL_GROUPS = (
 )
 
 
-def removal_candidates(nodes: str, keywords: str) -> str:
-    """Intervals that may be removed, in removal order; elements whose text holds a keyword are left out."""
-    guarded = contains_any_of(text_of(subtree(nodes, "c")), keywords)
-    lists = ", ".join(f"filter(some, c -> {p('c')})" for group in REMOVAL_GROUPS for p in group)
-    some = f"filter({nodes}, n -> n.kind = 'element' AND (size(n.attrs) > 0 OR n.tag IN ({texts(REMOVAL_TAGS)})))"
-    return (f"transform(filter({bind(some, 'some', f'concat({lists})')}, c -> NOT {guarded}), c -> named_struct("
-            f"'id', c.id, 'last_id', c.last_id, 'chars', {rendered_length(subtree(nodes, 'c'))}))")
+def scan(values: str, combine: Callable[[str, str], str]) -> str:
+    """Inclusive prefix scan of an array (sums, maxima) by doubling: ceil(log2(size)) passes of one ``transform``
+    each, so n values cost n log n steps and no array is copied per element."""
+    steps = ("if(size(xs) > 1, sequence(0, cast(ceil(log2(size(xs))) AS int) - 1), cast(array() AS array<int>))")
+    body = (f"aggregate({steps}, xs, (acc, k) -> transform(acc, (v, i) -> "
+            f"if(i >= shiftleft(1, k), {combine('v', 'acc[i - shiftleft(1, k)]')}, v)))")
+    return bind(values, "xs", body)
+
+
+def _readable(n: str) -> str:
+    return f"({n}.kind IN ('text', 'cdata') AND coalesce({n}.tag NOT IN ({texts(RAW_TEXT_TAGS)}), true))"
 
 
-def budget_removal(nodes: str, keywords: str, max_tokens: int, chars: str | None = None) -> str:
-    """Nodes after removing candidates one by one until the page fits its token budget. ``chars`` is the rendered
-    length of the nodes where it is known.
+def _let(body: str, prefix: str) -> str:
+    """``body`` with each ``@name`` bound once to column ``prefix + name``. Spark may fold a step's column into the next
+    step; a reference inside a lambda would then be computed for every element, so each is bound first."""
+    names = sorted(set(re.findall(r"@(\w+)", body)))
+    body = re.sub(r"@(\w+)", r"v_\1", body)
+    for name in names:
+        body = bind(f"{prefix}{name}", f"v_{name}", body)
+    return body
 
-    What an earlier removal took is not counted again when an element around it goes.
+
+def budget_steps(nodes: str, keywords: str, max_tokens: int, chars: str | None = None,
+                 prefix: str = "_budget_") -> list[tuple[str, str]]:
+    """Nodes after removing candidates one by one until the page fits its token budget, as (column, expression)
+    steps; the last step's column holds the nodes. ``chars`` is the rendered length of the nodes where it is known.
+
+    What an earlier removal took is not counted again when an element around it goes. Removing the first k candidates
+    removes every node whose first covering candidate is among them, so the chars freed by k are a prefix sum over the
+    nodes ordered by that candidate, and the first k that fits is one pass over it. A candidate whose text holds a
+    keyword is left out; a keyword that spans two text nodes of it counts. Every step is a sort, a scan by doubling or a
+    pass of lookups, so a page of n nodes costs n log n, however many candidates nest. Steps are columns, so each
+    expression stays shallow.
     """
-    gone_type = "array<struct<id:int,last_id:int,chars:bigint>>"
-    start = f"named_struct('chars', whole, 'gone', cast(array() AS {gone_type}))"
-    freed = (f"(c.chars - aggregate(filter(s.gone, g -> {inside('g', 'c')}), 0L, (total, g) -> total + g.chars))")
-    taken = f"named_struct('id', c.id, 'last_id', c.last_id, 'chars', {freed})"
-    step = f"""CASE WHEN ceil(s.chars / {CHARS_PER_TOKEN}) <= {max_tokens}
-            OR exists(s.gone, g -> {inside('c', 'g')}) THEN s
-        ELSE named_struct('chars', s.chars - {freed}, 'gone', array_append(s.gone, {taken})) END"""
-    gone = f"""aggregate({removal_candidates(nodes, keywords)}, {start}, (s, c) -> {step},
-        s -> sort_array(transform(s.gone, g -> named_struct('id', g.id, 'last_id', g.last_id))))"""
-    removed = bind(gone, "removals", drop_subtrees(nodes, "removals"))
-    return bind(chars or rendered_length(nodes), "whole",
-                f"if(ceil(whole / {CHARS_PER_TOKEN}) > {max_tokens}, {removed}, {nodes})")
+    def plus(a: str, b: str) -> str:
+        return f"{a} + {b}"
+
+    readable_low = f"transform({nodes}, n -> if({_readable('n')}, lower(n.text), ''))"
+    words = f"array_sort(filter({keywords}, w -> w <> ''), (a, b) -> length(a) - length(b))"
+    pattern = "concat('(?=(', array_join(transform(@words, w -> concat('\\\\Q', w, '\\\\E')), '|'), '))')"
+    text_lengths = "transform(@low, t -> cast(length(t) AS bigint))"
+    piece_lengths = "transform(split(@page, @re, -1), p -> cast(length(p) AS bigint))"
+    starts = "transform(@caps, (w, k) -> if(size(@cuts) = size(@caps), if(k = 0, 0L, @cuts[k - 1]), @cuts[k]))"
+    occurrences = "transform(@caps, (w, k) -> named_struct('at', @starts[k] + length(w), 'kind', 0, 'p', @starts[k]))"
+    bounds = "transform(@offsets, (o, j) -> named_struct('at', o, 'kind', 1, 'p', cast(j AS bigint)))"
+    running = scan("transform(@merged, e -> if(e.kind = 0, e.p, -1L))", lambda a, b: f"greatest({a}, {b})")
+    guard = "filter(transform(@merged, (e, i) -> if(e.kind = 1, best[i], NULL)), g -> g IS NOT NULL)"
+    lists = ", ".join(f"filter(some, c -> {p('c')})" for group in REMOVAL_GROUPS for p in group)
+    some = f"filter({nodes}, n -> n.kind = 'element' AND (size(n.attrs) > 0 OR n.tag IN ({texts(REMOVAL_TAGS)})))"
+    ordered = (f"transform({bind(some, 'some', f'concat({lists})')}, (c, i) -> "
+               "named_struct('id', c.id, 'last_id', c.last_id, 'idx', i))")
+    allowed = "filter(@cands, c -> NOT (@guard[c.last_id + 1] >= @offsets[c.id]))"
+    entries = ("array_sort(concat(transform(@allowed, c -> named_struct('id', c.id, 'kind', 0, 'idx', c.idx)), "
+               f"transform({nodes}, n -> named_struct('id', n.id, 'kind', 1, 'idx', -1))))")
+    places = "filter(transform(@entries, (e, i) -> if(e.kind = 1, i, -1)), i -> i >= 0)"
+    own = ("transform(@places, (p, x) -> if(p - if(x = 0, -1, @places[x - 1]) > 1, "
+           "@entries[if(x = 0, -1, @places[x - 1]) + 1].idx, NULL))")
+    start = f"transform({nodes}, (n, x) -> named_struct('t', @own[x], 'up', coalesce(n.parent_id, -1)))"
+    passes = f"sequence(0, cast(ceil(log2(greatest(2, array_max(transform({nodes}, n -> n.depth)) + 2))) AS int))"
+    firsts = (f"transform(aggregate({passes}, {start}, (acc, k) -> transform(acc, e -> named_struct("
+              "'t', least(e.t, if(e.up >= 0, acc[e.up].t, NULL)), 'up', if(e.up >= 0, acc[e.up].up, -1)))), e -> e.t)")
+    lens = f"transform({nodes}, n -> cast(length({open_token('n')}) + length({close_token('n')}) AS bigint))"
+    order = "array_sort(filter(transform(@firsts, (t, x) -> named_struct('t', t, 'len', @lens[x])), e -> e.t IS NOT NULL))"
+    freed = scan("transform(@order, e -> e.len)", plus)
+    fit = (f"filter(transform(@freed, (f, j) -> if(ceil((@whole - f) / {CHARS_PER_TOKEN}) <= {max_tokens}, j, NULL)), "
+           "j -> j IS NOT NULL)")
+    stop = "if(size(@order) = 0, -1, if(size(@fit) > 0, @order[@fit[0]].t, @order[size(@order) - 1].t))"
+    kept = f"if(@over, filter({nodes}, (n, x) -> @firsts[x] IS NULL OR @firsts[x] > @stop), {nodes})"
+    steps = [
+        ("whole", chars or rendered_length(nodes)),
+        ("over", f"ceil(@whole / {CHARS_PER_TOKEN}) > {max_tokens}"),
+        ("low", readable_low),
+        ("offsets", f"concat(array(0L), {scan(text_lengths, plus)})"),
+        ("words", words),
+        ("page", "array_join(@low, '')"),
+        ("re", pattern),
+        ("caps", "if(size(@words) = 0, cast(array() AS array<string>), regexp_extract_all(@page, @re, 1))"),
+        ("cuts", f"if(size(@words) = 0, cast(array() AS array<bigint>), {scan(piece_lengths, plus)})"),
+        ("starts", starts),
+        ("merged", f"array_sort(concat({occurrences}, {bounds}))"),
+        ("guard", bind(running, "best", guard)),
+        ("cands", ordered),
+        ("allowed", allowed),
+        ("entries", entries),
+        ("places", places),
+        ("own", own),
+        ("firsts", firsts),
+        ("lens", lens),
+        ("order", order),
+        ("freed", freed),
+        ("fit", fit),
+        ("stop", stop),
+    ]
+    # Only pages over budget do the work; the others keep their nodes.
+    gated = [(name, expr if name in ("whole", "over") else f"if(@over, {expr}, NULL)") for name, expr in steps]
+    return [(prefix + name, _let(expr, prefix)) for name, expr in gated + [("kept", kept)]]

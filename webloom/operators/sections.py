@@ -176,6 +176,14 @@ def compress_attributes(pages: DataFrame, fields: Sequence[str]) -> DataFrame:
     )
 
 
+def fit_to_budget(df: DataFrame, nodes: str, keywords: str, max_tokens: int, out: str, chars: str | None = None) -> DataFrame:
+    """``df`` with column ``out``: the nodes of column ``nodes`` after budget removal (``dom.budget_steps``)."""
+    steps = dom.budget_steps(nodes, keywords, max_tokens, chars)
+    for name, expr in steps:
+        df = df.withColumn(name, F.expr(expr))
+    return df.withColumnRenamed(steps[-1][0], out).drop(*[name for name, _ in steps[:-1]])
+
+
 def filter_html_stages(pages: DataFrame, fields: Sequence[str], max_tokens: int = DEFAULT_TOKEN_BUDGET) -> DataFrame:
     """(page_id, html, tokens after each stage, truncated) of pages cleaned, cut to relevant sections and fitted to a
     budget. ``truncated`` tells where removing elements was not enough and the end of the page was cut."""
@@ -184,14 +192,16 @@ def filter_html_stages(pages: DataFrame, fields: Sequence[str], max_tokens: int
         pages.selectExpr("page_id", f"{count_tokens('html')} AS original", f"{strip_irrelevant_html('html')} AS html")
         .selectExpr("page_id", "original", f"{count_tokens('html')} AS stripped", "html")
     )
-    fitted = dom.budget_removal("compact", keywords_sql(fields), max_tokens, "compact_chars")
-    return (
+    compact = (
         _with_sections(cleaned, fields, keep, "html")
         .selectExpr(*keep, f"{tokens_for(dom.rendered_length('sections'))} AS relevant",
                     f"{dom.compress_attributes(reread('sections'), fields)} AS compact")
         .selectExpr(*keep, "relevant", f"{dom.rendered_length('compact')} AS compact_chars", "compact")
-        .selectExpr(*keep, "relevant", f"{tokens_for('compact_chars')} AS compressed", f"{fitted} AS fitted")
-        .selectExpr(*keep, "relevant", "compressed", f"{dom.render_html('fitted')} AS full_html")
+        .selectExpr(*keep, "relevant", f"{tokens_for('compact_chars')} AS compressed", "compact", "compact_chars")
+    )
+    fitted = fit_to_budget(compact, "compact", keywords_sql(fields), max_tokens, "fitted", "compact_chars")
+    return (
+        fitted.selectExpr(*keep, "relevant", "compressed", f"{dom.render_html('fitted')} AS full_html")
         .selectExpr(*keep, "relevant", "compressed", f"{truncate_budget('full_html', max_tokens)} AS html",
                     f"{count_tokens('full_html')} > {max_tokens} AS truncated")
         .selectExpr("page_id", "html", "original", "stripped", "relevant", "compressed",

@@ -483,8 +483,9 @@ def q_max_pages_not_reached(spark, sf):
 @query
 def q_budget_removal(spark, sf):
     """Elements that stay on the test pages under a tight budget: the navigation goes first, then the footer."""
-    fitted = dom.budget_removal("nodes", sections.keywords_sql(("nosuchword",)), BUDGET)
-    kept = parse_nodes(I.pages(spark, sf), keep=("page_id",)).selectExpr("page_id", f"{fitted} AS nodes")
+    parsed = parse_nodes(I.pages(spark, sf), keep=("page_id",))
+    kept = sections.fit_to_budget(parsed, "nodes", sections.keywords_sql(("nosuchword",)), BUDGET, "fitted").selectExpr(
+        "page_id", "fitted AS nodes")
     return kept.selectExpr("page_id", f"exists(nodes, n -> {dom.by_tag('nav')('n')}) AS has_nav",
                            f"exists(nodes, n -> {dom.by_tag('footer')('n')}) AS has_footer",
                            f"{dom.rendered_length('nodes')} AS chars")
