@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from webloom.llm import exact_dedup, langid, minhash, mixing, pieces
 from webloom.llm.common import stored
@@ -31,11 +30,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, text_sha256, pieces, lossless): a sampled segmentation of each document, and whether its pieces decode to
-    the text."""
-    model = f"{TOKENIZERS}/piece_bpe_32k.model"
-    decoded = pieces.decode(pieces.encode(docs, model), model)
-    return decoded.withColumn("lossless", F.sha2("text", 256) == F.col("text_sha256")).drop("text")
+    """(doc_id, n_pieces, pieces_sha256, decoded_sha256, lossless, pieces): a sampled segmentation of each document,
+    decoded in the same Python stage, and whether its pieces give the text back. Null text counts as empty; an empty
+    table gives no rows."""
+    return pieces.round_trip(docs, f"{TOKENIZERS}/piece_bpe_32k.model", with_pieces=True)
 
 
 STAGES = [

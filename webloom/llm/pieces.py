@@ -326,10 +326,11 @@ def decode(encoded: DataFrame, model_path: str, sharpness: float = SHARPNESS) ->
 
 
 def round_trip(docs: DataFrame, model_path: str, id_column: str = "doc_id", text_column: str = "text",
-               sharpness: float = SHARPNESS) -> DataFrame:
+               sharpness: float = SHARPNESS, with_pieces: bool = False) -> DataFrame:
     """(doc_id, n_pieces, pieces_sha256, decoded_sha256, lossless): the sampled pieces of each document, as ``encode``
     gives them, and whether they give its text back. Pieces stay in the task that decodes them; their digest runs over
-    little-endian 32-bit integers."""
+    little-endian 32-bit integers. ``with_pieces`` adds the pieces themselves (``pieces``, array of ids), drawn and
+    decoded in the same Python stage. Null text counts as empty and has no pieces; an empty table gives no rows."""
     kind = dict(docs.dtypes)[id_column]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -340,13 +341,17 @@ def round_trip(docs: DataFrame, model_path: str, id_column: str = "doc_id", text
             texts = model.decode(ids, offsets)
             raw = memoryview(ids.astype("<i4").tobytes())
             spans = list(zip(offsets[:-1].tolist(), offsets[1:].tolist()))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.diff(offsets)),
-                 pa.array([hashlib.sha256(raw[4 * a:4 * b]).hexdigest() for a, b in spans]),
-                 pa.array([hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in texts]),
-                 pa.array([x == y for x, y in zip(texts, batch.column(2).to_pylist())], pa.bool_())],
-                ["doc_id", "n_pieces", "pieces_sha256", "decoded_sha256", "lossless"])
+            columns = [batch.column(0), pa.array(np.diff(offsets)),
+                       pa.array([hashlib.sha256(raw[4 * a:4 * b]).hexdigest() for a, b in spans]),
+                       pa.array([hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in texts]),
+                       pa.array([x == y for x, y in zip(texts, batch.column(2).to_pylist())], pa.bool_())]
+            names = ["doc_id", "n_pieces", "pieces_sha256", "decoded_sha256", "lossless"]
+            if with_pieces:
+                columns.append(pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.astype(np.int32))))
+                names.append("pieces")
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
+    schema = f"doc_id {kind}, n_pieces long, pieces_sha256 string, decoded_sha256 string, lossless boolean"
     return docs.select(F.col(id_column).alias("doc_id"), F.xxhash64(id_column).alias("key"), text.alias("text")).mapInArrow(
-        run, f"doc_id {kind}, n_pieces long, pieces_sha256 string, decoded_sha256 string, lossless boolean")
+        run, schema + (", pieces array<int>" if with_pieces else ""))
