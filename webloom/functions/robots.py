@@ -1,7 +1,8 @@
 """Robots expressions: lines, agent groups and the verdict on a URL.
 
-A robots file is one row's text. Its groups are cut out of the line array with slices, without a shuffle, and a
-verdict is a search in the short rule array of one group.
+A robots file is one row's text. Its groups are cut out of the line array with slices, without a shuffle. The rules
+of a site are indexed once (sorted paths and the first rule over each path's prefixes), and a verdict is a binary
+search in that index.
 """
 
 from __future__ import annotations
@@ -113,8 +114,62 @@ def rules_verdict(rules: str, target: str) -> str:
     return f"coalesce(get(filter({rules}, r -> startswith({target}, r.path)), 0).allow, true)"
 
 
-def robots_verdict(status: str, rules: str, target: str) -> str:
+def last_at_most(paths: str, target: str) -> str:
+    """Position (from 0) of the last path not above ``target`` in a sorted array, -1 if none: a binary search."""
+    steps = f"sequence(0, cast(ceil(log2(size({paths}) + 1)) AS int))"
+    step = bind("cast((s.lo + s.hi + 1) div 2 AS int)", "mid",
+                f"if({paths}[mid] <= {target}, named_struct('lo', mid, 'hi', s.hi), named_struct('lo', s.lo, 'hi', mid - 1))")
+    return (f"aggregate({steps}, named_struct('lo', -1, 'hi', size({paths}) - 1), "
+            f"(s, k) -> if(s.lo >= s.hi, s, {step}), s -> s.lo)")
+
+
+def common_prefix(a: str, b: str) -> str:
+    """Length of the longest common prefix of two texts, by a binary search over lengths."""
+    steps = f"sequence(0, cast(ceil(log2(least(length({a}), length({b})) + 1)) AS int))"
+    step = bind("cast((s.lo + s.hi + 1) div 2 AS int)", "mid",
+                f"if(left({a}, mid) = left({b}, mid), named_struct('lo', mid, 'hi', s.hi), named_struct('lo', s.lo, 'hi', mid - 1))")
+    return (f"aggregate({steps}, named_struct('lo', 0, 'hi', least(length({a}), length({b}))), "
+            f"(s, k) -> if(s.lo >= s.hi, s, {step}), s -> s.lo)")
+
+
+def deepest_prefix(paths: str, target: str) -> str:
+    """Position of the longest path of a sorted array that is a prefix of ``target``, -1 if none.
+
+    Every path that is a prefix of the target lies at or before the last path not above it, and is a prefix of that
+    path too; so where that path is no prefix, the search goes on with the common part of both, which is shorter each
+    time. Mostly one or two binary searches."""
+    found = bind(last_at_most(paths, "st.cur"), "i", f"""if(i < 0, named_struct('cur', st.cur, 'found', -1),
+        if(startswith(st.cur, {paths}[i]), named_struct('cur', st.cur, 'found', i),
+           named_struct('cur', left(st.cur, {common_prefix(f'{paths}[i]', 'st.cur')}), 'found', -2)))""")
+    return (f"aggregate(sequence(0, length({target})), named_struct('cur', {target}, 'found', -2), "
+            f"(st, k) -> if(st.found <> -2, st, {found}), st -> if(st.found = -2, -1, st.found))")
+
+
+def rule_index(rules: str) -> str:
+    """(paths, best) of a group's rules, built once per site: paths sorted, each once with its first rule, and for each
+    the first rule in file order among all paths that are prefixes of it (an array trie). The parent of a path is the
+    longest other path that is a prefix of it; the first rule over all ancestors comes by pointer jumping."""
+    ordered = f"array_sort(transform({rules}, r -> named_struct('path', r.path, 'rule_no', r.rule_no, 'allow', r.allow)))"
+    once = "filter(sorted, (r, i) -> i = 0 OR sorted[i - 1].path <> r.path)"
+    parents = ("transform(once, r -> if(length(r.path) = 0, -1, "
+               f"{deepest_prefix('paths', 'left(r.path, length(r.path) - 1)')}))")
+    start = ("transform(once, (r, i) -> named_struct('best', named_struct('rule_no', r.rule_no, 'allow', r.allow), "
+             "'up', ups[i]))")
+    passes = "sequence(0, cast(ceil(log2(size(once) + 1)) AS int))"
+    jumped = (f"aggregate({passes}, {start}, (acc, k) -> transform(acc, e -> named_struct("
+              "'best', if(e.up >= 0, least(e.best, acc[e.up].best), e.best), 'up', if(e.up >= 0, acc[e.up].up, -1))))")
+    index = bind(parents, "ups", f"named_struct('paths', paths, 'best', transform({jumped}, e -> e.best))")
+    return bind(ordered, "sorted", bind(once, "once", bind("transform(once, r -> r.path)", "paths", index)))
+
+
+def index_verdict(index: str, target: str) -> str:
+    """``rules_verdict`` by the index of ``rule_index``: a search for the longest rule path that prefixes the target,
+    and the first rule of its ancestors."""
+    return bind(deepest_prefix(f"{index}.paths", target), "i", f"coalesce(if(i >= 0, {index}.best[i].allow, true), true)")
+
+
+def robots_verdict(status: str, index: str, target: str) -> str:
     """Verdict with the outcome of fetching the robots file: 401 and 403 close the site, other 4xx open it, and a
-    file that was never read (NULL, 5xx) closes it."""
+    file that was never read (NULL, 5xx) closes it. ``index`` is the ``rule_index`` of the rules that apply."""
     return (f"CASE WHEN {status} IN (401, 403) THEN false WHEN {status} BETWEEN 400 AND 499 THEN true "
-            f"WHEN {status} IS NULL OR {status} >= 500 THEN false ELSE {rules_verdict(rules, target)} END")
+            f"WHEN {status} IS NULL OR {status} >= 500 THEN false ELSE {index_verdict(index, target)} END")

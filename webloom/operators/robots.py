@@ -93,7 +93,7 @@ def robots_allowed(urls: DataFrame, files: DataFrame, agent: str, url: str = "ur
     policies = _policies(files, agent)
     # The key is written anew, so the join places its own exchange, which AQE can split where a host is frequent.
     policy = policies.selectExpr("concat(site, '') AS policy_site", "policy.status AS policy_status",
-                                 "policy.rules AS policy_rules")
+                                 f"{R.rule_index('coalesce(policy.rules, array())')} AS policy_rules")
     joined = urls.withColumn("policy_key", F.expr(host_key(url))).join(
         policy, F.col("policy_key") == F.col("policy_site"), "left")
     verdict = R.robots_verdict("policy_status", "policy_rules", "policy_target")
