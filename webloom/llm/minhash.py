@@ -367,9 +367,9 @@ def drop_near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column
     """
     found = near_duplicates(docs, id_column, text_column, shingle_words, percent)
     # The best row of a group by an aggregate that combines before it moves: a group of a third of all rows is no task's load.
-    best = found.filter(F.col("root").isNotNull()).groupBy("root").agg(
-        F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), "row_key"))["row_key"].alias("kept_key"))
-    alone = found.filter(F.col("root").isNull()).select(F.col("row_key").alias("kept_key"))
-    keep = best.select("kept_key").unionByName(alone)
+    # One pass: a row without shingles is a group of its own (and of its exact repeats).
+    keep = found.groupBy("root", F.when(F.col("root").isNull(), F.col("row_key")).alias("alone")).agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), "row_key"))["row_key"].alias("kept_key")
+    ).select("kept_key")
     keyed = docs.withColumn("__row_key", F.xxhash64(F.col(id_column), F.col(text_column).cast("string")))
     return keyed.join(keep, keyed["__row_key"] == keep["kept_key"], "left_semi").drop("__row_key")
