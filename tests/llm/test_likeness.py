@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.tables import ROWS, documents, empty
@@ -312,4 +313,9 @@ def test_language_id_awkward_rows(spark):
     nothing = langid.fit(empty(spark), F.lit(True))
     assert nothing.languages == [] and {r["lang_pred"] for r in langid.identify(docs, nothing).collect()} == {"und"}
     alone = langid.fit(documents(spark, [(1, "abc def", "xx", "a")]), F.lit(True))
-    assert langid.decide(alone, ["hello", "1"])[0] == ["xx", "und"]
+    assert langid.decide(alone, ["hello", "1", "\u00b2 \u00bd \u2460", "x\u00b2"])[0] == ["xx", "und", "und", "xx"]
+    repeated = langid.fit(documents(spark, [(1, "abc def", "xx", "a")] * 50 + [(2, "uvw xyz", "yy", "a")]), F.lit(True))
+    assert repeated.languages == ["xx", "yy"]
+    many = [(i, f"text {i}", f"l{i}", "a") for i in range(langid.MAX_LANGUAGES + 1)]
+    with pytest.raises(ValueError):
+        langid.fit(documents(spark, many), F.lit(True))

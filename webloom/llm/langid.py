@@ -10,7 +10,6 @@ are one matrix product. Training uses a bounded sample per language; prediction
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -31,7 +30,8 @@ BUCKET_BITS = 13
 GRAMS = (1, 2, 3)
 #: Share of the loss by which the best codeword must beat the second.
 AMBIGUOUS = 0.02
-_LETTER = re.compile(r"[^\W\d_]")
+#: Languages a model may learn, at most; a table with more is refused rather than trained on a part.
+MAX_LANGUAGES = 64
 _MAX_BITS = 63
 
 
@@ -88,6 +88,8 @@ def codewords(n: int) -> np.ndarray:
 def fit(docs: DataFrame, usable: Column, id_column: str = "doc_id", text_column: str = "text",
         language_column: str = "lang", per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
     """A model from at most ``per_language`` usable documents of each non-null language, those with the least hashes.
+    Rows that repeat an id and its text count once; several texts under one chosen id all count. More than
+    ``MAX_LANGUAGES`` languages is an error. An empty table gives a model without languages.
 
     Bits are naive Bayes classifiers: the weight of an n-gram is the logarithm of its share among the languages with
     the bit over its share among the others, languages counting alike.
@@ -96,6 +98,9 @@ def fit(docs: DataFrame, usable: Column, id_column: str = "doc_id", text_column:
         F.col(id_column).alias("sample_id"), F.col(language_column).alias("sample_lang"))
     chosen = ranked_per_key(rows.withColumn("h", F.xxhash64("sample_id")), ["sample_lang"],
                             [F.asc("h"), F.asc("sample_id")], per_language).select("sample_id", "sample_lang").distinct()
+    n_languages = chosen.select("sample_lang").distinct().count()
+    if n_languages > MAX_LANGUAGES:
+        raise ValueError(f"{n_languages} languages; at most MAX_LANGUAGES = {MAX_LANGUAGES} can be learnt")
     buckets = 1 << BUCKET_BITS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,8 +119,10 @@ def fit(docs: DataFrame, usable: Column, id_column: str = "doc_id", text_column:
                 ["lang", "bucket", "n"])
 
     # The sample has at most ``per_language`` ids a language, whatever the input.
+    # Rows that repeat a chosen id and its text count once, so the sample is bounded in rows, not only in ids.
     sample = docs.join(F.broadcast(chosen), (docs[id_column] == chosen["sample_id"])
-                       & (docs[language_column] == chosen["sample_lang"])).filter(usable)
+                       & (docs[language_column] == chosen["sample_lang"])).filter(usable).dropDuplicates(
+        ["sample_id", "sample_lang", text_column])
     counted = sample.select(F.col(language_column).alias("lang"), F.coalesce(F.col(text_column), F.lit("")).alias("text")) \
         .mapInArrow(run, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect()
     languages = sorted({r["lang"] for r in counted})
@@ -138,7 +145,7 @@ def fit(docs: DataFrame, usable: Column, id_column: str = "doc_id", text_column:
 
 def decide(model: Model, texts: list[str | None]) -> tuple[list[str], list[float], list[bool]]:
     """(language, score, ambiguous) of each text. A text that is null or has no letter is undetermined with score 0."""
-    known = [i for i, t in enumerate(texts) if t and _LETTER.search(t)]
+    known = [i for i, t in enumerate(texts) if t and any(map(str.isalpha, t))]
     names, scores, unsure = [UNDETERMINED] * len(texts), [0.0] * len(texts), [True] * len(texts)
     if not known or not model.languages:
         return names, scores, unsure
