@@ -118,10 +118,29 @@ def test_sitemaps(spark):
     df = spark.createDataFrame([("u", urlset), ("i", index), ("b", "<urlset><url><loc>x"), ("n", "none"), ("z", None)],
                                "sitemap_url string, body string")
     rows = sitemap.read_sitemap(df).orderBy("sitemap_url", "pos").collect()
+    # A body cut off inside its last entry still gives that entry's location.
     assert [(r.sitemap_url, r.pos, r.loc) for r in rows] == [
-        ("i", 0, "https://a.com/s.xml"), ("u", 0, "https://a.com/1?x=1&y=2"), ("u", 1, "https://a.com/2"),
+        ("b", 0, "x"), ("i", 0, "https://a.com/s.xml"), ("u", 0, "https://a.com/1?x=1&y=2"), ("u", 1, "https://a.com/2"),
         ("u", 2, "https://a.com/2")]
-    assert str(rows[1].lastmod) == "2025-06-20 16:33:37.436000"
+    assert str(rows[2].lastmod) == "2025-06-20 16:33:37.436000"
+
+
+def test_sitemaps_read_leniently(spark):
+    bodies = [
+        ("amp", "<urlset><url><loc><![CDATA[http://a/1?x=1&y=2]]></loc></url><url><loc>http://a/2 & b</loc></url></urlset>"),
+        ("cdata", "<urlset><url><loc><![CDATA[http://a/1]]></loc></url></urlset>"),
+        ("cut", "<urlset><url><loc>http://a/1</loc></url><url><loc>http://a/2</loc></url><url><loc>http://a/3"),
+        ("prefix", '<ns:urlset xmlns:ns="http://www.sitemaps.org/schemas/sitemap/0.9"><ns:url><ns:loc>http://a/1</ns:loc>'
+                   "</ns:url><ns:url><ns:loc>http://a/2</ns:loc></ns:url></ns:urlset>"),
+        ("attr", '<urlset><url><loc id="x">http://a/1</loc><lastmod>2020-01-01</lastmod></url><url><loc>http://a/2</loc></url></urlset>'),
+        ("open", "<urlset><url><loc>http://a/1</loc><url><loc>http://a/2</loc></urlset>"),
+    ]
+    rows = sitemap.read_sitemap(spark.createDataFrame(bodies, "sitemap_url string, body string")).collect()
+    got = {(r.sitemap_url, r.pos, r.loc, r.malformed) for r in rows}
+    assert got == {("amp", 0, "http://a/1?x=1&y=2", True), ("amp", 1, "http://a/2 & b", True), ("cdata", 0, "http://a/1", False),
+                   ("cut", 0, "http://a/1", True), ("cut", 1, "http://a/2", True), ("cut", 2, "http://a/3", True),
+                   ("prefix", 0, "http://a/1", True), ("prefix", 1, "http://a/2", True), ("attr", 0, "http://a/1", False),
+                   ("attr", 1, "http://a/2", False), ("open", 0, "http://a/1", True), ("open", 1, "http://a/2", True)}
 
 
 def test_first_valid_sitemap(spark):

@@ -64,9 +64,12 @@ def q_read_sitemap(spark, sf):
 
 @query
 def q_read_sitemap_malformed(spark, sf):
-    """Sitemaps with a bare ampersand in each address, and with the end cut off."""
-    broken = I.sitemaps(spark, sf).selectExpr(
-        "sitemap_url", "replace(replace(replace(body, '</loc>', '?a=1&b=2</loc>'), ' ?a', '?a'), '</urlset>', '<url><loc>http') AS body")
+    """Sitemaps with a bare ampersand in each address, addresses in CDATA inside prefixed tags with attributes, and the
+    end cut off inside a last entry."""
+    bare = "replace(replace(body, '</loc>', '?a=1&b=2</loc>'), ' ?a', '?a')"
+    cdata = f"replace(replace({bare}, '<loc> ', '<s:loc kind=\"page\"><![CDATA['), '?a=1&b=2</loc>', '?a=1&b=2]]></s:loc>')"
+    prefixed = f"replace(replace({cdata}, '<url>', '<s:url>'), '</url>', '</s:url>')"
+    broken = I.sitemaps(spark, sf).selectExpr("sitemap_url", f"replace({prefixed}, '</urlset>', '<url><loc>http') AS body")
     return sitemap.read_sitemap(broken).select("sitemap_url", "pos", "loc", "malformed")
 
 

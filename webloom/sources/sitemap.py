@@ -11,29 +11,41 @@ _ENTRY = "ARRAY<STRUCT<loc: STRING, lastmod: STRING>>"
 _SCHEMA = f"url {_ENTRY}, sitemap {_ENTRY}"
 
 
+# Names may carry a namespace prefix, and tags attributes.
+_PREFIX = r"(?:[\w.-]+:)?"
+
+
 def _field(entry: str, name: str) -> str:
-    """Text of one field of an entry, NULL where it is missing; the five entities of XML are decoded."""
-    value = f"regexp_extract({entry}, {text(f'(?s)<{name}>(.*?)</{name}>')}, 1)"
+    """Text of one field of an entry, NULL where it is missing. A CDATA section is taken as it stands; other text runs to
+    the next tag or the end of a cut-off body, with the five entities of XML decoded."""
+    pattern = rf"(?s)<{_PREFIX}{name}(?:\s[^>]*)?>\s*(?:<!\[CDATA\[(.*?)(?:\]\]>|$)|([^<]*))"
+    value = f"regexp_extract({entry}, {text(pattern)}, 2)"
     for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
         value = f"replace({value}, '{entity}', {text(char)})"
-    return f"nullif({value}, '')"
+    return f"nullif(coalesce(nullif(regexp_extract({entry}, {text(pattern)}, 1), ''), {value}), '')"
 
 
 def read_sitemap(sitemaps: DataFrame) -> DataFrame:
     """(sitemap_url, pos, loc, lastmod, malformed) of sitemaps (sitemap_url, body): trimmed, in order, duplicates kept.
 
     An index file gives the addresses of its sitemaps, which are not followed. A body that is not sound XML, such as
-    one that was cut off or holds a bare ``&``, is read entry by entry instead, and its rows are ``malformed``.
+    one that was cut off or holds a bare ``&``, or whose names carry a namespace prefix, is read entry by entry instead,
+    and its rows are ``malformed``: an entry ends at its end tag, the next entry or the end of the body; CDATA is taken
+    as it stands; attributes on tags are passed over.
     """
-    # The reader gives no entry at all for a body with a fault anywhere.
+    # The XML reader gives no entry, or only those before a fault, for a body with a fault anywhere.
     entries = "concat(coalesce(x.url, array()), coalesce(x.sitemap, array()))"
-    entry = text(r"(?s)<(?:url|sitemap)(?:\s[^>]*)?>(.*?)</(?:url|sitemap)\s*>")
+    # An entry ends at its end tag, at the next entry, or where a cut-off body ends.
+    entry = text(rf"(?s)<{_PREFIX}(?:url|sitemap)(?:\s[^>]*)?>(.*?)"
+                 rf"(?:</{_PREFIX}(?:url|sitemap)\s*>|(?=<{_PREFIX}(?:url|sitemap)[\s>])|$)")
     loose = (f"transform(regexp_extract_all(body, {entry}, 1), e -> named_struct("
              f"'loc', {_field('e', 'loc')}, 'lastmod', {_field('e', 'lastmod')}))")
     return (
         sitemaps.select("sitemap_url", "body", F.from_xml("body", _SCHEMA).alias("x"))
-        .selectExpr("sitemap_url", "body", f"{entries} AS strict")
-        .selectExpr("sitemap_url", "size(strict) = 0 AS malformed", f"if(size(strict) > 0, strict, {loose}) AS entries")
+        .selectExpr("sitemap_url", "body", f"{entries} AS strict", f"{loose} AS loose")
+        # The XML reader may also stop early without a word; where both readers do not count alike, entries count.
+        .selectExpr("sitemap_url", "size(strict) = 0 OR size(strict) <> size(loose) AS malformed", "strict", "loose")
+        .selectExpr("sitemap_url", "malformed", "if(malformed, loose, strict) AS entries")
         .selectExpr("sitemap_url", "malformed", "posexplode_outer(entries) AS (pos, entry)")
         .selectExpr("sitemap_url", "pos", f"{strip('entry.loc')} AS loc",
                     f"try_to_timestamp({strip('entry.lastmod')}) AS lastmod", "malformed")
