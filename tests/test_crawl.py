@@ -144,3 +144,22 @@ def test_a_batch_reads_only_its_slices(spark, tmp_path):
     assert 0 < one.count() < 100
     frontier.pass_batch(spark.createDataFrame([("7",), ("new",), (None,)], "url string"), 1, table, "s")
     assert frontier.passed_urls(spark, table).filter("batch_id = 1").select("url").collect() == [("new",)]
+
+
+def test_log_positions_follow_file_names_and_lines(spark, tmp_path):
+    """An old file of one line comes before a new one of many, whatever Spark packs first; splits keep their order."""
+    from webloom.sources.crawl_log import read_crawl_log
+
+    folder = tmp_path / "log"
+    folder.mkdir()
+    (folder / "part-0000.txt").write_text("https://old.com/1 --> Unreachable\n")
+    (folder / "part-0001.txt").write_text("".join(f"https://new.com/{i} --> 200 --> f{i}.html\n" for i in range(3000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        rows = read_crawl_log(spark, str(folder)).select("pos", "url").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    got = [r.url for r in sorted(rows, key=lambda r: r.pos)]
+    assert got == ["https://old.com/1"] + [f"https://new.com/{i}" for i in range(3000)]
+    assert sorted(r.pos for r in rows) == list(range(3001))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from webloom.functions.sql import bind, strip
@@ -60,15 +60,33 @@ def parse_crawl_log(lines: DataFrame, value: str = "value", pos: str | None = No
     return entries.select("pos", F.expr(parse_crawl_line("line")).alias("entry")).select("pos", "entry.*")
 
 
+def in_file_order(lines: DataFrame, value: str = "value") -> DataFrame:
+    """(pos, value) of lines read from files: positions in the order of file names, then of places in a file.
+
+    Lines are counted per split first (one row per split), and a prefix sum over splits in (file, offset) order gives
+    each split its first position; a line adds its place within the split. Spark may pack files into a partition in any
+    order; the positions do not depend on it.
+    """
+    marked = lines.select(F.col("_metadata.file_path").alias("log_file"), F.col("_metadata.file_block_start").alias("log_offset"),
+                          F.monotonically_increasing_id().alias("log_row"), F.col(value).alias(value))
+    splits = marked.groupBy("log_file", "log_offset").agg(F.min("log_row").alias("log_first"), F.count("*").alias("log_lines"))
+    earlier = Window.orderBy("log_file", "log_offset").rowsBetween(Window.unboundedPreceding, -1)
+    starts = splits.select("log_file", "log_offset", "log_first",
+                           F.coalesce(F.sum("log_lines").over(earlier), F.lit(0)).alias("log_start"))
+    return marked.join(starts, ["log_file", "log_offset"]).select(
+        (F.col("log_start") + F.col("log_row") - F.col("log_first")).alias("pos"), value)
+
+
 def read_crawl_log(spark: SparkSession, path: str) -> DataFrame:
-    """Entries of a log file or folder; no log yet means no entries."""
+    """Entries of a log file or folder; no log yet means no entries. Positions count lines in the order of file names
+    and of lines in a file."""
     try:
-        lines = spark.read.text(path)
+        lines = in_file_order(spark.read.text(path))
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        lines = spark.createDataFrame([], "value string")
-    return parse_crawl_log(lines)
+        lines = spark.createDataFrame([], "pos long, value string")
+    return parse_crawl_log(lines, pos="pos")
 
 
 def write_crawl_log(outcomes: DataFrame, path: str) -> None:
