@@ -163,3 +163,24 @@ def test_log_positions_follow_file_names_and_lines(spark, tmp_path):
     got = [r.url for r in sorted(rows, key=lambda r: r.pos)]
     assert got == ["https://old.com/1"] + [f"https://new.com/{i}" for i in range(3000)]
     assert sorted(r.pos for r in rows) == list(range(3001))
+
+
+@pytest.mark.parametrize("keys", [["host"], []])
+def test_first_rows_beyond_the_group_limit_spread_over_tasks(spark, keys):
+    """A key with most rows and n above the window group limit: same rows as a plain ranking, and rows move by ranges,
+    so no exchange brings a whole key into one task."""
+    from webloom.operators.ranking import ranked_per_key
+
+    rows = [("hot" if i % 4 else f"h{i % 7}" if i % 3 else None, i, (i * 7919) % 10007) for i in range(20000)]
+    df = spark.createDataFrame(rows, "host string, i long, o long")
+    order = [F.col("o"), F.col("i")]
+    got = ranked_per_key(df, keys, order, 4000)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    # Rows move by ranges of (key, order); only the counts, one row per partition and key, meet by key alone.
+    assert "rangepartitioning" in plan
+    assert "SinglePartition" not in plan or not keys
+    plain = {}
+    for r in sorted(rows, key=lambda r: (r[2], r[1])):
+        plain.setdefault(r[0] if keys else None, []).append(r)
+    want = {(r[1], rank + 1) for rs in plain.values() for rank, r in enumerate(rs[:4000])}
+    assert {(r["i"], r["rank"]) for r in got.collect()} == want
