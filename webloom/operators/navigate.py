@@ -92,6 +92,29 @@ def derive_rules(relevant: DataFrame, n: int = MAX_RULES, min_count: int = MIN_R
         .select("site", "rank", "rule", "n_urls")
 
 
+def derive_deep_rules(relevant: DataFrame, n: int = MAX_RULES, min_count: int = MIN_RULE_COUNT) -> DataFrame:
+    """(site, rank, rule, depth, n_urls): the deepest path prefixes that still hold ``min_count`` relevant URLs.
+
+    Every path gives its prefixes by whole segments (``/a``, ``/a/b``, ...), counted per site and depth in one
+    aggregation; a prefix is kept where it has enough URLs and none of its children has, so a branch ends at its
+    deepest supported directory. Ranked per site by URLs, then rule.
+    """
+    segments = f"regexp_extract_all({url_path('url')}, '(/[^/]+)', 1)"
+    prefixes = ("transform(sequence(1, size(segs)), k -> named_struct('depth', k, 'rule', "
+                "array_join(slice(segs, 1, k), '')))")
+    counted = (
+        relevant.selectExpr("site", f"{segments} AS segs").filter("size(segs) > 0")
+        .selectExpr("site", f"inline({prefixes})")
+        .groupBy("site", "rule", "depth").agg(F.count("*").alias("n_urls"))
+        .filter(F.col("n_urls") >= min_count)
+    )
+    parents = counted.filter("depth > 1").selectExpr(
+        "site AS p_site", "regexp_replace(rule, '/[^/]+$', '') AS p_rule").distinct()
+    leaves = counted.join(parents, (F.col("site") == F.col("p_site")) & (F.col("rule") == F.col("p_rule")), "left_anti")
+    return ranked_per_key(leaves, ["site"], [F.desc("n_urls"), F.asc("rule")], n) \
+        .select("site", "rank", "rule", "depth", "n_urls")
+
+
 def explain_choice(hits: str = "hits") -> str:
     """SQL text: why a URL was chosen."""
     return f"concat('matches ', array_join({hits}, ', '))"

@@ -607,6 +607,11 @@ def q_derive_rules(spark, sf):
     return navigate.derive_rules(navigate.relevant_urls(_sites(spark, sf), I.INTERESTS))
 
 
+@query
+def q_derive_rules_deep(spark, sf):
+    return navigate.derive_deep_rules(navigate.relevant_urls(_sites(spark, sf), I.INTERESTS))
+
+
 @query
 def q_explain_choice(spark, sf):
     return navigate.relevant_urls(_sites(spark, sf), I.INTERESTS).selectExpr(

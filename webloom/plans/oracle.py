@@ -410,6 +410,15 @@ _RESULTS: dict[str, str] = {
             PARTITION BY site ORDER BY score DESC, density DESC, url) AS rank FROM sites) WHERE rank <= 10""",
     "derive_rules": f"""WITH sites AS (SELECT {HOST} AS site, url FROM pages), {ranking('sites')}
         SELECT site, rank, rule, n_urls FROM rules""",
+    "derive_rules_deep": f"""WITH sites AS (SELECT {HOST} AS site, url FROM pages), {ranking('sites')},
+        segs AS (SELECT site, regexp_extract_all({PATH}, '(/[^/]+)', 1) AS s FROM relevant),
+        depths AS (SELECT site, s, unnest(range(1, len(s) + 1)) AS depth FROM segs WHERE len(s) > 0),
+        counted AS (SELECT site, array_to_string(s[1:depth], '') AS rule, depth, count(*) AS n_urls FROM depths
+            GROUP BY ALL HAVING count(*) >= 2),
+        leaves AS (SELECT * FROM counted c WHERE NOT EXISTS (SELECT 1 FROM counted d WHERE d.site = c.site
+            AND d.depth = c.depth + 1 AND regexp_replace(d.rule, '/[^/]+$', '') = c.rule))
+        SELECT site, row_number() OVER (PARTITION BY site ORDER BY n_urls DESC, rule) AS rank, rule, depth, n_urls
+        FROM leaves QUALIFY rank <= 3""",
     "explain_choice": f"""SELECT DISTINCT {HOST} AS site, url, {REASON} AS reason FROM pages WHERE {SCORE} > 0""",
     "nav_from_sitemap": f"WITH {SITEMAP_ROWS}, {ranking('located')} {ANSWER}",
     "nav_from_urls": f"WITH sites AS (SELECT {HOST} AS site, url FROM pages), {ranking('sites')} {ANSWER}",
@@ -451,7 +460,7 @@ _INTEGERS = {
     "first_matching_selector": "selector_no n_hits", "limit_products": "last_pos", "sort_urls": "pos",
     "url_extract": "pos", "chunk_text": "chars", "chunk_fixed": "chunk_no", "extract_products_text": "pos",
     "extract_product_sections": "pos node_id", "extract_product_fields": "pos", "top_urls": "rank",
-    "top_urls_with_features": "rank", "derive_rules": "rank", "products": "pos",
+    "top_urls_with_features": "rank", "derive_rules": "rank", "derive_rules_deep": "rank depth", "products": "pos",
     "robots_report": "total_rules n_disallowed",
 }
 _BIGINTS = {"read_sitemap": "lastmod_seconds", "write_robots_jsonl": "download_seconds"}
