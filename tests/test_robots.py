@@ -146,3 +146,12 @@ def test_many_rules_agree_with_robotparser_and_scale(spark):
         times[n] = time.time() - started
         assert got == {f"https://big.com{p}": parser.can_fetch("bot", f"https://big.com{p}") for p in paths}
     assert times[5000] <= 1.5 * times[500] + 0.5, times
+
+
+def test_group_for_agent_is_one_row_per_site(spark):
+    rows = [("https://Shop.com/robots.txt", "User-agent: *\nDisallow: /a", 200),
+            ("https://shop.com:443/robots.txt", "User-agent: *\nDisallow: /b\nDisallow: /c", 200),
+            ("http://shop.com/robots.txt", "User-agent: BotB\nAllow: /", 404)]
+    got = {r.site: r for r in robots.robots_group_for_agent(files(spark, rows), "BotB/1.0").collect()}
+    assert set(got) == {"https://shop.com", "http://shop.com"}
+    assert [x.path for x in got["https://shop.com"].rules] == ["/a"] and got["http://shop.com"].agents == ["BotB"]

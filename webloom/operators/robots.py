@@ -60,13 +60,19 @@ def robots_rules(files: DataFrame) -> DataFrame:
 
 
 def robots_group_for_agent(files: DataFrame, agent: str) -> DataFrame:
-    """(host, http_status, group_no, agents, rules) of the group that applies to the agent; NULLs where none does."""
-    return (
-        files.selectExpr(f"{url_host('robotstxt_url')} AS host", "http_status", f"{R.agent_groups('body')} AS groups")
-        .withColumn("agent", F.lit(agent))
-        .selectExpr("host", "http_status", f"{R.group_for_agent('groups', 'agent')} AS g")
-        .selectExpr("host", "http_status", "g.group_no AS group_no", "g.agents AS agents", "g.rules AS rules")
+    """(site, host, http_status, group_no, agents, rules) of the group that applies to the agent, one row per site as
+    ``host_key`` has it (``Shop.com`` and ``shop.com`` are one); NULLs where no group does. Of several files of a site
+    the one that counts for verdicts is shown: found first, then the least address, then the least rules."""
+    chosen = (
+        files.selectExpr(f"{host_key('robotstxt_url')} AS site", f"{url_host('robotstxt_url')} AS host", "robotstxt_url",
+                         "http_status", f"{R.agent_groups('body')} AS groups")
+        .filter("site IS NOT NULL").withColumn("agent", F.lit(agent))
+        .selectExpr("site", "host", "robotstxt_url", "http_status", f"{R.group_for_agent('groups', 'agent')} AS g")
     )
+    order = "struct(if(http_status = 200, 0, 1), robotstxt_url, to_json(g.rules), http_status)"
+    best = chosen.groupBy("site").agg(F.expr(f"min_by(struct(host, http_status, g), {order})").alias("best"))
+    return best.selectExpr("site", "best.host AS host", "best.http_status AS http_status", "best.g.group_no AS group_no",
+                           "best.g.agents AS agents", "best.g.rules AS rules")
 
 
 def _policies(files: DataFrame, agent: str) -> DataFrame:

@@ -364,7 +364,7 @@ def q_robots_group_for_agent(spark, sf):
     groups = [robots.robots_group_for_agent(files, agent).withColumn("agent", F.lit(agent))
               for agent in (I.AGENT, "BotB/1.0")]
     return groups[0].unionByName(groups[1]).selectExpr(
-        "host", "agent", "group_no", "array_join(agents, ',') AS agents", "size(rules) AS n_rules")
+        "site", "agent", "group_no", "array_join(agents, ',') AS agents", "size(rules) AS n_rules")
 
 
 @query

@@ -309,7 +309,7 @@ _RESULTS: dict[str, str] = {
         row_number() OVER (PARTITION BY sitemap_url ORDER BY page_id) - 1 AS pos,
         replace(url, '&', '&amp;') || '?a=1&b=2' AS loc, true AS malformed FROM located
         UNION ALL SELECT sitemap_url, count(*) AS pos, 'http' AS loc, true AS malformed FROM located GROUP BY sitemap_url""",
-    "robots_group_for_agent": f"""WITH {ROBOTS} SELECT host, agent, group_no, agents,
+    "robots_group_for_agent": f"""WITH {ROBOTS} SELECT lower(origin) AS site, agent, group_no, agents,
         n_rules + CASE WHEN group_no = 0 AND length(host) % 2 = 0 THEN 1 ELSE 0 END AS n_rules
         FROM hosts, (VALUES ('{I.AGENT}', 0, '*', 3), ('BotB/1.0', 1, 'BotA,BotB', 2))
         t(agent, group_no, agents, n_rules)""",
