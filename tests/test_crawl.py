@@ -184,3 +184,19 @@ def test_first_rows_beyond_the_group_limit_spread_over_tasks(spark, keys):
         plain.setdefault(r[0] if keys else None, []).append(r)
     want = {(r[1], rank + 1) for rs in plain.values() for rank, r in enumerate(rs[:4000])}
     assert {(r["i"], r["rank"]) for r in got.collect()} == want
+
+
+def test_frontier_folders_stay_few_and_reruns_change_nothing(spark, tmp_path):
+    """40 batches with a fan-out of 2 leave a logarithmic number of folders; every URL passes once; a batch that runs
+    again, and a merge cut off before it was whole, change nothing."""
+    table = str(tmp_path / "out")
+    batches = [spark.createDataFrame([(f"u{b}-{i}",) for i in range(3)] + [("u0-0",)], "url string") for b in range(40)]
+    for b, batch in enumerate(batches):
+        frontier.pass_batch(batch, b, table, "s", fanout=2)
+    units = frontier._units(spark, table, "s")
+    assert len(units) <= 2 * 7
+    want = sorted({f"u{b}-{i}" for b in range(40) for i in range(3)})
+    assert sorted(r.url for r in frontier.passed_urls(spark, table).collect()) == want
+    frontier.pass_batch(batches[-1], 39, table, "s", fanout=2)
+    (tmp_path / "out" / "_merged" / "source=s" / "range=0-99").mkdir(parents=True)
+    assert sorted(r.url for r in frontier.passed_urls(spark, table).collect()) == want
