@@ -321,3 +321,96 @@ def budget_steps(nodes: str, keywords: str, max_tokens: int, chars: str | None =
     # Only pages over budget do the work; the others keep their nodes.
     gated = [(name, expr if name in ("whole", "over") else f"if(@over, {expr}, NULL)") for name, expr in steps]
     return [(prefix + name, _let(expr, prefix)) for name, expr in gated + [("kept", kept)]]
+
+
+# --- selector text ----------------------------------------------------------------------------------------------------
+
+_PART = re.compile(r"""(?P<tag>\*|[A-Za-z][\w-]*)|\.(?P<cls>[\w-]+)|\#(?P<id>[\w-]+)
+    |\[\s*(?P<attr>[\w:-]+)\s*(?:(?P<op>[*^$~]?=)\s*(?P<value>"[^"]*"|'[^']*'|[^\]\s]*)\s*)?\]""", re.X)
+
+
+def _compound(text_: str) -> Predicate:
+    """Predicate of one compound selector: tag or ``*``, ``.class``, ``#id``, ``[a]``, ``[a=v]``, ``[a*=v]``,
+    ``[a^=v]``, ``[a$=v]``, ``[a~=v]``; every part must hold."""
+    tests: list[Predicate] = [is_element]
+    at = 0
+    while at < len(text_):
+        m = _PART.match(text_, at)
+        if not m or m.end() == at:
+            raise ValueError(f"cannot read selector part {text_[at:]!r}")
+        at = m.end()
+        if m["tag"] and m["tag"] != "*":
+            tests.append(by_tag(m["tag"].lower()))
+        elif m["cls"]:
+            tests.append(by_class(m["cls"]))
+        elif m["id"]:
+            tests.append(by_id(m["id"]))
+        elif m["attr"]:
+            name, op, value = m["attr"].lower(), m["op"], m["value"]
+            if value and value[0] in "\"'":
+                value = value[1:-1]
+            if not op:
+                tests.append(with_attr(name))
+            elif op == "=":
+                tests.append(with_attr(name, value))
+            elif op == "*=":
+                tests.append(attr_contains(name, value))
+            else:
+                check = {"^=": "startswith(v, {w})", "$=": "endswith(v, {w})",
+                         "~=": "array_contains(split(v, ' '), {w})"}[op].format(w=text(value))
+                empty = op != "~=" and not value
+                tests.append(lambda n, name=name, check=check, empty=empty: "false" if empty else (
+                    f"({n}.kind = 'element' AND coalesce({bind(attr(n, name), 'v', check)}, false))"))
+    return lambda n: "(" + " AND ".join(t(n) for t in tests) + ")"
+
+
+def parse_selector(selector: str) -> list[list[tuple[str, Predicate]]]:
+    """Groups (split at commas) of chains [(combinator, predicate)]; the first combinator is empty, then ``>`` (child)
+    or `` `` (descendant)."""
+    groups = []
+    for group in selector.split(","):
+        tokens = re.findall(r">|[^\s>]+", group.strip())
+        if not tokens:
+            raise ValueError(f"empty selector in {selector!r}")
+        chain, combinator = [], ""
+        for token in tokens:
+            if token == ">":
+                combinator = ">"
+                continue
+            chain.append((combinator if chain else "", _compound(token)))
+            combinator = " "
+        groups.append(chain)
+    return groups
+
+
+def _has_ancestor_in(nodes: str, flags: str) -> str:
+    """For each node, whether any ancestor's flag is set: OR over the ancestor chain by pointer jumping."""
+    start = (f"transform({nodes}, n -> named_struct('v', if(coalesce(n.parent_id, -1) >= 0, {flags}[n.parent_id], false), "
+             "'up', coalesce(n.parent_id, -1)))")
+    passes = f"sequence(0, cast(ceil(log2(greatest(2, array_max(transform({nodes}, n -> n.depth)) + 2))) AS int))"
+    return (f"transform(aggregate({passes}, {start}, (acc, k) -> transform(acc, e -> named_struct("
+            "'v', e.v OR if(e.up >= 0, acc[e.up].v, false), 'up', if(e.up >= 0, acc[e.up].up, -1)))), e -> e.v)")
+
+
+def select_css(nodes: str, selector: str) -> str:
+    """Nodes that a selector text matches, each once, in document order. Groups, compound selectors and the child and
+    descendant combinators; a descendant test is pointer jumping over ancestors, so a page costs n log depth."""
+    group_flags = []
+    for chain in parse_selector(selector):
+        flags = None
+        for combinator, predicate in chain:
+            own = f"transform({nodes}, n -> {predicate('n')})"
+            if flags is None:
+                flags = own
+            elif combinator == ">":
+                flags = bind(flags, "prev", f"transform({nodes}, n -> {predicate('n')} AND "
+                                            "if(coalesce(n.parent_id, -1) >= 0, prev[n.parent_id], false))")
+            else:
+                flags = bind(flags, "prev", bind(_has_ancestor_in(nodes, "prev"), "above",
+                                                 f"transform({nodes}, (n, i) -> {predicate('n')} AND above[i])"))
+        group_flags.append(flags)
+    names = [f"g{i}" for i in range(len(group_flags))]
+    body = f"filter({nodes}, (n, i) -> {' OR '.join(f'{g}[i]' for g in names)})"
+    for name, flags in zip(reversed(names), reversed(group_flags)):
+        body = bind(flags, name, body)
+    return body

@@ -104,6 +104,13 @@ def select_elements(pages: DataFrame, predicate: dom.Predicate) -> DataFrame:
     return explode_nodes(parsed.selectExpr("page_id", f"{dom.select_elements('nodes', predicate)} AS nodes"))
 
 
+def select_css(pages: DataFrame, selector: str) -> DataFrame:
+    """(page_id, node columns) of the elements a selector text matches (groups, compound parts, child and descendant),
+    each once, in document order."""
+    parsed = parse_nodes(pages, keep=("page_id",))
+    return explode_nodes(parsed.selectExpr("page_id", f"{dom.select_css('nodes', selector)} AS nodes"))
+
+
 def match_keyword_text(pages: DataFrame, words: Sequence[str]) -> DataFrame:
     """(page_id, id, text) of texts and comments that hold a keyword of the words."""
     parsed = parse_nodes(pages, keep=("page_id",)).selectExpr(

@@ -358,6 +358,14 @@ def q_robots_allowed_written_otherwise(spark, sf):
     return robots.robots_allowed(urls, files.unionByName(second), I.AGENT)
 
 
+@query
+def q_select_css(spark, sf):
+    """Elements of a selector text with groups, child and descendant combinators and attribute tests; no SQL twin (the
+    tests hold it against a plain walk of the tree)."""
+    return sections.select_css(I.pages(spark, sf), "body div > a[href^='/'], nav a, main p, [data-product-id] span").select(
+        "page_id", "id", "tag")
+
+
 @query
 def q_robots_group_for_agent(spark, sf):
     files = I.robots_files(spark, sf)
