@@ -27,7 +27,7 @@ from webloom.llm.common import shuffle_partitions, stored
 
 #: Fixed values of the contract: lines end at \n, keys are stripped of ASCII white space, repeats span 10 documents.
 MIN_DOCS = 10
-EDGES = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
+EDGE_CHARS = "\x20\x09\x0a\x0b\x0c\x0d"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BITS_PER_KEY = 10
 PROBES = 6
@@ -37,7 +37,8 @@ PAIRS_PER_BUILDER = 1 << 20
 
 
 def line_key(line: Column) -> Column:
-    return F.translate(F.regexp_replace(line, EDGES, ""), UPPER, LOWER)
+    """The line without ASCII white space (0x20, 0x09 to 0x0D) at its ends, A-Z lower-cased."""
+    return F.translate(F.btrim(line, F.lit(EDGE_CHARS)), UPPER, LOWER)
 
 
 def _lines(text: Column) -> Column:
