@@ -171,3 +171,15 @@ def test_pages_are_saved_by_address(spark, tmp_path):
     page_source.write_pages(df, str(tmp_path / "out"))
     saved = spark.read.parquet(str(tmp_path / "out"))
     assert saved.filter("crawl_ts = 6").first().html == "<p>2</p>" and saved.select("page_key").distinct().count() == 2
+
+
+def test_records_by_structure_where_no_selector_hits(spark):
+    """Cards with class names no selector knows give every product; a lone price keeps the element around it."""
+    cards = "".join(f"<div class='x{i}'><a href='/p/{i}'><img src='/i/{i}.jpg'></a><h2>Item {i}</h2><p>about {i}</p>"
+                    f"<span>${i}.99</span></div>" for i in range(5))
+    html = f"<html><body><div class='grid'>{cards}</div><p>Total $3.00</p><ul><li>a</li><li>b</li></ul></body></html>"
+    df = spark.createDataFrame([(1, "https://a.com/", html), (2, "https://a.com/x", "<p>only $1.00</p>")],
+                               "page_id long, url string, html string")
+    got = [tuple(r) for r in products.extract_product_fields(df).orderBy("page_id", "pos").collect()]
+    assert got == [(1, i, f"Item {i}", f"${i}.99", None, f"/i/{i}.jpg", f"about {i}") for i in range(5)] + [
+        (2, 0, None, "$1.00", None, None, "only $1.00")]

@@ -20,6 +20,8 @@ PRODUCT_SELECTORS = (
     dom.with_attr("data-product-id"), dom.by_class("search-result-item"),
 )
 MAX_SECTIONS = 50
+#: Repeated siblings that count as product records where no selector hits, at least.
+MIN_RECORDS = 2
 # Attributes that hold a product number, in the order tried.
 ID_ATTRIBUTES = ("data-product-id", "data-sku", "sku")
 HEADING_TAGS = ("h1", "h2", "h3", "h4", "h5", "h6")
@@ -42,13 +44,37 @@ def match_price_text(pages: DataFrame, pattern: str = PRICE_TEXT) -> DataFrame:
     return explode_nodes(parsed).selectExpr("page_id", "id AS node_id", "parent_id", "text")
 
 
+def repeated_records(nodes: str = "nodes", least: int = MIN_RECORDS) -> str:
+    """SQL array of the product records of a page found by structure: sibling elements of one shape (the tag paths of
+    their subtrees) that hold a price text, the longest such run of siblings, at least ``least`` of them; empty where
+    there is none. Price texts are counted by a prefix sum, and runs by one pass over candidates sorted by (parent,
+    shape), so a page costs n times its depth at most."""
+    shape = ("xxhash64(array_join(transform(filter(slice(nodes_, n.id + 1, n.last_id - n.id + 1), "
+             "e -> e.kind = 'element'), e -> concat(e.depth - n.depth, ':', e.tag)), ','))")
+    price = f"transform(nodes_, t -> if({dom.text_matches(PRICE_TEXT)('t')}, 1L, 0L))"
+    counts = dom.scan(price, lambda a, b: f"{a} + {b}")
+    candidates = ("transform(filter(nodes_, n -> n.kind = 'element' AND n.id > 0 AND seen[n.last_id] - seen[n.id] > 0), "
+                  f"n -> named_struct('parent', n.parent_id, 'shape', {shape}, 'id', n.id))")
+    best = ("aggregate(array_sort(cands), named_struct('parent', -1, 'shape', 0L, 'n', 0, 'bp', -1, 'bs', 0L, 'bn', 0, "
+            "'bid', 0), (s, c) -> bind_step, s -> s)")
+    step = ("transform(array(if(c.parent = s.parent AND c.shape = s.shape, s.n + 1, 1)), k -> named_struct("
+            "'parent', c.parent, 'shape', c.shape, 'n', k, "
+            "'bp', if(k > s.bn, c.parent, s.bp), 'bs', if(k > s.bn, c.shape, s.bs), 'bn', greatest(k, s.bn), 'bid', 0))[0]")
+    chosen = (f"if(b.bn >= {least}, transform(filter(cands, c -> c.parent = b.bp AND c.shape = b.bs), "
+              "c -> nodes_[c.id]), slice(nodes_, 1, 0))")
+    body = bind(best.replace("bind_step", step), "b", chosen)
+    return bind(nodes, "nodes_", bind(counts, "seen", bind(candidates, "cands", body)))
+
+
 def _with_sections(pages: DataFrame, limit: int | None) -> DataFrame:
-    """(page_id, nodes, sections): hits of the first matching selector, else the elements around price texts."""
+    """(page_id, nodes, sections): hits of the first matching selector, else records found by structure (repeated
+    siblings of one shape that hold prices), else the elements around price texts."""
     priced = (f"transform(filter(nodes, n -> {dom.text_matches(PRICE_TEXT)('n')}), t -> get(nodes, t.parent_id))")
-    found = f"coalesce(get(hits, 0).found, {priced})"
+    found = f"coalesce(get(hits, 0).found, if(size(records) > 0, records, {priced}))"
     return (
         parse_nodes(pages, keep=("page_id",))
         .selectExpr("page_id", "nodes", f"{first_matching()} AS hits")
+        .selectExpr("page_id", "nodes", "hits", f"if(size(hits) = 0, {repeated_records()}, slice(nodes, 1, 0)) AS records")
         .selectExpr("page_id", "nodes", f"{found if limit is None else f'slice({found}, 1, {limit})'} AS sections")
     )
 

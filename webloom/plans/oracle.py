@@ -389,14 +389,16 @@ _RESULTS: dict[str, str] = {
     "extract_products_text": f"""WITH {PARTS} SELECT p_partkey // {I.PARTS_PER_TEXT} AS text_id,
         row_number() OVER (PARTITION BY p_partkey // {I.PARTS_PER_TEXT} ORDER BY p_partkey) - 1 AS pos,
         {PRODUCT_NAME} AS name, {RANGE_PRICE} AS price FROM parts""",
+    # Pages of plain cards (n % 4 = 3) give their records by structure where they hold two cards or more.
     "extract_product_sections": f"""WITH {PARTS} SELECT n AS page_id, i AS pos,
-        17 + 9 * i + CASE WHEN n % 4 = 3 THEN 7 ELSE 0 END AS node_id,
-        CASE WHEN n % 4 = 3 THEN '<span>$' || price || '</span>' ELSE {CARD_HTML} END AS section
+        17 + 9 * i + CASE WHEN n % 4 = 3 AND c < 2 THEN 7 ELSE 0 END AS node_id,
+        CASE WHEN n % 4 = 3 AND c < 2 THEN '<span>$' || price || '</span>' ELSE {CARD_HTML} END AS section
         FROM parts""",
-    "extract_product_fields": f"""WITH {PARTS} SELECT n AS page_id, i AS pos, CASE WHEN n % 4 < 3 THEN p_name END AS name,
+    "extract_product_fields": f"""WITH {PARTS} SELECT n AS page_id, i AS pos,
+        CASE WHEN n % 4 < 3 OR c >= 2 THEN p_name END AS name,
         '$' || price AS price, CASE WHEN n % 4 < 3 THEN p_partkey::VARCHAR END AS id,
-        CASE WHEN n % 4 < 3 THEN '/img/' || p_partkey || '.jpg' END AS image_url,
-        CASE WHEN n % 4 < 3 THEN p_brand || ' ' || p_type END AS description FROM parts""",
+        CASE WHEN n % 4 < 3 OR c >= 2 THEN '/img/' || p_partkey || '.jpg' END AS image_url,
+        CASE WHEN n % 4 < 3 OR c >= 2 THEN p_brand || ' ' || p_type END AS description FROM parts""",
     "score_urls": f"SELECT {HOST} AS site, url, {SCORE} AS score FROM pages",
     "content_density": f"""WITH {TEXTS} SELECT page_id, round(length(text) / length(html)::DOUBLE, 6) AS density
         FROM pages JOIN texts USING (page_id)""",
