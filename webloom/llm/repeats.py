@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from webloom.llm.common import stored
 from webloom.operators.batches import pieces
 
 #: Least number of words of a removed run of sentences inside lines.
@@ -145,7 +146,8 @@ def drop_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     """
     rows = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text"))
     kind = dict(rows.dtypes)["doc_id"]
-    seen = _occurrences(rows)
+    # Written once: the grouping and the join below would otherwise each run the Python pass over all texts.
+    seen = stored(_occurrences(rows))
     rank = F.struct("doc_id", "start")
     # Combined before it moves, so a unit in every document costs a row per task.
     sentence, whole = (F.col("what").bitwiseAND(kind_of) != 0 for kind_of in (_SENTENCE, _WHOLE))
