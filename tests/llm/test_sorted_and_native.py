@@ -4,6 +4,7 @@ import hashlib
 import re
 from collections import Counter, defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.tables import ROWS, documents, empty
@@ -33,11 +34,14 @@ def test_exact_dedup(spark):
     assert exact_dedup.exact_dedup(empty(spark)).count() == 0
 
 
-def test_exact_dedup_hot_group(spark):
-    rows = [(i, "same text" if i % 2 else f"text {i}", "en", "a") for i in range(2000)]
-    got = exact_dedup.exact_dedup(documents(spark, rows)).select("row.doc_id", "keep_id", "group_size", "kept").collect()
-    assert len(got) == 2000 and sum(r["kept"] for r in got) == 1001
-    assert {(r["keep_id"], r["group_size"]) for r in got if r["doc_id"] % 2} == {(1, 1000)}
+@pytest.mark.parametrize("n", [2000, 12000])
+def test_exact_dedup_hot_group(spark, n):
+    """2,000 rows: the copies take the sorted path; 12,000: a group above MIN_SHARE takes the counted one."""
+    rows = [(i, "same  text" if i % 2 else f"text {i}", "en", "a") for i in range(n)]
+    result = exact_dedup.exact_dedup(documents(spark, rows))
+    got = result.select("row.doc_id", "keep_id", "group_size", "kept").collect()
+    assert len(got) == n and sum(r["kept"] for r in got) == n // 2 + 1
+    assert {(r["keep_id"], r["group_size"]) for r in got if r["doc_id"] % 2} == {(1, n // 2)}
 
 
 def test_exact_dedup_keeps_columns(spark):

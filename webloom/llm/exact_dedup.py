@@ -3,8 +3,8 @@
 Texts are normalised and range-partitioned by Spark's sampled splitters; the external sort of each partition places
 equal texts next to each other, and a window compares neighbours in full. Splitters are the first characters of a text
 and its digest, so the sample that Spark gathers on the driver has a bounded size however long texts are. A text that fills more than its share of a
-partition is found first, with counts that are combined before they move, and is dealt out in slices, so no task
-receives a whole hot group.
+partition (and ``MIN_SHARE`` rows) is found first, with counts of its digest that are combined before they move, and is
+dealt out in slices, so no task receives a whole hot group; its rows are still compared in full within each slice.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from webloom.llm.common import one_space, shuffle_partitions
 
 HEAD_CHARS = 32
+#: Rows a group of copies must exceed before its counts come from digests; below, it is sorted and compared in full.
+MIN_SHARE = 4096
 
 
 def exact_dedup(docs: DataFrame, carry: Sequence[str] = ("doc_id",), id_column: str = "doc_id",
@@ -32,8 +34,9 @@ def exact_dedup(docs: DataFrame, carry: Sequence[str] = ("doc_id",), id_column:
     base = docs.select(F.struct(*[F.col(c) for c in carry]).alias("row"), F.col(id_column).alias("id"),
                        norm.alias("norm"), F.sha2(norm, 256).alias("sha"))
     parts = shuffle_partitions(docs.sparkSession)
-    share = max(1, docs.count() // (2 * parts))
-    # Groups above half a partition's share: fewer than 2 * parts + 2 of them, whatever the input.
+    share = max(MIN_SHARE, docs.count() // (2 * parts))
+    # Groups above half a partition's share (and above MIN_SHARE rows): fewer than 2 * parts + 2 of them, whatever the
+    # input. Smaller groups, and all groups of small tables, are compared in full on the sorted path.
     hot = (
         docs.select(F.col(id_column).alias("id"), F.sha2(norm, 256).alias("hot_sha"))
         .groupBy("hot_sha").agg(F.min("id").alias("hot_keep"), F.count("*").alias("hot_size"))
