@@ -539,8 +539,10 @@ def q_url_extract_rules(spark, sf):
 
 @query
 def q_parse_nodes(spark, sf):
+    """Nodes of every kind per page: elements by tag, the others (document, doctype, comment, text) by kind alone."""
     nodes = explode_nodes(parse_nodes(I.pages(spark, sf), keep=("page_id",)))
-    return nodes.filter("kind = 'element'").groupBy("page_id", "tag").agg(F.count("*").alias("n"))
+    tag = F.when(F.col("kind") == "element", F.col("tag")).alias("tag")
+    return nodes.groupBy("page_id", "kind", tag).agg(F.count("*").alias("n"))
 
 
 @query

@@ -375,9 +375,14 @@ _RESULTS: dict[str, str] = {
         row_number() OVER (PARTITION BY page_id ORDER BY place) - 1 AS pos, url FROM page_urls""",
     "url_extract_rules": f"""WITH {PARTS}, {SHOP_URLS} SELECT page_id, category, {shop_url('path')} AS url
         FROM shop_urls""",
-    "parse_nodes": """SELECT page_id, tag, count(*) AS n FROM (
+    "parse_nodes": """SELECT page_id, 'element' AS kind, tag, count(*) AS n FROM (
         SELECT page_id, unnest(regexp_extract_all(regexp_replace(html, '(?s)<script>.*?</script>', '<script>', 'g'),
-            '<([a-z][a-z0-9]*)', 1)) AS tag FROM pages) GROUP BY ALL""",
+            '<([a-z][a-z0-9]*)', 1)) AS tag FROM pages) GROUP BY ALL
+        UNION ALL SELECT page_id, kind, NULL AS tag, n FROM (SELECT page_id, 1 AS document,
+            len(regexp_extract_all(html, '<!--')) AS comment, len(regexp_extract_all(html, '(?i)<!doctype')) AS doctype,
+            len(regexp_extract_all(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '<c>', 'g'),
+                '(?s)<(script|style)[^>]*>.*?</(script|style)>', '<s>x</s>', 'g'), '>[^<]+')) AS text FROM pages)
+        UNPIVOT (n FOR kind IN (document, comment, doctype, text)) WHERE n > 0""",
     "chunk_text": f"""WITH line_parts AS (
             SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
                 generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents),
