@@ -2,6 +2,7 @@
 
 import hashlib
 import os
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -12,6 +13,7 @@ from hypothesis import strategies as st
 
 from tests.llm.tables import ROWS, TOKENIZERS, documents, empty
 from webloom.llm import chat_format, huffman, pieces, queries, token_files
+from webloom.llm.words import large_slices
 
 WORD_BPE, PIECES = f"{TOKENIZERS}/word_bpe_49k.json", f"{TOKENIZERS}/piece_bpe_32k.model"
 has_tokenizers = pytest.mark.skipif(not os.path.isdir(TOKENIZERS), reason="tokenizer files are not here")
@@ -110,6 +112,23 @@ def test_draws_follow_the_lattice():
     assert (again == ids[begins[100]:ends[149]]).all()
 
 
+@has_tokenizers
+def test_memory_of_a_worker_is_bounded():
+    """What a worker holds beside its input while it encodes and decodes 1 MB of words that hardly repeat."""
+    letters = np.random.default_rng(5).integers(97, 123, (64, 1 << 14), np.uint8)
+    letters[:, ::9] = 32
+    texts = pa.RecordBatch.from_arrays([pa.array([row.tobytes().decode().strip() for row in letters])], ["text"])
+    model, at = pieces.Lattice(PIECES, 0.5), 0
+    tracemalloc.start()
+    for part in large_slices(iter([texts]), 0, pieces.SLICE_BYTES):
+        ids, ends = model.sample(part.column(0), np.arange(at, at + part.num_rows))
+        assert model.decode(ids, np.concatenate([[0], ends])) == part.column(0).to_pylist()
+        at += part.num_rows
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert at == 64 and peak < 130e6
+
+
 @has_tokenizers
 def test_long_stretches_follow_the_same_lattice():
     model = pieces.Lattice(PIECES, 0.5)

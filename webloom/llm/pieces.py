@@ -31,8 +31,10 @@ MEMO_UNITS = 80_000
 _STRETCH = re.compile(r" *[^ \n]+|\n| +")
 _MARK = "\x1f"
 _PER_CHAR = 8.0
-BUILT_AT_ONCE = 16_384
-SLICE_BYTES = 4 << 20
+#: What a worker holds at a time grows with these two, results do not depend on them.
+BUILT_AT_ONCE = 4096
+SLICE_BYTES = 1 << 19
+_EDGE = np.dtype([("share", "<f8"), ("start", "<i4"), ("code", "<i4")])
 _models: dict[tuple[str, float], "Lattice"] = {}
 
 
@@ -114,8 +116,8 @@ class Lattice:
             found.append((end - 1, self._other(text[end - 1]), _PER_CHAR / self.size))
         return found
 
-    def _built(self, words: list[str]) -> list[tuple[bytes, bytes, bytes, bytes]]:
-        """Of each word, its edges by end: how many, their running shares, starts and codes. Each length of piece is
+    def _built(self, words: list[str]) -> list[tuple[bytes, bytes]]:
+        """Of each word, its edges by end: how many, and their running shares, starts and codes. Each length of piece is
         looked up for all places of all words at once, and forward sums are made for all words together."""
         chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
         sizes = np.fromiter(map(len, words), np.int64, len(words))
@@ -168,12 +170,13 @@ class Lattice:
         edge_ends = np.cumsum(counts)
         share -= np.repeat(np.concatenate([[0.0], share[edge_ends[:-1] - 1]]), counts)
         share[edge_ends - 1] = 1.0
-        counts_b, share_b = counts.astype(np.int32).tobytes(), share.tobytes()
-        start_b, code_b = (place - size).astype(np.int32).tobytes(), code.astype(np.int32).tobytes()
+        edges = np.empty(len(share), _EDGE)
+        edges["share"], edges["start"], edges["code"] = share, place - size, code
+        counts_b, edges_b, width = counts.astype(np.int32).tobytes(), edges.tobytes(), _EDGE.itemsize
         last = edge_ends[word_ends - 1].tolist()
         result, c, e = [], 0, 0
         for d, f in zip(word_ends.tolist(), last):
-            result.append((counts_b[4 * c:4 * d], share_b[8 * e:8 * f], start_b[4 * e:4 * f], code_b[4 * e:4 * f]))
+            result.append((counts_b[4 * c:4 * d], edges_b[width * e:width * f]))
             c, e = d, f
         return result
 
@@ -205,7 +208,7 @@ class Lattice:
         rows = np.repeat(np.arange(len(texts)), np.diff(first))
         inside = np.arange(len(places)) - first[rows]
         words = distinct.to_pylist()
-        known = {w: self.memo[w] if len(w) <= LONG else (b"", b"", b"", b"") for w in words}
+        known = {w: self.memo[w] if len(w) <= LONG else (b"", b"") for w in words}
         new = [w for w, got in known.items() if got is None]
         for begin in range(0, len(new), BUILT_AT_ONCE):
             part = new[begin:begin + BUILT_AT_ONCE]
@@ -216,9 +219,8 @@ class Lattice:
         nodes = np.array([len(b[0]) for b in built], np.int64) // 4
         node_base = np.cumsum(nodes) - nodes
         counts = np.frombuffer(b"".join(b[0] for b in built), np.int32)
-        shares = np.frombuffer(b"".join(b[1] for b in built))
-        starts = np.frombuffer(b"".join(b[2] for b in built), np.int32)
-        codes = np.frombuffer(b"".join(b[3] for b in built), np.int32)
+        edges = np.frombuffer(b"".join(b[1] for b in built), _EDGE)
+        shares, starts, codes = edges["share"], edges["start"], edges["code"]
         edge_base = np.cumsum(counts) - counts
         # All occurrences step back together.
         taken_by, taken, taken_step = [], [], []
