@@ -1,11 +1,13 @@
 import random
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import brute
 from webloom.functions import dom
-from webloom.operators import chunks, links, sections
+from webloom.operators import batches, chunks, links, nodes, sections
 from webloom.operators.nodes import explode_nodes, parse_nodes
 
 BASE = "https://shop.example.com/a/b?c=1"
@@ -258,3 +260,14 @@ def test_plain_reader_and_parser_build_the_same_tree():
         if done:
             assert quick == list(tree(page, with_parser)[1:]), page
     assert plain > 3000
+
+
+def test_a_piece_holds_little_whatever_the_table():
+    """A worker parses pieces of a large batch: what it holds for one of them does not grow with the batch."""
+    page = "<body>" + "".join(f'<div class="card" data-id="{k}"><h2>n {k}</h2><p>b</p></div>' for k in range(200)) + "</body>"
+    batch = pa.RecordBatch.from_arrays([pa.array([page] * 150)], ["html"])
+    tracemalloc.start()
+    sizes = [len(nodes._nodes_array(p.column(0), True, {}, True)) for p in batches.pieces(iter([batch]), 0)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(sizes) == 150 and peak < 25e6

@@ -8,11 +8,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 _ROWS = 512
-_BYTES = 8 << 20
+#: Parsed nodes take about twenty times the text of their pages, so this sets what a worker holds beside its input.
+_BYTES = 1 << 19
 
 
 def pieces(batches: Iterator[pa.RecordBatch], text_column: int) -> Iterator[pa.RecordBatch]:
-    """Slices of at most 512 rows and, unless one row is larger, 8 MB of text, so output stays small whatever the
+    """Slices of at most 512 rows and, unless one row is larger, 512 KB of text, so output stays small whatever the
     size of a page."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(text_column)), 0).to_pylist()
