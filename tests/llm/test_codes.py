@@ -1,5 +1,6 @@
 """Token files, sampled pieces and chat formatting: exact round trips."""
 
+import functools
 import hashlib
 import os
 import tracemalloc
@@ -64,6 +65,40 @@ def test_token_files(spark):
     assert token_files.token_files(empty(spark), WORD_BPE).count() == 0
 
 
+@has_tokenizers
+def test_runs_of_letters_are_asked_for_once():
+    """Capitals and closing punctuation of any kind make no new units, and ids stay those of whole texts."""
+    encoder = token_files._WordEncoder(WORD_BPE)
+    texts = ["Theandble*** theandble&&& THEANDBLE. theandble", "ÉTRE### étre e\u0301tre", None, "", " \n ",
+             "İa a\u0301. x<|endoftext|> <|startoftext|>y don't 'Tis a=\u0338b ß%% \u00aab\u00ba ÿ Σας \u212a café\u0301",
+             "10.2.3.4 a_b x-y... (the) \u00a0nbsp \x1c日本語。 …!? µm Ǆx ŒUVRE"]
+    asked = token_files._units(token_files.split_words(pa.array(texts[:1]))[0])[0].to_pylist()
+    assert sorted(asked) == ["", "&&&", "***", ".", "theandble"]
+    for part in (texts, texts[2:5], [], texts[::-1]):
+        ids, ends = encoder.encode(pa.array(part, pa.string()), 1)
+        want = [[*encoder.tokenizer.encode(t or "", add_special_tokens=False).ids, 1] for t in part]
+        assert [x.tolist() for x in np.split(ids, ends)[:-1]] == want
+    sliced, ends = encoder.encode(pa.array(texts).slice(1, 4), 1)
+    assert [len(x) for x in np.split(sliced, ends)[:-1]] == [
+        len(encoder.tokenizer.encode(t or "", add_special_tokens=False).ids) + 1 for t in texts[1:5]]
+
+
+@functools.cache
+def word_encoder():
+    return token_files._WordEncoder(WORD_BPE)
+
+
+@has_tokenizers
+@given(st.lists(st.text(st.characters(exclude_categories=["Cs"]), max_size=40), max_size=5),
+       st.lists(st.sampled_from(["The", "é", "É", "\u0301", "'s", "'", "***", ".", " ", "<|endoftext|>", "1", "ß", "İ"]), max_size=12))
+@settings(max_examples=150, deadline=None)
+def test_ids_of_any_text(texts, chosen):
+    encoder, texts = word_encoder(), [*texts, "".join(chosen)]
+    ids, ends = encoder.encode(pa.array(texts, pa.string()), 1)
+    assert [x.tolist() for x in np.split(ids, ends)[:-1]] == [
+        [*encoder.tokenizer.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+
+
 @has_tokenizers
 def test_pieces_are_lossless(spark):
     got = pieces.round_trip(documents(spark), PIECES).collect()

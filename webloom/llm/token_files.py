@@ -1,6 +1,6 @@
 """Token ids in binary files: canonical length-limited Huffman codes from global counts.
 
-Texts are encoded where they lie, each distinct word of a batch once. The counts of all ids give one code book; ids are
+Texts are encoded where they lie, each distinct run of letters or other unit of a batch once. The counts of all ids give one code book; ids are
 placed in order of document id and written in blocks that can be read alone. A block is a row of a Parquet file: code
 bits, bit offsets of every 64th id, and the ids and lengths of its documents. Spark's writer commits the files, so lost
 executors leave no half-written block.
@@ -8,18 +8,21 @@ executors leave no half-written block.
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from webloom.llm.common import shared_folder, shuffle_partitions, stored
 from webloom.llm.huffman import Decoder, canonical_codes, code_lengths, pack
-from webloom.llm.words import Memo, gather, large_slices, split_words
+from webloom.llm.words import Memo, large_slices, split_words
 
 END_ID = 1
 BLOCK_IDS = 1 << 19
@@ -35,14 +38,22 @@ def _id_type(vocabulary: int) -> str:
     return "<u2" if vocabulary <= 1 << 16 else "<u4"
 
 
-def _cut(word: str) -> tuple[str, str]:
-    """A word and its closing ASCII punctuation, which the tokenizer never joins to a letter before it. It also reads
-    capitals as small letters, so plain ASCII words are asked for once; special tokens are left as written. Letters
-    beyond Latin-1 may turn into letter and mark when normalised, so words that end in one are not cut."""
-    body = word.rstrip(".,;:!?)")
-    if not body or not body[-1].isalpha() or body[-1] > "\xff":
-        return word, ""
-    return (body.lower() if body.isascii() and "<" not in body else body), word[len(body):]
+#: A run of letters up to Latin-1 and the ASCII punctuation behind it.
+_PLAIN = r"^(?P<body>[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{ff}]+)(?P<tail>[!-/:-@\[-`{-~]*)$"
+_LETTERS = re.compile(r"[a-z\xdf-\xf6\xf8-\xff]+")
+
+
+def _units(words: pa.Array) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """(distinct units, place of each word's first one in them, place of its second one). The tokenizer reads capitals as
+    small letters and never joins a letter to punctuation behind it, so plain words fall into small letters and closing
+    punctuation. Letters beyond Latin-1 may turn into letter and mark when normalised, and special tokens hold letters
+    behind punctuation: words with either are units as written, with an empty second one."""
+    cut = pc.extract_regex(words, _PLAIN)
+    plain = pc.is_valid(cut)
+    body = pc.if_else(plain, pc.utf8_lower(pc.struct_field(cut, "body")), words)
+    tail = pc.if_else(plain, pc.struct_field(cut, "tail"), "")
+    coded = pa.concat_arrays([body, tail]).dictionary_encode()
+    return coded.dictionary, coded.indices.slice(0, len(words)), coded.indices.slice(len(words))
 
 
 class _WordEncoder:
@@ -51,42 +62,59 @@ class _WordEncoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        # Tasks already share out the cores.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.kind = _id_type(self.vocabulary)
         self.memo = _memo.setdefault(path, Memo(MEMO_WORDS))
-
-    def ids_of(self, words: list[str]) -> list[bytes]:
-        memo = self.memo
-        found = [memo[w] for w in words]
-        unknown = [i for i, ids in enumerate(found) if ids is None]
-        cuts = [_cut(words[i]) for i in unknown]
-        known = {part: memo[part] for cut in cuts for part in cut}
-        new = [part for part, ids in known.items() if ids is None]
-        for at in range(0, len(new), 8192):
-            asked = new[at:at + 8192]
-            coded = self.tokenizer.encode(asked, is_pretokenized=True, add_special_tokens=False)
-            owner = np.array([-1 if w is None else w for w in coded.word_ids], np.int64)
-            ids = np.array(coded.ids, np.uint32).tobytes()
-            ends = (4 * np.searchsorted(owner, np.arange(len(asked) + 1))).tolist()
-            for part, a, b in zip(asked, ends[:-1], ends[1:]):
-                known[part] = ids[a:b]
-                memo.keep(part, ids[a:b])
-        for i, (body, tail) in zip(unknown, cuts):
-            found[i] = known[body] + known[tail]
-            if body != words[i]:
-                memo.keep(words[i], found[i])
+        # Ids that close a run of letters, where the model marks them.
+        mark = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.closes = np.zeros(self.vocabulary, bool)
+        if mark:
+            self.closes[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(mark)]] = True
+
+    def _spaced(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """(ids, where each run's end) of runs of letters read as one text; nothing if their ends do not show."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(runs)], add_special_tokens=False)[0].ids, np.int64)
+        ends = np.flatnonzero(self.closes[ids]) + 1
+        return (ids, ends) if len(ends) == len(runs) and ends[-1] == len(ids) else None
+
+    def _apart(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, where each unit's end) of any units."""
+        coded = self.tokenizer.encode(units, is_pretokenized=True, add_special_tokens=False)
+        owner = np.array([-1 if w is None else w for w in coded.word_ids], np.int64)
+        return np.array(coded.ids, np.int64), np.searchsorted(owner, np.arange(1, len(units) + 1))
+
+    def ids_of(self, units: list[str]) -> list[bytes]:
+        memo, width = self.memo, np.dtype(self.kind).itemsize
+        found = [memo[u] for u in units]
+        new = [i for i, ids in enumerate(found) if ids is None]
+        runs = [i for i in new if _LETTERS.fullmatch(units[i])]
+        others = sorted(set(new).difference(runs))
+        for places, spaced in ((runs, True), (others, False)):
+            for at in range(0, len(places), 8192):
+                asked = places[at:at + 8192]
+                texts = [units[i] for i in asked]
+                ids, ends = spaced and self._spaced(texts) or self._apart(texts)
+                raw, begin = ids.astype(self.kind).tobytes(), 0
+                for i, text, end in zip(asked, texts, (width * ends).tolist()):
+                    found[i] = raw[begin:end]
+                    memo.keep(text, found[i])
+                    begin = end
         return found
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, where each text's end), ``end_id`` after each text."""
         distinct, places, first = split_words(texts)
-        coded = self.ids_of(distinct.to_pylist())
-        coded.append(np.array([end_id], np.uint32).tobytes())
-        flat = np.frombuffer(b"".join(coded), np.uint32)
-        sizes = np.array([len(c) for c in coded], np.int64) // 4
-        order = np.insert(places, first[1:], len(coded) - 1)
-        taken, ends = gather(np.cumsum(sizes) - sizes, sizes, order)
-        return flat[taken], ends[first[1:] + np.arange(len(first) - 1)]
+        units, body, tail = _units(distinct)
+        coded = pa.array(self.ids_of(units.to_pylist()), pa.large_binary())
+        words = pc.binary_join_element_wise(coded.take(body), coded.take(tail), pa.scalar(b"", pa.large_binary()))
+        words = pa.concat_arrays([words, pa.array([np.array([end_id], self.kind).tobytes()], pa.large_binary())])
+        taken = words.take(pa.array(np.insert(places, first[1:], len(words) - 1)))
+        _, offsets, data = taken.buffers()
+        ends = np.frombuffer(offsets, np.int64)[taken.offset:][first[1:] + np.arange(1, len(first))]
+        return np.frombuffer(data or b"", self.kind), ends // np.dtype(self.kind).itemsize
 
 
 def token_ids(docs: DataFrame, tokenizer_path: str, id_column: str = "doc_id", text_column: str = "text",
@@ -95,14 +123,12 @@ def token_ids(docs: DataFrame, tokenizer_path: str, id_column: str = "doc_id", t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _WordEncoder(tokenizer_path)
-        kind = _id_type(encoder.vocabulary)
         for batch in large_slices(batches, 1):
             ids, ends = encoder.encode(batch.column(1), end_id)
             begins = np.concatenate([[0], ends[:-1]])
-            small = ids.astype(kind)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(ends - begins),
-                 pa.array([small[a:b].tobytes() for a, b in zip(begins.tolist(), ends.tolist())], pa.binary())],
+                 pa.array([ids[a:b].tobytes() for a, b in zip(begins.tolist(), ends.tolist())], pa.binary())],
                 ["doc_id", "n_tokens", "ids"])
 
     return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text")) \
@@ -116,8 +142,8 @@ def id_counts(tokens: DataFrame, vocabulary: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(vocabulary, np.int64)
         for batch in batches:
-            for value in batch.column(0):
-                counts += np.bincount(np.frombuffer(value.as_py(), kind), minlength=vocabulary)
+            joined = b"".join(batch.column(0).to_pylist())
+            counts += np.bincount(np.frombuffer(joined, kind), minlength=vocabulary)
         used = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used])], ["id", "n"])
 
