@@ -27,7 +27,7 @@ from webloom.llm.words import Memo, gather, indexed, large_slices
 SHARPNESS = 0.5
 #: Longer stretches are walked one by one and not remembered.
 LONG = 48
-MEMO_UNITS = 80_000
+MEMO_UNITS = 30_000
 _STRETCH = re.compile(r" *[^ \n]+|\n| +")
 _MARK = "\x1f"
 _PER_CHAR = 8.0
@@ -352,6 +352,8 @@ def round_trip(docs: DataFrame, model_path: str, id_column: str = "doc_id", text
                 columns.append(pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.astype(np.int32))))
                 names.append("pieces")
             yield pa.RecordBatch.from_arrays(columns, names)
+        # Workers outlive their tasks: what Arrow keeps for later would count against the next stage.
+        pa.default_memory_pool().release_unused()
 
     text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
     schema = f"doc_id {kind}, n_pieces long, pieces_sha256 string, decoded_sha256 string, lossless boolean"
