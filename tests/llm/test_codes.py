@@ -3,6 +3,7 @@
 import functools
 import hashlib
 import os
+import sys
 import tracemalloc
 import zlib
 
@@ -164,6 +165,25 @@ def test_memory_of_a_worker_is_bounded():
     assert at == 64 and peak < 130e6
 
 
+@has_tokenizers
+def test_no_python_step_per_stretch():
+    """Calls while a slice of 20,000 different words is sampled: they follow the slices, not the words."""
+    letters = np.random.default_rng(6).integers(97, 123, (20, 8000), np.uint8)
+    letters[:, ::8] = 32
+    texts = pa.array([row.tobytes().decode() for row in letters])
+    model, calls = pieces.Lattice(PIECES, 0.5), 0
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += event in ("call", "c_call")
+
+    sys.setprofile(count)
+    ids, ends = model.sample(texts, np.arange(20))
+    sys.setprofile(None)
+    assert model.decode(ids, np.concatenate([[0], ends])) == texts.to_pylist()
+    assert calls < 5000
+
+
 @has_tokenizers
 def test_long_stretches_follow_the_same_lattice():
     model = pieces.Lattice(PIECES, 0.5)

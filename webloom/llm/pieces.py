@@ -4,7 +4,8 @@ A text is a dummy space and its characters. Every vocabulary piece that matches
 that no piece holds is the edge of its bytes. The weight of a piece falls with its rank. Forward sums give the share of
 all weighted paths that reach a place; a path is then drawn backwards from the end. No piece has a space behind another
 character or a line break, so the lattice falls apart at these places, and the sums of a stretch are made once for all
-its occurrences. Draws are hashes of the row key, the stretch and the step, so they depend on nothing else.
+its occurrences in a slice. Edges are found by walking a trie of the pieces from all places at once, and stay in arrays:
+a worker remembers no stretch from slice to slice, since most of them do not come again. Draws are hashes of the row key, the stretch and the step, so they depend on nothing else.
 """
 
 from __future__ import annotations
@@ -20,28 +21,37 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.hashing import U64, mixed, prefix_hashes, span_hashes
-from webloom.llm.words import Memo, gather, indexed, large_slices
+from webloom.llm.hashing import U64, mixed
+from webloom.llm.words import gather, indexed, large_slices
 
 #: Exponent of the piece weights: 0 draws all paths alike, larger values prefer frequent pieces.
 SHARPNESS = 0.5
-#: Longer stretches are walked one by one and not remembered.
+#: Longer stretches are walked one by one.
 LONG = 48
-MEMO_UNITS = 30_000
 _STRETCH = re.compile(r" *[^ \n]+|\n| +")
 _MARK = "\x1f"
 _PER_CHAR = 8.0
-#: What a worker holds at a time grows with these two, results do not depend on them.
-BUILT_AT_ONCE = 4096
-SLICE_BYTES = 1 << 19
-_EDGE = np.dtype([("share", "<f8"), ("start", "<i4"), ("code", "<i4")])
+#: What a worker holds at a time grows with these two, results do not depend on them. Places of the characters whose
+#: lattices are built together fit 16 bits.
+CHARS_AT_ONCE = 60_000
+SLICE_BYTES = 1 << 20
+_SPREAD = U64(0x9E3779B97F4A7C15)
+_SLOT_BITS = 20
 _models: dict[tuple[str, float], "Lattice"] = {}
 
 
-def _draws(row_keys: np.ndarray, stretch: np.ndarray, step: np.ndarray) -> np.ndarray:
+def _seeds(row_keys: np.ndarray, stretch: np.ndarray) -> np.ndarray:
+    return mixed(row_keys.astype(np.int64).view(U64) + stretch.astype(U64) * U64(0x9E3779B97F4A7C15))
+
+
+def _draws(seeds: np.ndarray, step: np.ndarray) -> np.ndarray:
     """Uniform numbers in [0, 1)."""
-    seed = mixed(row_keys.astype(np.int64).view(U64) + stretch.astype(U64) * U64(0x9E3779B97F4A7C15))
-    return (mixed(seed + (step.astype(U64) + U64(1)) * U64(0xD1B54A32D192ED03)) >> U64(11)) * 2.0 ** -53
+    return (mixed(seeds + (step.astype(U64) + U64(1)) * U64(0xD1B54A32D192ED03)) >> U64(11)) * 2.0 ** -53
+
+
+def _spread(nodes: np.ndarray, chars: np.ndarray) -> np.ndarray:
+    """Different numbers for all pairs of a node and a character; their first bits are well spread."""
+    return ((nodes.astype(U64) << U64(21)) | chars) * _SPREAD
 
 
 def _chosen(edge: np.ndarray, shares: np.ndarray, draws: np.ndarray) -> np.ndarray:
@@ -54,7 +64,7 @@ def _chosen(edge: np.ndarray, shares: np.ndarray, draws: np.ndarray) -> np.ndarr
 
 
 class Lattice:
-    """The pieces of a model and the remembered lattices of stretches."""
+    """The pieces of a model, and lattices of stretches by them."""
 
     def __init__(self, path: str, sharpness: float):
         import sentencepiece
@@ -81,23 +91,55 @@ class Lattice:
         self.code_weight = np.zeros(self.size)
         for code, weight in self.weight.values():
             self.code_weight[code] = weight
-        sizes = np.array(list(map(len, self.weight)), np.int64)
-        ends = np.cumsum(sizes)
-        summed = prefix_hashes(np.frombuffer("".join(self.weight).encode("utf-32-le"), np.uint32))
-        keys = span_hashes(summed, ends - sizes, ends)
-        codes = np.array([c for c, _ in self.weight.values()], np.int64)
-        by = np.argsort(keys)
-        self.keys, self.key_codes = keys[by], codes[by]
-        self.seen = np.zeros(1 << 20, bool)
-        self.seen[keys >> U64(44)] = True
+        self._plant()
         self.raw = np.frombuffer(b"".join(raw), np.uint8)
         self.raw_sizes = np.array([len(r) for r in raw], np.int64)
         self.raw_starts = np.cumsum(self.raw_sizes) - self.raw_sizes
-        self.memo = Memo(MEMO_UNITS)
         # Codes from ``size`` on stand for characters without a piece.
         self.other: dict[str, int] = {}
         self.code_ids: list[list[int]] = []
 
+    def _plant(self) -> None:
+        """The trie of the pieces. The node under ``node`` by ``char`` stands in ``links`` at its spread key; ``slots`` says
+        where links with the same first bits begin."""
+        nodes: dict[tuple[int, str], int] = {}
+        code_of, inner = [-1], [False]
+        for text, (code, _) in self.weight.items():
+            node = 0
+            for char in text:
+                inner[node] = True
+                below = nodes.get((node, char))
+                if below is None:
+                    below = nodes[node, char] = len(code_of)
+                    code_of.append(-1)
+                    inner.append(False)
+                node = below
+            code_of[node] = code
+        self.code_of, self.inner = np.array(code_of, np.int32), np.array(inner)
+        links = _spread(np.array([n for n, _ in nodes], U64), np.array([ord(c) for _, c in nodes], np.uint32))
+        by = np.argsort(links)
+        self.links, self.below = links[by], np.array(list(nodes.values()), np.int32)[by]
+        slot = self.links >> U64(64 - _SLOT_BITS)
+        first = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]]))
+        self.slots = np.full(1 << _SLOT_BITS, -1, np.int32)
+        self.slots[slot[first]] = first
+        self.most_in_slot = int(np.diff(np.append(first, len(slot))).max())
+
+    def _step(self, nodes: np.ndarray, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which of the nodes have a node below them by their character, that node)."""
+        links = _spread(nodes, chars)
+        at = self.slots[links >> U64(64 - _SLOT_BITS)]
+        maybe = np.flatnonzero(at >= 0)
+        at, links = at[maybe], links[maybe]
+        same = self.links[at] == links
+        rest = np.flatnonzero(~same)
+        for _ in range(1, self.most_in_slot):
+            at[rest] = np.minimum(at[rest] + 1, len(self.links) - 1)
+            hit = self.links[at[rest]] == links[rest]
+            same[rest[hit]] = True
+            rest = rest[~hit]
+        return maybe[same], self.below[at[same]]
+
     def _other(self, char: str) -> int:
         code = self.other.get(char)
         if code is None:
@@ -116,40 +158,37 @@ class Lattice:
             found.append((end - 1, self._other(text[end - 1]), _PER_CHAR / self.size))
         return found
 
-    def _built(self, words: list[str]) -> list[tuple[bytes, bytes]]:
-        """Of each word, its edges by end: how many, and their running shares, starts and codes. Each length of piece is
-        looked up for all places of all words at once, and forward sums are made for all words together."""
-        chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
+    def _built(self, chars: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(number of edges that end behind each character; running share, start in the word, code of each edge) of words
+        of some ``sizes``, edges by end and start. All places of all words walk down the trie together, and forward sums
+        are made for all words together."""
         word_ends = np.cumsum(sizes)
-        begin = np.repeat(word_ends - sizes, sizes)
-        ends = np.arange(1, len(chars) + 1)
-        offset = ends - begin
-        summed = prefix_hashes(chars)
-        found_end, found_size, found_code = [], [], []
+        offset = np.arange(1, len(chars) + 1) - np.repeat(word_ends - sizes, sizes)
+        left = np.repeat(word_ends, sizes)
+        found = []
+        start, nodes = np.arange(len(chars)), np.zeros(len(chars), np.int32)
         for size in range(1, self.longest + 1):
-            end = ends[offset >= size]
-            if not len(end):
-                break
-            key = span_hashes(summed, end - size, end)
-            maybe = np.flatnonzero(self.seen[key >> U64(44)])
-            at = np.searchsorted(self.keys, key[maybe])
-            at[at == len(self.keys)] = 0
-            same = self.keys[at] == key[maybe]
-            hit, code = end[maybe[same]], self.key_codes[at[same]]
+            which, nodes = self._step(nodes, chars[start + (size - 1)])
+            start = start[which]
+            code = self.code_of[nodes]
+            hit = np.flatnonzero(code >= 0)
+            ends, code = start[hit] + size, code[hit]
             if size == 1:
-                bare = np.ones(len(chars) + 1, bool)
-                bare[hit] = False
-                bare[0] = False
+                bare = np.ones(len(chars), bool)
+                bare[ends - 1] = False
                 lost = np.flatnonzero(bare)
-                unique, which = np.unique(chars[lost - 1], return_inverse=True)
-                others = np.array([self._other(chr(c)) for c in unique.tolist()], np.int64)
-                hit, code = np.concatenate([hit, lost]), np.concatenate([code, others[which] if len(lost) else lost])
-            found_end.append(hit)
-            found_size.append(np.full(len(hit), size))
-            found_code.append(code)
-        end, size, code = map(np.concatenate, (found_end, found_size, found_code))
-        order = np.argsort(end * 32 - size)
+                if len(lost):
+                    unique, kind = np.unique(chars[lost], return_inverse=True)
+                    others = np.array([self._other(chr(c)) for c in unique.tolist()], np.int32)
+                    ends, code = np.concatenate([ends, lost + 1]), np.concatenate([code, others[kind]])
+            found.append((ends, np.full(len(ends), size), code))
+            on = np.flatnonzero(self.inner[nodes] & (start + size < left[start]))
+            if not len(on):
+                break
+            start, nodes = start[on], nodes[on]
+        # Long pieces first, so the starts of an end ascend.
+        end, size, code = map(np.concatenate, zip(*found[::-1]))
+        order = np.argsort(end.astype(np.uint16) if len(chars) < 1 << 16 else end, kind="stable")
         end, size, code = end[order], size[order], code[order]
         counts = np.bincount(end, minlength=len(chars) + 1)[1:]
         weight = np.where(code < self.size, self.code_weight[np.minimum(code, self.size - 1)], _PER_CHAR / self.size)
@@ -161,8 +200,8 @@ class Lattice:
         cuts = np.searchsorted(place[by_place], np.arange(1, int(sizes.max()) + 2))
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
             own = by_place[a:b]
-            stop = end[own]
-            value = np.where(place[own] == size[own], 1.0, ahead[stop - size[own]]) * weight[own]
+            stop, back = end[own], size[own]
+            value = np.where(place[own] == back, 1.0, ahead[stop - back]) * weight[own]
             reach[own] = value
             first = np.flatnonzero(np.concatenate([[True], stop[1:] != stop[:-1]]))
             ahead[stop[first]] = np.add.reduceat(value, first)
@@ -170,15 +209,20 @@ class Lattice:
         edge_ends = np.cumsum(counts)
         share -= np.repeat(np.concatenate([[0.0], share[edge_ends[:-1] - 1]]), counts)
         share[edge_ends - 1] = 1.0
-        edges = np.empty(len(share), _EDGE)
-        edges["share"], edges["start"], edges["code"] = share, place - size, code
-        counts_b, edges_b, width = counts.astype(np.int32).tobytes(), edges.tobytes(), _EDGE.itemsize
-        last = edge_ends[word_ends - 1].tolist()
-        result, c, e = [], 0, 0
-        for d, f in zip(word_ends.tolist(), last):
-            result.append((counts_b[4 * c:4 * d], edges_b[width * e:width * f]))
-            c, e = d, f
-        return result
+        return counts.astype(np.int32), share, (place - size).astype(np.int8), code
+
+    def _lattices(self, words: pa.Array, sizes: np.ndarray) -> list[np.ndarray]:
+        """What ``_built`` gives for words that are not long, joined."""
+        parts = [(np.zeros(0, np.int32), np.zeros(0), np.zeros(0, np.int8), np.zeros(0, np.int32))]
+        bounds = np.frombuffer(words.buffers()[1], np.int32)[words.offset:words.offset + len(words) + 1] if len(words) else [0, 0]
+        raw = memoryview(words.buffers()[2] or b"")[bounds[0]:bounds[-1]]
+        chars = np.frombuffer(str(raw, "utf-8").encode("utf-32-le"), np.uint32)
+        ends, begin = np.concatenate([[0], np.cumsum(sizes)]), 0
+        while begin < len(words):
+            stop = max(begin + 1, int(np.searchsorted(ends, ends[begin] + CHARS_AT_ONCE, "right")) - 1)
+            parts.append(self._built(chars[ends[begin]:ends[stop]], sizes[begin:stop]))
+            begin = stop
+        return [np.concatenate(column) for column in zip(*parts)]
 
     def _walked(self, text: str, row_key: int, place: int) -> list[int]:
         """Codes of one long stretch; sums are kept as logarithms."""
@@ -190,7 +234,7 @@ class Lattice:
             top = max(logs)
             ahead.append(top + math.log(math.fsum(math.exp(x - top) for x in logs)))
             edges_at.append([(s, c, x) for (s, c, _), x in zip(edges, logs)])
-        draws = _draws(np.full(n, row_key, np.int64), np.full(n, place, np.int64), np.arange(n)).tolist()
+        draws = _draws(_seeds(np.full(n, row_key, np.int64), np.full(n, place, np.int64)), np.arange(n)).tolist()
         end, path = n, []
         while end:
             edges, draw, run = edges_at[end - 1], draws[len(path)], 0.0
@@ -207,40 +251,33 @@ class Lattice:
         distinct, places, first = _stretches(texts)
         rows = np.repeat(np.arange(len(texts)), np.diff(first))
         inside = np.arange(len(places)) - first[rows]
-        words = distinct.to_pylist()
-        known = {w: self.memo[w] if len(w) <= LONG else (b"", b"") for w in words}
-        new = [w for w, got in known.items() if got is None]
-        for begin in range(0, len(new), BUILT_AT_ONCE):
-            part = new[begin:begin + BUILT_AT_ONCE]
-            for word, got in zip(part, self._built(part)):
-                known[word] = got
-                self.memo.keep(word, got)
-        built = [known[w] for w in words]
-        nodes = np.array([len(b[0]) for b in built], np.int64) // 4
+        nodes = pc.utf8_length(distinct).to_numpy(zero_copy_only=False).astype(np.int64)
+        short = nodes <= LONG
+        counts, shares, starts, codes = self._lattices(
+            distinct if short.all() else distinct.filter(pa.array(short)), nodes[short])
+        nodes[~short] = 0
         node_base = np.cumsum(nodes) - nodes
-        counts = np.frombuffer(b"".join(b[0] for b in built), np.int32)
-        edges = np.frombuffer(b"".join(b[1] for b in built), _EDGE)
-        shares, starts, codes = edges["share"], edges["start"], edges["code"]
         edge_base = np.cumsum(counts) - counts
         # All occurrences step back together.
         taken_by, taken, taken_step = [], [], []
         n_steps = np.zeros(len(places), np.int64)
         active = np.flatnonzero(nodes[places] > 0)
         at, base = nodes[places[active]], node_base[places[active]]
+        seeds = _seeds(row_keys[rows[active]], inside[active])
         step = 0
         while len(active):
             node = base + at - 1
-            edge = _chosen(edge_base[node], shares, _draws(row_keys[rows[active]], inside[active], np.full(1, step)))
+            edge = _chosen(edge_base[node], shares, _draws(seeds, np.full(1, step)))
             taken_by.append(active)
             taken.append(codes[edge])
             taken_step.append(np.full(len(active), step))
             n_steps[active] += 1
             at = starts[edge]
             more = at > 0
-            active, at, base, step = active[more], at[more], base[more], step + 1
+            active, at, base, seeds, step = active[more], at[more], base[more], seeds[more], step + 1
         long_at = np.flatnonzero(nodes[places] == 0)
         for o in long_at.tolist():
-            path = self._walked(words[places[o]], int(row_keys[rows[o]]), int(inside[o]))
+            path = self._walked(distinct[int(places[o])].as_py(), int(row_keys[rows[o]]), int(inside[o]))
             n_steps[o] = len(path)
             taken_by.append(np.full(len(path), o))
             taken.append(np.array(path, np.int32))
