@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tests.llm.tables import ROWS, documents, empty
 from webloom.llm import fingerprints, graph, langid, minhash, repeats
+from webloom.llm.common import screened, stored
 
 
 def shingles(text, width):
@@ -139,6 +140,35 @@ def test_drop_near_duplicates_by_row(spark):
     assert len(kept_null) == 1 and kept_null[0] in (alone_a, alone_b)
 
 
+def test_screen_holds_all_keys(spark):
+    hashed = F.xxhash64("id").alias("key")
+    keys = stored(spark.range(5000).select(hashed))
+    got = screened(spark.range(100_000).select("id", hashed), "key", keys, "maybe").groupBy(F.col("id") < 5000, "maybe").count()
+    found = {tuple(r)[:2]: r["count"] for r in got.collect()}
+    assert found[True, True] == 5000 and (True, False) not in found and found[False, True] < 95_000 / 8
+    none = screened(spark.range(10).select(hashed), "key", keys.filter("false"), "maybe")
+    assert none.filter("maybe").isEmpty() and none.count() == 10
+
+
+def test_texts_of_lone_documents_stay_where_they_are(spark, monkeypatch):
+    """Of 600 texts with 20 near copies, only a few move for their sets and for the last join."""
+    moved = []
+
+    def counting(rows, key, keys, maybe):
+        got = screened(rows, key, keys, maybe)
+        moved.append(got.filter(maybe).count())
+        return got
+
+    monkeypatch.setattr(minhash, "screened", counting, raising=False)
+    rng = random.Random(3)
+    texts = [" ".join(str(rng.randrange(10 ** 6)) for _ in range(80)) for _ in range(600)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(1000 + i, t + " more") for i, t in enumerate(texts[:20])]
+    docs = stored(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = minhash.drop_near_duplicates(docs)
+    assert sorted(r["doc_id"] for r in got.collect()) == list(range(600))
+    assert len(moved) == 2 and 40 <= moved[0] < 200 and 20 <= moved[1] < 150
+
+
 def test_signatures_estimate_similarity():
     signer, rng = minhash.Signer(), np.random.default_rng(5)
     gaps = []

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.common import stored
+from webloom.llm.common import screened, stored
 from webloom.llm.graph import components
 from webloom.llm.hashing import U64, mixed, prefix_hashes, span_hashes
 from webloom.llm.words import split_words
@@ -137,7 +137,8 @@ def _class_of(shingles: np.ndarray) -> int | None:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, id_column: str, text_column: str, width: int) -> DataFrame:
-    """(cls, sig, shingles) of the wanted classes (row_key, cls): one byte per bin, and the whole set."""
+    """(cls, sig, shingles) of the wanted classes (row_key, cls), which are stored: one byte per bin, and the whole set.
+    Texts of other classes stay where they are, but for a few that the screen lets pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signer = Signer()
@@ -149,7 +150,8 @@ def _sets(docs: DataFrame, wanted: DataFrame, id_column: str, text_column: str,
                  pa.array([signer.signature(s).astype(np.uint8).tobytes() for _, s in rows], pa.binary()),
                  pa.array([s.view(np.int64) for _, s in rows], pa.list_(pa.int64()))], ["cls", "sig", "shingles"])
 
-    texts = _keyed(docs, id_column, text_column).select("row_key", "text").join(wanted, "row_key")
+    texts = screened(_keyed(docs, id_column, text_column).select("row_key", "text"), "row_key", wanted, "maybe") \
+        .filter("maybe").select("row_key", "text").join(wanted, "row_key")
     return texts.select("cls", "text").mapInArrow(run, "cls long, sig binary, shingles array<long>")
 
 
@@ -182,9 +184,10 @@ def _promising(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs whose full sets are alike enough. Sets are compared row by row in the JVM, so what a task holds is two
-    sets and not a batch of them."""
-    left = sets.select(F.col("cls").alias("a"), F.col("shingles").alias("set_a"))
-    right = sets.select(F.col("cls").alias("b"), F.col("shingles").alias("set_b"))
+    sets and not a batch of them. The size of their file says little about what they take in memory, so they are merged
+    at all sizes and never broadcast."""
+    left = sets.select(F.col("cls").alias("a"), F.col("shingles").alias("set_a")).hint("merge")
+    right = sets.select(F.col("cls").alias("b"), F.col("shingles").alias("set_b")).hint("merge")
     shared = F.size(F.array_intersect("set_a", "set_b")).cast("long")
     sized = pairs.join(left, "a").join(right, "b").select(
         "a", "b", shared.alias("shared"), (F.size("set_a") + F.size("set_b")).cast("long").alias("both"))
@@ -325,8 +328,9 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
         F.min("row_key").alias("row_key")))
     banded = classes.select("cls", F.explode("bands").alias("band"))
     sizes = banded.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
-    members = stored(banded.join(sizes, "band").select("band", "cls", "n"))
-    wanted = classes.join(members.select("cls").distinct(), "cls", "left_semi").select("row_key", "cls")
+    # Spark takes an exploded table for no longer than the one it comes from, so it does not choose this join.
+    members = stored(banded.join(sizes.hint("merge"), "band").select("band", "cls", "n"))
+    wanted = stored(classes.join(members.select("cls").distinct(), "cls", "left_semi").select("row_key", "cls"))
     sets = stored(_sets(docs, wanted, id_column, text_column, shingle_words).dropDuplicates(["cls"]))
     standing = members.groupBy("cls").agg(F.sum("n").alias("standing"))
     centred = _with_centre(members.join(standing, "cls").withColumn("root", F.col("cls")), F.col("standing")).persist()
@@ -365,11 +369,17 @@ def drop_near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column
     both id and text are one document and stay or go together. Null, empty and wordless texts link with nothing and
     stay. An empty table gives an empty table; other columns, whatever their names, come back unchanged.
     """
-    found = near_duplicates(docs, id_column, text_column, shingle_words, percent)
+    found = stored(near_duplicates(docs, id_column, text_column, shingle_words, percent).select("doc_id", "row_key", "root")
+                   .filter("root IS NOT NULL"))
     # The best row of a group by an aggregate that combines before it moves: a group of a third of all rows is no task's load.
-    # One pass: a row without shingles is a group of its own (and of its exact repeats).
-    keep = found.groupBy("root", F.when(F.col("root").isNull(), F.col("row_key")).alias("alone")).agg(
+    # A row without shingles is a group of its own (and of its exact repeats), so it stays.
+    keep = found.groupBy("root").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), "row_key"))["row_key"].alias("kept_key")
     ).select("kept_key")
-    keyed = docs.withColumn("__row_key", F.xxhash64(F.col(id_column), F.col(text_column).cast("string")))
-    return keyed.join(keep, keyed["__row_key"] == keep["kept_key"], "left_semi").drop("__row_key")
+    gone = stored(found.select("row_key").distinct().join(keep, F.col("row_key") == F.col("kept_key"), "left_anti")
+                  .select(F.col("row_key").alias("__row_key")))
+    # Only rows that the screen takes for dropped ones move: most texts stay where they are.
+    keyed = screened(docs.withColumn("__row_key", F.xxhash64(F.col(id_column), F.col(text_column).cast("string"))),
+                     "__row_key", gone, "__maybe")
+    checked = keyed.filter("__maybe").join(gone, "__row_key", "left_anti")
+    return keyed.filter("NOT __maybe").drop("__row_key", "__maybe").unionAll(checked.drop("__row_key", "__maybe"))
