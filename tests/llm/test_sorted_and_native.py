@@ -1,6 +1,7 @@
 """Exact dedup, mixing and secret scans: awkward rows, and no Python in their plans."""
 
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -20,6 +21,31 @@ def no_python(df):
     assert not re.search("Python|Pandas|ArrowEval|MapInArrow", plan)
 
 
+def moved_bytes(df):
+    """Bytes that the shuffles of a table's own plan take in, once it has run."""
+    df.collect()
+    plans, total = [df._jdf.queryExecution().executedPlan()], 0
+    while plans:
+        plan = plans.pop()
+        kind = plan.getClass().getSimpleName()
+        if kind == "ShuffleExchangeExec":
+            total += plan.metrics().apply("dataSize").value()
+        if kind == "AdaptiveSparkPlanExec":
+            plans.append(plan.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            plans.append(plan.plan())
+        children = plan.children()
+        plans += [children.apply(i) for i in range(children.size())]
+    return total
+
+
+def long_texts(spark, n):
+    """``n`` texts of 2,000 characters, and their bytes."""
+    rng = random.Random(9)
+    rows = [(i, "\n".join(f"{rng.randrange(10 ** 9):09d}" for _ in range(200)), "en", f"s{i % 3}") for i in range(n)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), 2000 * n
+
+
 def test_exact_dedup(spark):
     groups = defaultdict(list)
     for doc_id, text, *_ in ROWS:
@@ -50,6 +76,13 @@ def test_exact_dedup_keeps_columns(spark):
     assert kept.columns == docs.columns and kept.count() == len({norm(t) for _, t, *_ in ROWS})
 
 
+def test_dropping_exact_copies_moves_a_text_once(spark):
+    docs, size = long_texts(spark, 400)
+    kept = exact_dedup.drop_exact_duplicates(docs.unionAll(docs.withColumn("doc_id", F.col("doc_id") + 1000)))
+    assert size < moved_bytes(kept) / 2 < 1.5 * size
+    assert sorted(map(tuple, kept.collect())) == sorted(map(tuple, docs.collect()))
+
+
 def test_mix_meets_targets_and_repeats_itself(spark):
     rows = [(i, "w " * (1 + i * 7 % 50), "en", "big" if i % 3 == 0 else f"s{i % 5}") for i in range(900)]
     docs = documents(spark, rows)
@@ -84,6 +117,44 @@ def test_mix_awkward_rows(spark):
     assert mixing.mix(empty(spark), labels).count() == 0 and mixing.take_mix(empty(spark)).count() == 0
 
 
+@pytest.fixture
+def merged_joins(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100k")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_taking_the_mix_leaves_texts_where_they_are(spark, merged_joins):
+    """Labels are too many to broadcast, yet few texts meet them by a shuffle."""
+    docs, size = long_texts(spark, 1200)
+    labels = spark.range(40_000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality"))
+    taken = mixing.take_mix(docs, labels)
+    assert moved_bytes(taken) < size / 2
+    want = {r["doc_id"]: r["copies"] for r in mixing.mix(docs, labels).collect()}
+    assert 0 in want.values() and Counter(r["doc_id"] for r in taken.collect()) == Counter(want)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert all(r["text"] == texts[r["doc_id"]] for r in taken.collect())
+
+
+@pytest.mark.parametrize("passes", [False, True])
+def test_take_mix_is_the_mix_whatever_the_screens_pass(spark, monkeypatch, passes):
+    """Repeated and null ids, sources that share ids; screens that let all rows pass leave the result as it is."""
+    if passes:
+        monkeypatch.setattr(mixing, "screened", lambda rows, key, keys, maybe: rows.withColumn(maybe, F.lit(True)))
+    rows = [(None if i % 11 == 0 else i // 2, "w " * (i % 13), "en", [None, "a", "b", "b"][i % 4]) for i in range(400)]
+    docs = documents(spark, rows)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(0, 200, 3)], "doc_id long, quality int")
+    want = Counter()
+    for r in mixing.mix(docs, labels).collect():
+        want[r["doc_id"], r["size"], r["source_size"]] += r["copies"]
+    per_source = Counter()
+    for _, text, _, source in rows:
+        per_source[source] += len(text.split())
+    got = Counter((r["doc_id"], len(r["text"].split()), per_source[r["source"]])
+                  for r in mixing.take_mix(docs, labels).collect())
+    assert len(set(per_source.values())) == 3 and got == Counter({k: n for k, n in want.items() if n})
+
+
 def test_all_texts_empty(spark):
     docs = documents(spark, [(1, None, "en", "a"), (2, "", "en", None)])
     assert {tuple(r)[1:] for r in mixing.mix(docs).collect()} == {(0, 0, 0.0, 0, 0)}

@@ -28,9 +28,11 @@ def exact_dedup(docs: DataFrame, carry: Sequence[str] = ("doc_id",), id_column:
     ``row`` is a struct of the columns in ``carry``, so no name clashes with the others. Texts are equal when they are
     the same after each run of white space became one space; null counts as empty, so null, empty and no other texts
     are one group. Of equal texts the row with the smallest id is kept, null ids last; of rows that repeat an id, one.
-    An empty table gives an empty result. Very long texts are compared whole.
+    An empty table gives an empty result. Very long texts are compared whole. A text moves once: normalised, or as it
+    is where ``carry`` names it.
     """
     norm = one_space(F.col(text_column))
+    carried = list(carry).count(text_column) == 1
     base = docs.select(F.struct(*[F.col(c) for c in carry]).alias("row"), F.col(id_column).alias("id"),
                        norm.alias("norm"), F.sha2(norm, 256).alias("sha"))
     parts = shuffle_partitions(docs.sparkSession)
@@ -48,9 +50,11 @@ def exact_dedup(docs: DataFrame, carry: Sequence[str] = ("doc_id",), id_column:
         .withColumn("slice", F.when(F.col("hot_size").isNull(), F.lit(0))
                     .otherwise(F.pmod(F.xxhash64("id"), slices)).cast("long"))
         .withColumn("head", F.substring("norm", 1, HEAD_CHARS))
-        .drop("hot_sha")
+        .drop("hot_sha", *["norm"] * carried)
         .repartitionByRange(parts, "head", "sha", "slice")
     )
+    if carried:
+        dealt = dealt.withColumn("norm", one_space(F.col("row").getField(text_column)))
     group = Window.partitionBy("head", "sha", "slice", "norm")
     ordered = group.orderBy(F.asc_nulls_last("id"))
     found = (

@@ -4,7 +4,9 @@ A document's key is ``-ln(u) / weight``, with u from a hash of its id and weight
 documents in order of a weighted sample without replacement. A source's target is spent on complete epochs first, then
 on the documents whose place in the prefix sum of sizes lies below the rest. Only (source, key, id, size) is moved.
 Rows are range-partitioned by (source, key), so a source of any share of the table lies in many partitions; sums per
-partition come first, and a prefix sum by row is made only in the partition that holds the cut.
+partition come first, and a prefix sum by row is made only in the partition that holds the cut. Texts stay where they
+are: bitmaps of the documents drawn and of those not drawn tell them apart, and only the few that both hold are joined
+with their labels.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from webloom.llm.common import WORDS, shuffle_partitions, stored
+from webloom.llm.common import WORDS, screened, shuffle_partitions, stored
 
 WEIGHTS = (1, 2, 3)
 MAX_EPOCHS = 3
@@ -135,9 +137,12 @@ def _join_source(rows: DataFrame, sources: DataFrame) -> DataFrame:
     return rows.join(right, F.col("source").eqNullSafe(F.col("right_source"))).drop("right_source")
 
 
-def _copies() -> Column:
-    chosen = F.coalesce(F.struct("key", "id") <= F.col("cut"), F.lit(False))
-    return F.col("epochs") + chosen.cast("long")
+def _drawn() -> Column:
+    return F.coalesce(F.struct("key", "id") <= F.col("cut"), F.lit(False))
+
+
+def _copies(drawn: Column) -> Column:
+    return F.col("epochs") + drawn.cast("long")
 
 
 def mix(docs: DataFrame, labels: DataFrame | None = None, **options) -> DataFrame:
@@ -148,7 +153,7 @@ def mix(docs: DataFrame, labels: DataFrame | None = None, **options) -> DataFram
     The same ids and sizes give the same mix in every run.
     """
     rows = sized(docs, labels, **options)
-    joined = _join_source(rows, source_cuts(rows)).withColumn("copies", _copies())
+    joined = _join_source(rows, source_cuts(rows)).withColumn("copies", _copies(_drawn()))
     return joined.select(F.col("id").alias("doc_id"), "size", "source_size", "target",
                          (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
@@ -156,13 +161,22 @@ def mix(docs: DataFrame, labels: DataFrame | None = None, **options) -> DataFram
 def take_mix(docs: DataFrame, labels: DataFrame | None = None, id_column: str = "doc_id", text_column: str = "text",
              source_column: str = "source", seed: str = SEED) -> DataFrame:
     """The documents of the mix with their columns, each as often as the mix takes it."""
-    cuts = source_cuts(sized(docs, labels, id_column, text_column, source_column, seed))
+    sizes = sized(docs, labels, id_column, text_column, source_column, seed)
+    cuts = source_cuts(sizes)
+    row_key = F.xxhash64("id", "source").alias("row_key")
+    known = stored(_join_source(sizes, cuts).select(row_key, _drawn().alias("drawn")).distinct())
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_column).alias("id"),
-                       F.col(source_column).alias("source"))
+                       F.col(source_column).alias("source")).withColumn("row_key", row_key)
+    rows = screened(rows, "row_key", known.filter("drawn"), "maybe_drawn")
+    rows = screened(rows, "row_key", known.filter("NOT drawn"), "maybe_not")
+    sure = _join_source(rows.filter("maybe_drawn <> maybe_not"), cuts).withColumn("copies", _copies(F.col("maybe_drawn")))
+    # Only these move: about one row in sixteen, and those whose hash stands for rows of both kinds.
+    unsure = rows.filter("maybe_drawn = maybe_not")
     weight = F.lit(1.0)
     if labels is not None:
-        rows = rows.join(label_weights(labels), F.col("id") == F.col("label_id"), "left")
+        unsure = unsure.join(label_weights(labels), F.col("id") == F.col("label_id"), "left")
         weight = F.coalesce("weight", F.lit(1.0))
-    keyed = rows.select("row", "source", "id", sample_key(F.col("id"), weight, seed).alias("key"))
-    taken = _join_source(keyed, cuts).withColumn("copies", _copies()).filter("copies > 0")
+    keyed = unsure.select("row", "source", "id", sample_key(F.col("id"), weight, seed).alias("key"))
+    decided = _join_source(keyed, cuts).withColumn("copies", _copies(_drawn()))
+    taken = sure.select("row", "copies").unionAll(decided.select("row", "copies")).filter("copies > 0")
     return taken.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")
