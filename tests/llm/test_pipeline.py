@@ -2,6 +2,7 @@
 
 import os
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -41,3 +42,26 @@ def test_stages_on_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], LABELS).write.parquet(f"{tmp_path}/labels.parquet")
     empty(spark).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def batch_sizes(spark):
+    """Bytes of the batches in which Python gets 22 MB of text that lie in one partition."""
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["n"])
+
+    texts = spark.range(0, 2000, 1, 1).select(F.repeat(F.lit("some words "), 1000).alias("text"))
+    return [r["n"] for r in texts.mapInArrow(run, "n long").collect()]
+
+
+@pytest.mark.parametrize("stage", [0, 2, 4])
+def test_python_stages_get_texts_in_small_batches(spark, tmp_path, stage):
+    spark.conf.unset(corpus_pipeline.ARROW_BYTES)
+    try:
+        corpus_pipeline.STAGES[stage][1](spark, documents(spark), str(tmp_path))
+        assert max(batch_sizes(spark)) < 4 << 20
+        spark.conf.set(corpus_pipeline.ARROW_BYTES, "8m")
+        corpus_pipeline.STAGES[stage][1](spark, documents(spark), str(tmp_path))
+        assert spark.conf.get(corpus_pipeline.ARROW_BYTES) == "8m"
+    finally:
+        spark.conf.unset(corpus_pipeline.ARROW_BYTES)
